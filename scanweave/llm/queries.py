@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from .decontamination import OP4_SQL, op4_decontamination
+from .packing import op5_packing
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op4_decontamination": op4_decontamination,
+    "op5_packing": op5_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL over the same tables.
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": OP4_SQL,
+}
