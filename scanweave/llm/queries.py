@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from .decontamination import OP4_SQL, op4_decontamination
 from .packing import op5_packing
+from .secrets import OP3_SQL, op3_secret_scan
 from .token_counts import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": op2_token_counts,
+    "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
 }
 
 #: DuckDB SQL over the same tables.
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": OP3_SQL,
     "op4_decontamination": OP4_SQL,
 }
