@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP4_SQL, op4_decontamination
 from .packing import op5_packing
-from .secrets import OP3_SQL, op3_secret_scan
+from .secret_scan import OP3_SQL, op3_secret_scan
 from .token_counts import op2_token_counts
 
 QUERIES = {
