@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .decontamination import OP4_SQL, op4_decontamination
 from .packing import op5_packing
+from .recompression_dedup import OP9_SQL, op9_substring_dedup
 from .secret_scan import OP3_SQL, op3_secret_scan
+from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op2_token_counts
 
 QUERIES = {
@@ -12,10 +14,13 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 #: DuckDB SQL over the same tables.
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
     "op4_decontamination": OP4_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
