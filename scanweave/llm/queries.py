@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from .decontamination import OP4_SQL, op4_decontamination
+from .fingerprints import op1_document_fingerprints
 from .packing import op5_packing
+from .quality import op6_quality_classifier
 from .recompression_dedup import OP9_SQL, op9_substring_dedup
 from .secret_scan import OP3_SQL, op3_secret_scan
 from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op2_token_counts
 
 QUERIES = {
+    "op1_document_fingerprints": op1_document_fingerprints,
     "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
+    "op6_quality_classifier": op6_quality_classifier,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
