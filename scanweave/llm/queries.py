@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import OP4_SQL, op4_decontamination
 from .fingerprints import op1_document_fingerprints
+from .katz import op7_katz_scoring
 from .packing import op5_packing
 from .quality import op6_quality_classifier
 from .recompression_dedup import OP9_SQL, op9_substring_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_packing": op5_packing,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_katz_scoring": op7_katz_scoring,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
