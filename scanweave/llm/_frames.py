@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import written  # noqa: F401  for the operators
 from ..shipping import ship
 
 #: Stands for a null doc_id inside kernels; it sorts before all others.
@@ -22,22 +20,3 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, text) only: columns of any other name never meet the operators' own."""
     ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own where the session names none, as in tests."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = tempfile.mkdtemp(prefix="scanweave-checkpoint-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-    return set_dir
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends there, and lost executors cost only their own tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scanweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

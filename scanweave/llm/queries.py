@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP4_SQL, op4_decontamination
 from .fingerprints import op1_document_fingerprints
 from .katz import op7_katz_scoring
+from .minhash_dedup import OP10_SQL, op10_minhash_dedup
 from .packing import op5_packing
 from .quality import op6_quality_classifier
 from .recompression_dedup import OP9_SQL, op9_substring_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_katz_scoring": op7_katz_scoring,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 #: DuckDB SQL over the same tables.
@@ -29,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
     "op4_decontamination": OP4_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op10_minhash_dedup": OP10_SQL,
 }
