@@ -81,17 +81,24 @@ def is_ground(xyz: np.ndarray, zone: int, ring: int, sensor_height: float) -> np
 def ground_split(points: DataFrame, sensor_height: float) -> DataFrame:
     """points with status: ground, in_grid for what stands on it, unassigned for thin patches and points outside zones.
 
-    A patch is one task's group; its size is bounded by what a sensor returns from one sector in one scan.
+    A task's group is one zone of one scan, bounded by what a sensor returns in one turn; its patches are fitted there.
     """
     zoned = with_zones(points, sensor_height)
     outside = zoned.where("zone is null").withColumn("status", F.lit("unassigned")).drop("zone", "ring", "sector")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) <= LEAST_POINTS:
-            return pdf.assign(status="unassigned")
-        flat = is_ground(pdf[["x", "y", "z"]].to_numpy(float), int(pdf["zone"].iloc[0]), int(pdf["ring"].iloc[0]), sensor_height)
-        return pdf.assign(status=np.where(flat, "ground", "in_grid"))
+        zone = int(pdf["zone"].iloc[0])
+        ring, sector, xyz = pdf["ring"].to_numpy(), pdf["sector"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
+        order = np.lexsort((xyz[:, 2], sector, ring))
+        patch = ring[order] * 1000 + sector[order]
+        edges = np.flatnonzero(np.concatenate([[True], patch[1:] != patch[:-1], [True]]))
+        status = np.full(len(pdf), "unassigned", dtype=object)
+        for i, j in zip(edges[:-1], edges[1:]):
+            if j - i > LEAST_POINTS:
+                rows = order[i:j]
+                status[rows] = np.where(is_ground(xyz[rows], zone, int(ring[rows[0]]), sensor_height), "ground", "in_grid")
+        return pdf.assign(status=status)
 
     inside = zoned.where("zone is not null")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.schema.fields) + ", status string"
-    return inside.groupBy(*PATCH).applyInPandas(run, schema).drop("zone", "ring", "sector").unionByName(outside)
+    return inside.groupBy("frame_id", "zone").applyInPandas(run, schema).drop("zone", "ring", "sector").unionByName(outside)
