@@ -409,13 +409,15 @@ def places(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(f"{c}_mm").cast("double") for c in "xyz"}).select(*_AT, "x", "y", "z", "weight", "sem")
 
 
-_ORDER = [F.col("r_x"), F.col("r_y"), F.col("r_z")]
+def _order() -> list[Column]:
+    """Settles equal distances."""
+    return [F.col("r_x"), F.col("r_y"), F.col("r_z")]
 
 
 @query(f"with {CLOUDS} select frame_id, x_mm, y_mm, z_mm, min(d2)::double d2, (arg_min(struct_pack(x := bx, y := by_, z := bz), (d2, bx, by_, bz))).x near_x from near where d2 <= 250000 group by 1, 2, 3, 4")
 def nn_join(spark, sf_dir):
     a, b = clouds(spark, sf_dir)
-    found = spatial.nearest(places(a), places(b), 500.0, ["frame_id"], _AT, _ORDER)
+    found = spatial.nearest(places(a), places(b), 500.0, ["frame_id"], _AT, _order())
     return found.select(*_AT, F.col("near.d2").alias("d2"), F.col("near.r_x_mm").alias("near_x"))
 
 
@@ -475,7 +477,7 @@ def matched(spark, sf_dir, radius: float) -> DataFrame:
     p = points(spark, sf_dir)
     at = lambda df: df.groupBy(*_AT, "sem").agg(F.count("*").alias("weight"))
     truth, est = places(at(p)), places(at(estimate_of(p)).groupBy(*_AT).agg(F.sum("weight").alias("weight"), F.min("sem").alias("sem")))
-    near = spatial.nearest(truth, est, radius, ["frame_id"], [*_AT, "sem"], _ORDER).select(*_AT, "sem", F.col("near.r_sem").alias("near_sem"), F.col("near.d2").alias("d2"))
+    near = spatial.nearest(truth, est, radius, ["frame_id"], [*_AT, "sem"], _order()).select(*_AT, "sem", F.col("near.r_sem").alias("near_sem"), F.col("near.d2").alias("d2"))
     return truth.join(near, [*_AT, "sem"], "left").select(*_AT, "sem", "weight", "near_sem", "d2")
 
 
