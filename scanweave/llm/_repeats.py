@@ -62,7 +62,7 @@ class Units:
 
 
 class Sampler(Protocol):
-    """length: units in a window. once: no anchor is reported twice."""
+    """length: units in a window."""
 
     length: int
 

@@ -1,8 +1,10 @@
-"""Removal of repeated byte strings with a sparse, range-partitioned suffix order.
+"""Removal of repeated byte strings with a sparse suffix order.
 
 Suffixes are sampled where a rolling hash of the next `GRAM` bytes is the least of its window, so that every
-200-byte string holds a sampled suffix at a place its content fixes. The sampled suffixes are dealt to buckets by
-their leading bytes, ordered there by (leading gram, context), and compared with their neighbours in that order.
+200-byte string holds a sampled suffix at a place its content fixes. Sampled suffixes are dealt to buckets by a hash
+of their leading `GRAM` bytes, so that suffixes that agree there share a bucket and no boundary needs comparing; in a
+bucket they are ordered by (leading hash, context hash) and judged against their neighbours in that order. What
+contexts leave open, equal 200-byte windows settle.
 """
 
 from __future__ import annotations
