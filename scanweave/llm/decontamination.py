@@ -11,12 +11,11 @@ and a benchmark of any size takes as many passes as it has blocks.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as t
@@ -123,18 +122,17 @@ def _scan(shared):
             runs: list[list[dict]] = [[] for _ in range(rows)]
             for i, s, e in zip(owner.tolist(), start.tolist(), end.tolist()):
                 runs[i].append({"start": s - int(first[i]), "end": e - int(first[i])})
-            version = t.span_hashes(*_whole(b.column("text")), seed=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(version), pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                [b.column("doc_id"), b.column("version"), pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 ["doc_id", "version", "n_words", "runs", "items"],
             )
 
     return run
 
 
-def _whole(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf, offsets = t.utf8(column)
-    return buf, offsets[:-1], offsets[1:]
+def _version(text: Column) -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
@@ -158,7 +156,7 @@ def match_runs(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block
     out = None
     for part in blocks(items, block_bytes):
         tests = TestSuffixes(part.toArrow(), width)
-        found = id_and_text(docs).mapInArrow(_scan(spark.sparkContext.broadcast(tests)), "doc_id long, version long, n_words long, runs array<struct<start:long,end:long>>, items array<string>")
+        found = id_and_text(docs).withColumn("version", _version(F.col("text"))).mapInArrow(_scan(spark.sparkContext.broadcast(tests)), "doc_id long, version long, n_words long, runs array<struct<start:long,end:long>>, items array<string>")
         out = found if out is None else out.unionByName(found)
         last = found
     if out is not last:
@@ -207,8 +205,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without contaminated documents; all columns stay. Rows with a null doc_id are judged by their text as well."""
-    bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_id"]), "left_anti")
+    bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("version").alias("__bad_version")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (_version(docs["text"]) == bad["__bad_version"]), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

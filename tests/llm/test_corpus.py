@@ -112,6 +112,8 @@ def test_decontamination_in_blocks(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in whole.collect()}
     assert [got[k] for k in (7001, 7002, 7003, None, 7004)] == [(0, 0, 0, False), (5, 3, 1, True), (2, 0, 0, False), (1, 1, 1, True), (31, 1, 1, False)]
     assert decontamination.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    twins = frame(spark, [(1, "one two three"), (1, "clean text here"), (None, "solo"), (None, "clean as well")]).selectExpr("*", "1 version", "2 runs")
+    assert {r.text for r in decontamination.clean(twins, bench).collect()} == {"clean text here", "clean as well"}
 
 
 def test_packing(spark):
