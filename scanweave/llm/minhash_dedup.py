@@ -6,6 +6,9 @@ a region; a region with many documents is looked at again at each greater depth.
 order, which have the longest common prefixes, and a region's centre with each of its members; a sketch of two bits
 per min-hash drops pairs far below the wanted similarity. Every candidate that could still join two groups is then
 confirmed on the full shingle sets, the likeliest of each group first.
+
+A large region compares few of its pairs, so its documents also meet by an exact prefix-filter join: shingles have one
+order, rare ones first, and two sets at the wanted similarity share one of the first n - ceil(similarity n) + 1 of each.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ TREES, DEPTH, LEAST = 24, 6, 4
 #: Regions above LARGE are split by the next min-hash for further centres. Regions of at most SMALL documents compare
 #: each with all others, larger ones with the NEAR next ones in order.
 LARGE, SMALL, NEAR = 64, 8, 2
+#: Slots of the shingle tally that gives the order of the prefix join (it decides the cost only), and the documents of
+#: one shingle above which their pairs are dealt to several cells.
+SLOTS, CROWD = 1 << 20, 1024
 _FACTORS = t.mix(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _EVERY_OTHER = np.uint64(0x5555555555555555)
 _WORDS = -(-2 * TREES * DEPTH // 64)
@@ -143,6 +149,7 @@ def _candidates(similarity: float):
         region, deeper, ids, bits = region[order], deeper[order], ids[order], np.stack(bits, 1)[order]
         size = np.diff(np.append(np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]])), len(region)))
         small = np.repeat(size <= SMALL, size)
+        crowded = np.unique(ids[~small])
         left, right = [], []
         for step in range(1, SMALL):
             # in a large region every document meets its neighbours and the centres: pairs in proportion to its size
@@ -165,11 +172,101 @@ def _candidates(similarity: float):
         a, b = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right])
         unlike = _unlike(bits[left], bits[right])
         keep = (a != b) & (unlike <= most)
-        return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep]), "unlike": pa.array(unlike[keep].astype(np.int32))})
+        # members of large regions, each as a pair with itself
+        a, b, unlike = np.concatenate([a[keep], crowded]), np.concatenate([b[keep], crowded]), np.concatenate([unlike[keep], np.zeros(len(crowded), np.int64)])
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "unlike": pa.array(unlike.astype(np.int32))})
+
+    return run
+
+
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (t.mix(x) % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.uint32)
+    for b in batches:
+        for s in b.column("shingles").to_pylist():
+            np.add.at(total, _slot(np.cumsum(_blobs.unpack(s)[0], dtype=np.uint64)), 1)
+    if total.any():
+        parts = total.reshape(16, -1)
+        yield _blobs.batch(list(range(16)), [_blobs.pack(p) for p in parts])
+
+
+def _add_tallies(table: pa.Table) -> pa.Table:
+    total = sum(_blobs.unpack(p)[0].astype(np.int64) for p in table.column("payload").to_pylist())
+    return pa.Table.from_batches([_blobs.batch([table.column("bucket")[0].as_py()], [_blobs.pack(np.minimum(total, 0xFFFFFFFF).astype(np.uint32))])])
+
+
+def _prefixes(shared, percent: int, n_buckets: int):
+    """Each set's prefix: (cell, part, diagonal) of the pairs of a shingle's documents, and what bounds a pair's overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = shared.value
+        for b in batches:
+            parts = []
+            for doc, group, s in zip(b.column("doc_id").to_pylist(), b.column("g").to_pylist(), b.column("shingles").to_pylist()):
+                x = np.cumsum(_blobs.unpack(s)[0], dtype=np.uint64)
+                n = len(x)
+                seen = tally[_slot(x)]
+                first = np.lexsort((x, seen))[: n + (-percent * n // 100) + 1]
+                # of k parts of a shingle's documents, every two meet in a cell of their own
+                k = (seen[first].astype(np.int64) - 1) // CROWD + 1
+                at = np.repeat(np.arange(len(first)), k)
+                other = (np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)).astype(np.int64)
+                own = (int(t.mix(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1)) % k)[at]
+                low, high = np.minimum(own, other), np.maximum(own, other)
+                cell = t.mix(x[first][at] ^ t.mix((low << 32 | high).astype(np.uint64)))
+                same = lambda v: np.full(len(at), v, np.int64)
+                parts.append((cell, own, (low == high).astype(np.uint8), same(n), at, same(doc), same(group)))
+            if parts:
+                whole = [np.concatenate(x) for x in zip(*parts)]
+                yield _blobs.split(((whole[0] >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, *whole)
+
+    return run
+
+
+def _meetings(percent: int):
+    """Pairs of different groups that share a prefix shingle, and whose sizes and places in order leave room for enough more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = [_blobs.unpack(p) for p in table.column("payload").to_pylist()]
+        columns = [np.concatenate(x) for x in zip(*blobs)]
+        order = np.lexsort((columns[3], columns[0]))
+        cell, part, diagonal, n, at, doc, group = (x[order] for x in columns)
+        found, waiting, step, i = np.zeros((0, 2), np.int64), [], 0, np.arange(len(cell))
+        while len(i):
+            step += 1
+            i = i[i + step < len(cell)]
+            # sizes ascend in a cell: who is too small for one is too small for all that follow
+            i = i[(cell[i + step] == cell[i]) & (100 * n[i] >= percent * n[i + step])]
+            j = i + step
+            room = np.minimum(n[i] - at[i], n[j] - at[j])  # this shingle and all behind it
+            good = (group[i] != group[j]) & (doc[i] != doc[j]) & ((diagonal[i] > 0) | (part[i] != part[j])) & ((100 + percent) * room >= percent * (n[i] + n[j]))
+            x, y = doc[i[good]], doc[j[good]]
+            waiting.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+            if not len(i) or sum(map(len, waiting)) > 1 << 20:
+                found, waiting = np.unique(np.concatenate([found, *waiting]), axis=0), []
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
 
     return run
 
 
+def _prefix_pairs(crowded: DataFrame, sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs of crowded documents of different groups that can reach the threshold, by prefix filter."""
+    spark = sets.sparkSession
+    own = sets.join(crowded.withColumnRenamed("a", "doc_id"), "doc_id", "left_semi")
+    own = own.join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("g")), "doc_id", "left").select("doc_id", "shingles", F.coalesce("g", "doc_id").alias("g"))
+    own = written(own, "crowded")
+    sums = own.select("shingles").mapInArrow(_tally, _blobs.SCHEMA).groupBy("bucket").applyInArrow(_add_tallies, _blobs.SCHEMA).collect()  # 16 rows of at most SLOTS / 4 bytes
+    if not sums:
+        return own.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+    tally = np.concatenate([_blobs.unpack(r["payload"])[0] for r in sorted(sums, key=lambda r: r["bucket"])])
+    n = _blobs.buckets(own)
+    sent = own.mapInArrow(_prefixes(spark.sparkContext.broadcast(tally), percent, n), _blobs.SCHEMA)
+    return sent.groupBy("bucket").applyInArrow(_meetings(percent), "a long, b long").distinct()
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,11 +293,11 @@ def _confirm(percent: int):
     return run
 
 
-def _groups_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _groups_of(pairs: DataFrame, crowded: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) over the documents of candidate pairs, joining what the full sets confirm.
 
     A pair inside a group decides nothing and is not looked at: first each group's likeliest pair is, then its four
-    likeliest, then all that still lie between groups.
+    likeliest, then all that still lie between groups, with all of the prefix join of the crowded documents.
     """
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     links, groups, open_pairs = None, None, pairs.withColumns({"ga": F.col("a"), "gb": F.col("b")})
@@ -211,6 +308,8 @@ def _groups_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keyed = open_pairs.select("ga", "gb", F.pmod(F.xxhash64("a", "b"), F.lit(most)).alias("k"), F.struct("unlike", "a", "b").alias("p"))
             sides = [keyed.groupBy(F.col(side).alias("g"), "k").agg(F.min("p").alias("p")) for side in ("ga", "gb")]
             chosen = sides[0].unionByName(sides[1]).groupBy("g", "k").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+        else:
+            chosen = open_pairs.select("a", "b").unionByName(_prefix_pairs(crowded, sets, g, percent)).distinct()
         judged = chosen.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean")
         judged = written(judged, "judged")
         new = judged.where("linked").select("a", "b")
@@ -242,11 +341,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     n = _blobs.buckets(rows)
     planted = one_each.select("doc_id", "signature").mapInArrow(_plant(n), _blobs.SCHEMA)
     pairs = planted.groupBy("bucket").applyInArrow(_candidates(percent / 100), "a long, b long, unlike int").groupBy("a", "b").agg(F.min("unlike").alias("unlike"))
-    pairs = written(pairs, "candidates")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    met = written(pairs, "candidates")
+    pairs, crowded = met.where("a <> b"), met.where("a = b").select("a")
+    involved = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").join(involved.hint("merge"), "doc_id", "left_semi")
     sets = written(texts.mapInArrow(_sets(size), "doc_id long, shingles binary"), "sets")
-    groups = _groups_of(pairs, sets, percent)
+    groups = _groups_of(pairs, crowded, sets, percent)
     # a class's documents follow its least one; ids that several classes hold tie these together
     shared = full.select("doc_id", "class", "n_shingles").join(classes, ["class", "n_shingles"]).where("doc_id <> least").select("doc_id", "least", "class", "n_shingles").distinct()
     many_texts = described.select("doc_id", "class").distinct().groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import check
 
@@ -314,6 +315,52 @@ def test_near_duplicates(spark, size):
     assert minhash_dedup.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_pairs_inside_a_large_family(spark):
+    # 2,000 texts on one template at similarity 0.5, too unlike to be linked; 30 pairs among them are at 0.82
+    rng = random.Random(8)
+    template = " ".join(f"t{k}" for k in range(67))
+    ids = rng.sample(range(10**6), 2000)
+    own = {d: [f"u{d}x{k}" for k in range(33)] for d in ids}
+    twins = {max(pair): min(pair) for pair in zip(ids[0:60:2], ids[1:60:2])}
+    for d, e in twins.items():
+        own[d] = own[e][:23] + own[d][:10]
+    rows = [(d, f"{template} {' '.join(own[d])}") for d in ids]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(frame(spark, rows), size=1).collect()}
+    assert got == {d: twins.get(d, d) for d in ids}
+
+
+def test_large_region_pairs_are_candidates_or_joined():
+    # 4,000 sets on one template, 25 of 100 common words in each; neighbours and centres alone miss some of 60 pairs at 0.8
+    rng = np.random.default_rng(8)
+    template, own = rng.integers(0, 1 << 60, 75), rng.integers(0, 1 << 60, 100)[np.argsort(rng.random((4000, 100)), axis=1)]
+    own[1:120:2, :15], own[1:120:2, 15:25] = own[0:120:2, :15], own[0:120:2, 25:35]
+    own = own[:, :25]
+    ids = rng.permutation(4000)
+    x = np.sort(np.concatenate([np.broadcast_to(template, (4000, 75)), own], 1).astype(np.uint64), axis=1)
+    signatures = minhash_dedup._min_hashes(x.ravel(), np.arange(4001) * 100)
+    b = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids), "signature": pa.array([s.tobytes() for s in signatures], pa.binary())})
+    met = minhash_dedup._candidates(0.8)(pa.Table.from_batches(minhash_dedup._plant(1)(iter([b]))))
+    pairs = set(zip(met.column("a").to_pylist(), met.column("b").to_pylist()))
+    near = [tuple(sorted(p)) for p in zip(ids[0:120:2].tolist(), ids[1:120:2].tolist())]
+    assert all((i, j) in pairs or {(i, i), (j, j)} <= pairs for i, j in near)
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 1024])  # few: the pairs of a shared shingle are dealt to several cells
+def test_prefix_join_meets_every_near_pair(monkeypatch, crowd):
+    monkeypatch.setattr(minhash_dedup, "CROWD", crowd)
+    rng = np.random.default_rng(5)
+    bases = [rng.choice(400, n, replace=False) for n in (1, 2, 9, 30, 60)]
+    sets = [np.unique(np.concatenate([b[: len(b) - (cut := rng.integers(0, 1 + len(b) // 5))], rng.integers(0, 400, cut)])).astype(np.uint64) for b in bases for _ in range(40)]
+    payload = [_blobs.pack(np.diff(_text.mix(x)[np.argsort(_text.mix(x))], prepend=np.uint64(0))) for x in sets]
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(len(sets))), "g": [k // 2 for k in range(len(sets))], "shingles": pa.array(payload, pa.binary())})
+    tally = np.concatenate([_blobs.unpack(p)[0] for p in next(minhash_dedup._tally(iter([b]))).column("payload").to_pylist()])
+    shared = type("Shared", (), {"value": tally})
+    sent = pa.Table.from_batches(minhash_dedup._prefixes(shared, 80, 1)(iter([b])))
+    met = minhash_dedup._meetings(80)(sent)
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2 and 100 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - c)}
+    assert len(near) > 500 and near <= set(zip(met.column("a").to_pylist(), met.column("b").to_pylist()))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
