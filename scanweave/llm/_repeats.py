@@ -4,20 +4,25 @@ Windows are L consecutive units (bytes or words) of one document. A sampler name
 range of units inside it, chosen by the window's content alone. So equal windows have equal anchors at equal
 places, and only places whose anchor occurs more than once can be repeats. Three exchanges follow:
 
-1. Every anchor goes to its name's bucket with a hash of its context (all units that windows around it can span)
-   and the sender. There it is judged: alone; certain (its whole context occurs elsewhere as the rule asks); or
-   uncertain, when the name occurs elsewhere in other contexts.
+1. Every anchor goes, with a hash of its context (all units that windows around it can span), to the bucket of its
+   place in one order of all anchors: by the sampler's leading words, name, context, and a tie-breaker. The borders of
+   the buckets are quantiles of a sample, so that a name or a context of very many anchors spreads over several
+   buckets. A bucket sorts its anchors and judges each: alone; certain (its whole context occurs elsewhere as the
+   rule asks); or uncertain, when the name occurs elsewhere in other contexts. A name at a border may go on in the next
+   bucket: its anchors that are not certain already are uncertain, and exchange 2 compares them across the border.
 2. Documents with uncertain anchors send the hashes of those anchors' windows, and one sender of each certain context
    that such anchors may meet sends its own. Equal hashes are the remaining repeats.
 3. What is certain and what exchange 2 found goes back to the documents.
 
-No group's pairs are formed: every step groups by a hash and compares with the group's first or least member.
+Senders settle among themselves what they can: of equal contexts or windows that one task holds, one goes on. Contexts
+and windows are compared by 128 bits: two polynomial hashes over different bases. No group's pairs are formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Protocol
 
 import numpy as np
@@ -30,18 +35,31 @@ from . import _text as t
 from ._frames import NO_ID, id_and_text, written
 
 CERTAIN, UNCERTAIN, PUBLISHED = 1, 2, 3
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of entries that a Python worker gathers before it sends them.
+SEND_BYTES = 24 << 20
+#: Most borders that the driver finds; beyond, a range is parted by a hash of the names.
+MOST_RANGES = 1 << 14
+#: Sampled anchors for each border, the bytes of text that are sampled for it, and of how many anchors one is taken.
+PER_RANGE, SAMPLE_BYTES, THIN = 64, 64 << 10, 8
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BASE = np.uint64(_BASES[0])
+_SECOND = np.uint64(0x27D4EB2F165667C5)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(1 << (n - 1).bit_length(), base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0], _POWERS[1]
+def _powers(base: int, n: int) -> np.ndarray:
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        p = np.full(1 << max(0, n - 1).bit_length(), base, dtype=np.uint64)
+        p[0] = 1
+        _POWERS[base] = np.multiply.accumulate(p)
+    return _POWERS[base]
+
+
+def _sums(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * _powers(base, len(values) + 1)[: len(values)], out=sums[1:])
+    return sums, _powers(pow(base, -1, 1 << 64), len(values) + 1)
 
 
 @dataclass
@@ -51,20 +69,29 @@ class Units:
     values: np.ndarray
     first: np.ndarray  # units of row i are first[i]:first[i+1]
 
-    def __post_init__(self) -> None:
-        up, self.down = _powers(len(self.values) + 1)
-        self.sums = np.empty(len(self.values) + 1, np.uint64)
-        self.sums[0] = 0
-        np.cumsum(self.values * up[: len(self.values)], out=self.sums[1:])
+    @cached_property
+    def _one(self) -> tuple[np.ndarray, np.ndarray]:
+        return _sums(self.values, _BASES[0])
+
+    @cached_property
+    def _two(self) -> tuple[np.ndarray, np.ndarray]:
+        return _sums(t.mix(self.values ^ _SECOND), _BASES[1])
 
     def hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return t.mix((self.sums[hi] - self.sums[lo]) * self.down[lo] + (hi - lo).astype(np.uint64))
+        sums, down = self._one
+        return t.mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
+
+    def seconds(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of the same ranges over another base."""
+        sums, down = self._two
+        return t.mix((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64))
 
 
 class Sampler(Protocol):
-    """length: units in a window."""
+    """length: units in a window; leads: leading words of an anchor by which anchors are ordered first."""
 
     length: int
+    leads: int
 
     def units(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[Units, object]: ...
 
@@ -72,12 +99,16 @@ class Sampler(Protocol):
         """(first unit, units in it, first window, windows) of each anchor, in order of windows."""
         ...
 
+    def lead(self, buf: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+        """`leads` words whose order as numbers is that of the anchors' first units."""
+        ...
+
 
 def _ids(column) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _code(pos: np.ndarray, size: np.ndarray, before: np.ndarray, count: np.ndarray, flag: np.ndarray) -> np.ndarray:
+def _code(pos: np.ndarray, size: np.ndarray, before: np.ndarray, count: np.ndarray, flag) -> np.ndarray:
     """An anchor in one number: place, units, windows before its place, windows, judgement."""
     return (((pos.astype(np.int64) << 8 | size) << 8 | before) << 8 | count) << 2 | flag
 
@@ -86,7 +117,7 @@ def _decode(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return code >> 26, code >> 18 & 255, code >> 10 & 255, code >> 2 & 255, code & 3
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
+def _hash_bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
 
 
@@ -94,32 +125,33 @@ def _versions(buf: np.ndarray, offsets: np.ndarray, twins: bool) -> np.ndarray:
     return t.span_hashes(buf, offsets[:-1], offsets[1:], seed=1).view(np.int64) if twins else np.zeros(len(offsets) - 1, np.int64)
 
 
-def _send_anchors(sampler: Sampler, n_buckets: int, twins: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            ids = _ids(b.column("doc_id"))
-            for i, j, buf, offsets in t.chunks(b.column("text")):
-                units, _ = sampler.units(buf, offsets)
-                pos, size, plo, count = sampler.anchors(units)
-                if not len(pos):
-                    continue
-                row = np.searchsorted(units.first, pos, "right") - 1
-                start, end = units.first[row], units.first[row + 1]
-                lo, hi = np.maximum(start, pos + size - sampler.length), np.minimum(end, pos + sampler.length)
-                context = t.mix(units.hashes(lo, hi) + ((pos - lo) * 1024 + (hi - pos)).astype(np.uint64) * _BASE)
-                versions = _versions(buf, offsets, twins)
-                parts.append((units.hashes(pos, pos + size), context, ids[i:j][row], versions[row], (pos - start).astype(np.uint32), size.astype(np.uint8), (pos - plo).astype(np.uint8), count.astype(np.uint8)))
-            if parts:
-                whole = [np.concatenate(x) for x in zip(*parts)]
-                order, _ = t.sort_order(whole[0])
-                whole = [x[order] for x in whole]
-                yield _blobs.split(_bucket(whole[0], n_buckets), n_buckets, *whole)
+def _tie(doc: np.ndarray, version: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Parts equal contexts of different places; copies of a row in full stay together."""
+    return t.mix(doc.view(np.uint64) * _BASE ^ version.view(np.uint64) + pos.astype(np.uint64))
 
-    return run
 
+def _as_bytes(*words: np.ndarray) -> np.ndarray:
+    """Byte strings that sort as the rows of words do."""
+    return np.ascontiguousarray(np.stack(words, 1).astype(">u8")).view(f"S{8 * len(words)}").ravel()
 
-def _groups(*keys: np.ndarray) -> np.ndarray:
+
+@dataclass
+class Ranges:
+    """Borders of the buckets in the order of all anchors; at most MOST_RANGES, so it may be broadcast."""
+
+    borders: np.ndarray  # byte strings of lead words, name, context, tie
+    names: np.ndarray  # names at borders, ascending
+    parts: int  # buckets of a range
+
+    @property
+    def buckets(self) -> int:
+        return (len(self.borders) + 1) * self.parts
+
+    def of(self, keys: np.ndarray, name: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.borders, keys, "right") * self.parts + _hash_bucket(name, self.parts)
+
+
+def _new(*keys: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it."""
     new = np.ones(len(keys[0]), bool)
     if len(new) > 1:
@@ -129,93 +161,198 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _gather(payloads) -> list[np.ndarray]:
+def _anchor_parts(sampler: Sampler, batches: Iterator[pa.RecordBatch], twins: bool) -> Iterator[tuple]:
+    """(lead words..., name, two context hashes, doc, version, code, twice) of each chunk's anchors."""
+    for b in batches:
+        ids = _ids(b.column("doc_id"))
+        for i, j, buf, offsets in t.chunks(b.column("text")):
+            units, _ = sampler.units(buf, offsets)
+            pos, size, plo, count = sampler.anchors(units)
+            if not len(pos):
+                continue
+            row = np.searchsorted(units.first, pos, "right") - 1
+            start, end = units.first[row], units.first[row + 1]
+            lo, hi = np.maximum(start, pos + size - sampler.length), np.minimum(end, pos + sampler.length)
+            place = ((pos - lo) * 1024 + (hi - pos)).astype(np.uint64) * _BASE
+            contexts = [t.mix(f(lo, hi) + place) for f in (units.hashes, units.seconds)]
+            code = _code(pos - start, size, pos - plo, count, 0)
+            yield (*sampler.lead(buf, pos), units.hashes(pos, pos + size), *contexts, ids[i:j][row], _versions(buf, offsets, twins)[row], code, np.zeros(len(pos), np.uint8))
+
+
+def _gathered(parts: Iterator[tuple], limit: int) -> Iterator[list[np.ndarray]]:
+    """Parts put together up to `limit` bytes, over all of a task's batches."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += sum(a.nbytes for a in part)
+        if size >= limit:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _replies(doc: np.ndarray, version: np.ndarray, code: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """Judgements that need no bucket travel through any; three arrays tell them from entries."""
+    if len(doc):
+        yield _blobs.batch([int(t.mix(doc[:1].view(np.uint64))[0] % np.uint64(n_buckets))], [_blobs.pack(doc, version, code)])
+
+
+def _keys_sample(sampler: Sampler, twins: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *lead, name, c1, _, doc, version, code, _ in _anchor_parts(sampler, batches, twins):
+            tie = _tie(doc, version, code >> 26)
+            some = np.flatnonzero(tie % np.uint64(THIN) == 0)
+            if len(some):
+                keys = np.stack([x[some] for x in (*lead, name, c1, tie)], 1).astype(">u8")
+                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary())], ["key"])
+
+    return run
+
+
+def _ranges(rows: DataFrame, sampler: Sampler, twins: bool) -> Ranges:
+    """Borders from a sample of documents; at most PER_RANGE keys a border reach the driver."""
+    n = _blobs.buckets(rows)
+    count = min(n, MOST_RANGES)
+    every = max(1, _blobs.stored_bytes(rows) // (count * SAMPLE_BYTES))
+    some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0) if every > 1 else rows
+    found = some.mapInArrow(_keys_sample(sampler, twins), "key binary").orderBy(F.xxhash64("key"), "key").limit(PER_RANGE * count).toArrow().column("key").to_pylist()
+    width = sampler.leads + 3
+    keys = sorted(found)
+    at = [len(keys) * k // count for k in range(1, count)] if keys else []
+    borders = np.frombuffer(b"".join(keys[i] for i in at), f"S{8 * width}")
+    names = np.frombuffer(b"".join(keys[i][8 * sampler.leads : 8 * sampler.leads + 8] for i in at), ">u8").astype(np.uint64)
+    return Ranges(borders, np.unique(names), -(-n // (len(at) + 1)))
+
+
+def _send_anchors(sampler: Sampler, shared, twins: bool, smaller: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: Ranges = shared.value
+        for whole in _gathered(_anchor_parts(sampler, batches, twins), SEND_BYTES):
+            *_, c1, c2, doc, version, code, twice = whole
+            order = np.lexsort((doc, c2, c1)) if smaller else np.lexsort((c2, c1))
+            new = _new(c1[order], c2[order])
+            if smaller:
+                # a smaller document of this task has the same context
+                settled = doc[order] > doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            else:
+                settled = ~new
+                twice[order] = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+            at = order[settled]
+            yield from _replies(doc[at], version[at], code[at] | CERTAIN, ranges.buckets)
+            at = order[~settled]
+            at = at[t.sort_order(whole[0][at])[0]]
+            whole = [x[at] for x in whole]
+            *lead, name, c1, _, doc, version, code, _ = whole
+            bucket = ranges.of(_as_bytes(*lead, name, c1, _tie(doc, version, code >> 26)), name)
+            yield _blobs.split(bucket, ranges.buckets, *whole)
+
+    return run
+
+
+def _gather(payloads, replies: int) -> tuple[list[np.ndarray] | None, list[list[np.ndarray]]]:
+    """(columns of all entries or None, judgements that only pass through)."""
     blobs = [_blobs.unpack(p) for p in payloads.to_pylist()]
-    return [np.concatenate(x) for x in zip(*blobs)]
+    entries = [b for b in blobs if len(b) != replies]
+    return ([np.concatenate(x) for x in zip(*entries)] if entries else None), [b for b in blobs if len(b) == replies]
 
 
 _REPLY = "doc_id long, version long, code long"
 
 
-def _reply(doc: np.ndarray, version: np.ndarray, code: np.ndarray) -> pa.Table:
-    return pa.table({"doc_id": pa.array(doc), "version": pa.array(version), "code": pa.array(code)})
-
-
-def _judge_anywhere(table: pa.Table) -> pa.Table:
-    name, context, doc, version, pos, size, before, count = _gather(table.column("payload"))
-    order = np.lexsort((context, name))
-    name, context = name[order], context[order]
-    new_name, new_context = _groups(name), _groups(name, context)
-    g, c = np.cumsum(new_name) - 1, np.cumsum(new_context) - 1
-    many, twice = np.bincount(g)[g] > 1, np.bincount(c)[c] > 1
-    unsure = many & ~twice
-    met = np.bincount(g, weights=unsure)[g] > 0
-    flag = np.where(twice, np.where(new_context & met, PUBLISHED, CERTAIN), UNCERTAIN)
-    keep = np.flatnonzero(many)
-    at = order[keep]
-    return _reply(doc[at], version[at], _code(pos[at], size[at], before[at], count[at], flag[keep]))
-
-
-def _judge_smaller(table: pa.Table) -> pa.Table:
-    name, context, doc, version, pos, size, before, count = _gather(table.column("payload"))
-    order = np.lexsort((doc, context, name))
-    name, context, doc = name[order], context[order], doc[order]
-    new_name, new_context = _groups(name), _groups(name, context)
-    g, c = np.cumsum(new_name) - 1, np.cumsum(new_context) - 1
-    at_name, at_context = np.flatnonzero(new_name), np.flatnonzero(new_context)
-    least, most = np.minimum.reduceat(doc, at_name)[g], np.maximum.reduceat(doc, at_name)[g]
-    first = doc[at_context][c]  # sorted by doc within a context
-    others = np.bincount(g[at_context])[g] > 1
-    flag = np.where(doc > first, CERTAIN, np.where(doc == least, PUBLISHED, UNCERTAIN))
-    keep = np.flatnonzero((least < most) & ((flag == CERTAIN) | others))
-    at = order[keep]
-    return _reply(doc[keep], version[at], _code(pos[at], size[at], before[at], count[at], flag[keep]))
-
-
-def _send_windows(sampler: Sampler, n_buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            parts = []
-            ids, versions = _ids(b.column("doc_id")), b.column("version").to_numpy()
-            codes = b.column("codes")
-            flat, ends = codes.flatten().to_numpy(), np.cumsum([0] + [len(x) for x in codes])
-            for i, j, buf, offsets in t.chunks(b.column("text")):
-                units, _ = sampler.units(buf, offsets)
-                row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
-                pos, _, before, count, flag = _decode(flat[ends[i] : ends[j]])
-                send = flag != CERTAIN
-                row, plo, count = row[send], (pos - before)[send], count[send]
-                p = t.ranges(plo, count)
-                row = np.repeat(row, count)
-                at = units.first[row] + p
-                parts.append((units.hashes(at, at + sampler.length), ids[i:j][row], versions[i:j][row], p.astype(np.uint32)))
-            if parts:
-                whole = [np.concatenate(x) for x in zip(*parts)]
-                if len(whole[0]):
-                    order, _ = t.sort_order(whole[0])
-                    whole = [x[order] for x in whole]
-                    yield _blobs.split(_bucket(whole[0], n_buckets), n_buckets, *whole)
+def _reply(doc: np.ndarray, version: np.ndarray, code: np.ndarray, passing: list[list[np.ndarray]]) -> pa.Table:
+    columns = [np.concatenate([x, *more]) for x, *more in zip((doc, version, code), *passing)]
+    return pa.table(dict(zip(("doc_id", "version", "code"), map(pa.array, columns))))
+
+
+_NO_LONGS = np.zeros(0, np.int64)
+
+
+def _judge(shared, smaller: bool):
+    def run(table: pa.Table) -> pa.Table:
+        whole, passing = _gather(table.column("payload"), 3)
+        if whole is None:
+            return _reply(_NO_LONGS, _NO_LONGS, _NO_LONGS, passing)
+        *lead, name, c1, c2, doc, version, code, twice = whole
+        keys = [*lead, name, c1, c2] + ([doc.view(np.uint64) ^ np.uint64(1 << 63)] if smaller else [])
+        order = t.multikey_order(keys)
+        name, c1, c2, doc, version, code, twice = (x[order] for x in (name, c1, c2, doc, version, code, twice))
+        new_name, new_context = _new(name), _new(name, c1, c2)
+        g, c = np.cumsum(new_name) - 1, np.cumsum(new_context) - 1
+        border = t.member_index(shared.value.names, name)[1]
+        if smaller:
+            at_name, at_context = np.flatnonzero(new_name), np.flatnonzero(new_context)
+            least, most = np.minimum.reduceat(doc, at_name)[g], np.maximum.reduceat(doc, at_name)[g]
+            first = doc[at_context][c]  # sorted by doc within a context
+            others = np.bincount(g[at_context])[g] > 1
+            flag = np.where(doc > first, CERTAIN, np.where((doc == least) & ~border, PUBLISHED, UNCERTAIN))
+            keep = np.flatnonzero(border | (least < most) & ((flag == CERTAIN) | others))
+        else:
+            both = np.bincount(c, weights=1 + twice.astype(np.float64))[c] > 1
+            many = border | both | (np.bincount(g)[g] > 1)
+            met = border | (np.bincount(g, weights=many & ~both)[g] > 0)
+            flag = np.where(both, np.where(new_context & met, PUBLISHED, CERTAIN), UNCERTAIN)
+            keep = np.flatnonzero(many)
+        return _reply(doc[keep], version[keep], code[keep] | flag[keep], passing)
 
     return run
 
 
-def _match_anywhere(table: pa.Table) -> pa.Table:
-    h, doc, version, p = _gather(table.column("payload"))
-    order = np.lexsort((p, version, doc, h))
-    h, doc, version, p = h[order], doc[order], version[order], p[order]
-    g = np.cumsum(_groups(h)) - 1
-    keep = np.flatnonzero(np.bincount(g)[g] > 1)
-    return _reply(doc[keep], version[keep], -1 - p[keep].astype(np.int64))
+def _window_parts(sampler: Sampler, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(two hashes, doc, version, place, twice) of the windows of uncertain and published anchors."""
+    for b in batches:
+        ids, versions = _ids(b.column("doc_id")), b.column("version").to_numpy()
+        codes = b.column("codes")
+        flat, ends = codes.flatten().to_numpy(), np.cumsum([0] + [len(x) for x in codes])
+        for i, j, buf, offsets in t.chunks(b.column("text")):
+            units, _ = sampler.units(buf, offsets)
+            row = np.repeat(np.arange(j - i), np.diff(ends[i : j + 1]))
+            pos, _, before, count, flag = _decode(flat[ends[i] : ends[j]])
+            send = flag != CERTAIN
+            row, plo, count = row[send], (pos - before)[send], count[send]
+            p = t.ranges(plo, count)
+            row = np.repeat(row, count)
+            at = units.first[row] + p
+            yield units.hashes(at, at + sampler.length), units.seconds(at, at + sampler.length), ids[i:j][row], versions[i:j][row], p.astype(np.uint32), np.zeros(len(p), np.uint8)
+
+
+def _send_windows(sampler: Sampler, n_buckets: int, smaller: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _gathered(_window_parts(sampler, batches), SEND_BYTES):
+            h1, h2, doc, version, p, twice = whole
+            if not len(h1):
+                continue
+            order = np.lexsort((doc, h2, h1)) if smaller else np.lexsort((h2, h1))
+            new = _new(h1[order], h2[order])
+            g = np.cumsum(new) - 1
+            if smaller:
+                settled = doc[order] > doc[order][np.flatnonzero(new)][g]
+                at = order[settled]
+            else:
+                settled = ~new
+                both = np.bincount(g)[g] > 1
+                twice[order] = both
+                at = order[both]  # the one that goes on is a repeat as well
+            yield from _replies(doc[at], version[at], -1 - p[at].astype(np.int64), n_buckets)
+            at = order[~settled]  # ascending by hash
+            yield _blobs.split(_hash_bucket(h1[at], n_buckets), n_buckets, *(x[at] for x in whole))
+
+    return run
+
 
+def _match(smaller: bool):
+    def run(table: pa.Table) -> pa.Table:
+        whole, passing = _gather(table.column("payload"), 3)
+        if whole is None:
+            return _reply(_NO_LONGS, _NO_LONGS, _NO_LONGS, passing)
+        order = t.multikey_order(whole[:2])
+        h1, h2, doc, version, p, twice = (x[order] for x in whole)
+        new = _new(h1, h2)
+        g = np.cumsum(new) - 1
+        keep = np.flatnonzero(doc > np.minimum.reduceat(doc, np.flatnonzero(new))[g] if smaller else np.bincount(g)[g] > 1)
+        return _reply(doc[keep], version[keep], -1 - p[keep].astype(np.int64), passing)
 
-def _match_smaller(table: pa.Table) -> pa.Table:
-    h, doc, version, p = _gather(table.column("payload"))
-    order, h = t.sort_order(h)
-    doc = doc[order]
-    new = _groups(h)
-    least = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1]
-    keep = np.flatnonzero(doc > least)
-    return _reply(doc[keep], version[order][keep], -1 - p[order][keep].astype(np.int64))
+    return run
 
 
 def covered(sampler: Sampler, codes: np.ndarray, row: np.ndarray, first: np.ndarray, whole_flags: tuple[int, ...]) -> np.ndarray:
@@ -238,13 +375,16 @@ def find_repeats(docs: DataFrame, sampler: Sampler, smaller: bool) -> DataFrame:
     """(doc_id, text, codes) with every repeat's code, one row per row of docs.
 
     smaller: a window counts only against documents of smaller doc_id; else against any other place.
-    A null doc_id is less than all others. Rows sharing a doc_id are told apart by their text.
+    A null doc_id is less than all others. Rows sharing a doc_id are told apart by their text. A worker holds
+    SEND_BYTES of entries and the arrays of one chunk, which is at least one whole text.
     """
     rows = id_and_text(docs)
+    context = docs.sparkSession.sparkContext
     twins = bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
-    n = _blobs.buckets(rows)
-    sent = rows.mapInArrow(_send_anchors(sampler, n, twins), _blobs.SCHEMA)
-    judged = written(sent.groupBy("bucket").applyInArrow(_judge_smaller if smaller else _judge_anywhere, _REPLY), "anchors")
+    ranges = _ranges(rows, sampler, twins)
+    shared, n = context.broadcast(ranges), ranges.buckets
+    sent = rows.mapInArrow(_send_anchors(sampler, shared, twins, smaller), _blobs.SCHEMA)
+    judged = written(sent.groupBy("bucket").applyInArrow(_judge(shared, smaller), _REPLY), "anchors")
     keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     if twins:
         keyed = keyed.mapInArrow(_with_version, "doc_id long, text string, version long")
@@ -253,8 +393,8 @@ def find_repeats(docs: DataFrame, sampler: Sampler, smaller: bool) -> DataFrame:
     texts = keyed.repartition(*keys)
     unsure = judged.groupBy(*keys).agg(F.collect_list("code").alias("codes"), F.max(F.col("code").bitwiseAND(3)).alias("most")).where("most > 1").drop("most")
     sending = texts.dropDuplicates(keys) if twins and not smaller else texts
-    windows = sending.join(unsure.hint("merge"), keys).select("doc_id", F.col("version") if twins else F.lit(0).cast("long").alias("version"), "text", "codes").mapInArrow(_send_windows(sampler, n), _blobs.SCHEMA)
-    matched = windows.groupBy("bucket").applyInArrow(_match_smaller if smaller else _match_anywhere, _REPLY)
+    windows = sending.join(unsure.hint("merge"), keys).select("doc_id", F.col("version") if twins else F.lit(0).cast("long").alias("version"), "text", "codes").mapInArrow(_send_windows(sampler, n, smaller), _blobs.SCHEMA)
+    matched = windows.groupBy("bucket").applyInArrow(_match(smaller), _REPLY)
     codes = judged.unionByName(matched).groupBy(*keys).agg(F.collect_list("code").alias("codes"))
     return texts.join(codes.hint("merge"), keys, "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "codes")
 

@@ -168,6 +168,25 @@ def sort_order(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, x
 
 
+def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of 64-bit words: parted by one word at a time, and only rows still tied look at the next."""
+    order, x = sort_order(columns[0])
+    n = len(order)
+    start = np.ones(n, bool)
+    start[1:] = x[1:] != x[:-1]
+    for column in columns[1:]:
+        run = np.cumsum(start) - 1
+        tied = np.flatnonzero(np.bincount(run)[run] > 1) if n else run
+        if not len(tied):
+            break
+        group, value = run[tied], column[order[tied]]
+        by = np.lexsort((value, group))
+        order[tied] = order[tied][by]
+        value = value[by]
+        start[tied[1:]] |= (group[1:] == group[:-1]) & (value[1:] != value[:-1])
+    return order
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(values ascending, index of a first occurrence, inverse, counts)."""
     order, x = sort_order(h)

@@ -5,7 +5,7 @@ every left symbol followed by a right one becomes a pair. Names are hashes of wh
 executors name alike without a shared dictionary, and equal substrings get equal interior symbols. Each symbol
 carries the range of words that its formation depended on; a window may use a symbol if that range lies inside it.
 Every 13-word window is anchored at its leftmost symbol of the highest round; shared anchors reveal repeats, and
-their windows are verified word by word through 64-bit hashes.
+their windows are verified through 128 bits of hashes over all their words.
 """
 
 from __future__ import annotations
@@ -29,7 +29,11 @@ class RecompressionSampler:
     def __init__(self, length: int = LENGTH, rounds: int = ROUNDS):
         if not (1 <= length < 256 and 0 <= rounds <= len(_SALTS)):
             raise ValueError("need 1 <= length < 256 and rounds of at most 64")
-        self.length, self.rounds = length, rounds
+        self.length, self.rounds, self.leads = length, rounds, 0
+
+    def lead(self, buf: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+        """Symbols are ordered by their names alone."""
+        return []
 
     def units(self, buf: np.ndarray, offsets: np.ndarray):
         starts, ends, first = t.words(buf, offsets, t.BLANK_WORDS)
@@ -129,6 +133,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeat_report() of all documents."""
     return repeat_report(table(spark, sf_dir, "documents"))
 
 

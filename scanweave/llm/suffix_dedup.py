@@ -1,10 +1,10 @@
 """Removal of repeated byte strings with a sparse suffix order.
 
 Suffixes are sampled where a rolling hash of the next `GRAM` bytes is the least of its window, so that every
-200-byte string holds a sampled suffix at a place its content fixes. Sampled suffixes are dealt to buckets by a hash
-of their leading `GRAM` bytes, so that suffixes that agree there share a bucket and no boundary needs comparing; in a
-bucket they are ordered by (leading hash, context hash) and judged against their neighbours in that order. What
-contexts leave open, equal 200-byte windows settle.
+200-byte string holds a sampled suffix at a place its content fixes. Splitters taken from a sample of them
+range-partition the suffixes by their leading bytes; a bucket sorts its suffixes by multikey quicksort, eight bytes at a
+time, with what follows the leading 32 bytes ordered by 64-bit hashes, and judges each against its neighbours. What
+lies at a splitter is compared with the other side's, and what contexts leave open is settled, by equal 200-byte windows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from ._repeats import CERTAIN, PUBLISHED, Units, find_repeats, finish
 
 LENGTH = 200
 GRAM = 64
+#: Words of eight bytes by which suffixes are ordered before hashes stand in.
+LEADS = 4
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
@@ -26,7 +28,11 @@ class ByteSampler:
     def __init__(self, length: int = LENGTH, gram: int = GRAM):
         if not 0 < gram <= length < 256:
             raise ValueError("need 0 < gram <= length < 256")
-        self.length, self.gram = length, gram
+        self.length, self.gram, self.leads = length, gram, min(gram // 8, LEADS)
+
+    def lead(self, buf: np.ndarray, pos: np.ndarray) -> list[np.ndarray]:
+        eights = np.ndarray((len(buf) - 7,), dtype=">u8", buffer=buf, strides=(1,)) if self.leads else None
+        return [eights[pos + 8 * k].astype(np.uint64) for k in range(self.leads)]
 
     def units(self, buf: np.ndarray, offsets: np.ndarray):
         return Units(_TABLE[buf], offsets), None
@@ -104,4 +110,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeat_report() of all documents."""
     return repeat_report(table(spark, sf_dir, "documents"))

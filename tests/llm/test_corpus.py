@@ -382,3 +382,24 @@ def test_pipeline_stages(spark):
         docs = out
     whole = pipeline.run(spark, SF)
     assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in docs.collect()}
+
+
+@pytest.mark.parametrize("smaller", [False, True])
+def test_repeats_over_many_borders(spark, monkeypatch, smaller):
+    # one passage in most documents, whole copies of one text, and far more buckets than names: groups lie across borders
+    monkeypatch.setattr(_blobs, "BUCKET_BYTES", 64)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(1, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage, copy = text(70), text(90)
+    rows = [(k, copy if k % 3 == 0 else f"{text(rng.randint(0, 20))} {passage} {text(rng.randint(0, 20))}") for k in range(150)] + [(7, copy), (7, copy), (None, passage)]
+    docs = frame(spark, rows).repartition(6)
+    found = recompression_dedup.repeat_report(docs) if smaller else suffix_dedup.repeat_report(docs)
+    assert sorted((LOW if r[0] is None else r[0], *r[1:]) for r in found.collect()) == (brute_words if smaller else brute_bytes)(rows)
+
+
+def test_multikey_order():
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(0, k, 2000).astype(np.uint64) for k in (3, 4, 50)]
+    assert (_text.multikey_order(columns) == np.lexsort(columns[::-1])).all()
+    assert len(_text.multikey_order([np.zeros(0, np.uint64)] * 2)) == 0
