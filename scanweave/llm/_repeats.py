@@ -15,7 +15,7 @@ places, and only places whose anchor occurs more than once can be repeats. Three
 3. What is certain and what exchange 2 found goes back to the documents.
 
 Senders settle among themselves what they can: of equal contexts or windows that one task holds, one goes on. Contexts
-and windows are compared by 128 bits: two polynomial hashes over different bases. No group's pairs are formed.
+and windows are compared by 96 and 128 bits: two polynomial hashes over different bases. No group's pairs are formed.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ from ._frames import NO_ID, id_and_text, written
 
 CERTAIN, UNCERTAIN, PUBLISHED = 1, 2, 3
 #: Bytes of entries that a Python worker gathers before it sends them.
-SEND_BYTES = 24 << 20
+SEND_BYTES = 12 << 20
 #: Most borders that the driver finds; beyond, a range is parted by a hash of the names.
 MOST_RANGES = 1 << 14
-#: Sampled anchors for each border, the bytes of text that are sampled for it, and of how many anchors one is taken.
-PER_RANGE, SAMPLE_BYTES, THIN = 64, 64 << 10, 8
+#: Bytes of text that are sampled for each border, and of how many anchors there one is taken.
+SAMPLE_BYTES, THIN = 32 << 10, 16
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _BASE = np.uint64(_BASES[0])
 _SECOND = np.uint64(0x27D4EB2F165667C5)
@@ -174,9 +174,9 @@ def _anchor_parts(sampler: Sampler, batches: Iterator[pa.RecordBatch], twins: bo
             start, end = units.first[row], units.first[row + 1]
             lo, hi = np.maximum(start, pos + size - sampler.length), np.minimum(end, pos + sampler.length)
             place = ((pos - lo) * 1024 + (hi - pos)).astype(np.uint64) * _BASE
-            contexts = [t.mix(f(lo, hi) + place) for f in (units.hashes, units.seconds)]
+            c1, c2 = t.mix(units.hashes(lo, hi) + place), t.mix(units.seconds(lo, hi) + place)
             code = _code(pos - start, size, pos - plo, count, 0)
-            yield (*sampler.lead(buf, pos), units.hashes(pos, pos + size), *contexts, ids[i:j][row], _versions(buf, offsets, twins)[row], code, np.zeros(len(pos), np.uint8))
+            yield (*sampler.lead(buf, pos), units.hashes(pos, pos + size), c1, (c2 >> np.uint64(32)).astype(np.uint32), ids[i:j][row], _versions(buf, offsets, twins)[row], code, np.zeros(len(pos), np.uint8))
 
 
 def _gathered(parts: Iterator[tuple], limit: int) -> Iterator[list[np.ndarray]]:
@@ -199,30 +199,29 @@ def _replies(doc: np.ndarray, version: np.ndarray, code: np.ndarray, n_buckets:
 
 
 def _keys_sample(sampler: Sampler, twins: bool):
+    """Packed keys of some anchors, a row for each SEND_BYTES."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *lead, name, c1, _, doc, version, code, _ in _anchor_parts(sampler, batches, twins):
+        for *lead, name, c1, _, doc, version, code, _ in _gathered(_anchor_parts(sampler, batches, twins), SEND_BYTES):
             tie = _tie(doc, version, code >> 26)
             some = np.flatnonzero(tie % np.uint64(THIN) == 0)
-            if len(some):
-                keys = np.stack([x[some] for x in (*lead, name, c1, tie)], 1).astype(">u8")
-                yield pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in keys], pa.binary())], ["key"])
+            yield _blobs.batch([0], [np.stack([x[some] for x in (*lead, name, c1, tie)], 1).astype(">u8").tobytes()])
 
     return run
 
 
 def _ranges(rows: DataFrame, sampler: Sampler, twins: bool) -> Ranges:
-    """Borders from a sample of documents; at most PER_RANGE keys a border reach the driver."""
+    """Borders from a sample of documents: some SAMPLE_BYTES of text for each of at most MOST_RANGES, whatever the input."""
     n = _blobs.buckets(rows)
     count = min(n, MOST_RANGES)
-    every = max(1, _blobs.stored_bytes(rows) // (count * SAMPLE_BYTES))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    every = max(1, total // (count * SAMPLE_BYTES))
     some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0) if every > 1 else rows
-    found = some.mapInArrow(_keys_sample(sampler, twins), "key binary").orderBy(F.xxhash64("key"), "key").limit(PER_RANGE * count).toArrow().column("key").to_pylist()
-    width = sampler.leads + 3
-    keys = sorted(found)
-    at = [len(keys) * k // count for k in range(1, count)] if keys else []
-    borders = np.frombuffer(b"".join(keys[i] for i in at), f"S{8 * width}")
-    names = np.frombuffer(b"".join(keys[i][8 * sampler.leads : 8 * sampler.leads + 8] for i in at), ">u8").astype(np.uint64)
-    return Ranges(borders, np.unique(names), -(-n // (len(at) + 1)))
+    found = b"".join(r["payload"] for r in some.mapInArrow(_keys_sample(sampler, twins), _blobs.SCHEMA).collect())
+    keys = np.sort(np.frombuffer(found, f"S{8 * (sampler.leads + 3)}"))
+    borders = keys[np.arange(1, count) * len(keys) // count] if len(keys) else keys
+    words = np.frombuffer(borders.tobytes(), ">u8").reshape(len(borders), sampler.leads + 3)
+    return Ranges(borders, np.unique(words[:, sampler.leads].astype(np.uint64)), -(-n // (len(borders) + 1)))
 
 
 def _send_anchors(sampler: Sampler, shared, twins: bool, smaller: bool):
@@ -274,7 +273,7 @@ def _judge(shared, smaller: bool):
         if whole is None:
             return _reply(_NO_LONGS, _NO_LONGS, _NO_LONGS, passing)
         *lead, name, c1, c2, doc, version, code, twice = whole
-        keys = [*lead, name, c1, c2] + ([doc.view(np.uint64) ^ np.uint64(1 << 63)] if smaller else [])
+        keys = [*lead, name, c1, c2.astype(np.uint64)] + ([doc.view(np.uint64) ^ np.uint64(1 << 63)] if smaller else [])
         order = t.multikey_order(keys)
         name, c1, c2, doc, version, code, twice = (x[order] for x in (name, c1, c2, doc, version, code, twice))
         new_name, new_context = _new(name), _new(name, c1, c2)
