@@ -1,18 +1,16 @@
-"""Katz back-off language model: Good-Turing discounted bigrams over a class-based vocabulary.
-
-Tokens are classes: each of the commonest training words is one, and all other words share the class `unk`, within
-which a word has its smoothed unigram share. So P(w | h) = P(class(w) | class(h)) * P(w | class(w)), which sums to one.
-Bigram classes are discounted by Good-Turing and back off to the class unigrams with weights that normalise exactly:
+"""Katz back-off language model: Good-Turing discounted bigrams over all words of the training documents.
 
     P(b | a) = d(c(a,b)) c(a,b) / c(a)      if c(a,b) > 0
              = alpha(a) P(b)                 else,
-    alpha(a) = (1 - sum over seen b of d c / c(a)) / (1 - sum over seen b of P(b))
+    alpha(a) = (1 - sum over seen b of d c / c(a)) / (1 - sum over seen b of P(b)),
+    P(b)     = (c(b) + 0.5) / (N + 0.5 (V + 1)),  all unseen words sharing the one slot beyond the V seen ones,
 
-where c(a) is one larger for contexts that no count discounts, so that every class keeps a probability.
+where c(a) is one larger for contexts that no count discounts, so that something is left for what is unseen. Both
+levels sum to one. No word is left out of the vocabulary: the commonest travel as ranks, all others as hashes.
 
 Bigram counts live in a table partitioned by context (very common contexts are split by the whole pair, so that none
-fills a bucket); what is broadcast is bounded by the number of classes. Words outside the classes are looked up in
-the unigram table by a shuffle join.
+fills a bucket). The counts of rarer words meet the buckets that ask for them in a shuffle join, and travel to them
+with the bigrams; what is broadcast is bounded by `hot_limit` words and by 1 / WIDE_CONTEXT contexts.
 """
 
 from __future__ import annotations
@@ -32,15 +30,16 @@ from . import _text as t
 from ._frames import id_and_text, table, written
 from .token_counts import common
 
-#: Most words with a class of their own.
-CLASSES = 1 << 18
+#: Words whose counts are broadcast; what is computed does not depend on it.
+HOT_LIMIT = 1 << 18
 #: Contexts with at least this share of the bigrams are split over all buckets.
 WIDE_CONTEXT = 1e-4
 KATZ_LIMIT = 5
 #: Text that one packed send covers; bounds a Python worker's memory.
-SEND_BYTES = 12 << 20
-_END = np.uint64(0x5EED0FE4D0000001)
-_ROW_BITS = np.uint64(24)
+SEND_BYTES = 8 << 20
+#: Set in every word's hash, so that ranks and hashes never meet.
+_TOP = np.uint64(1 << 63)
+_END = np.uint64(0x5EED0FE4D0000001) | _TOP
 
 
 def _training(ids: list) -> np.ndarray:
@@ -53,7 +52,7 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     low = t.lower(buf)
     starts, ends, first = t.words(low, offsets, t.BLANK_WORDS)
     out = np.full(len(starts) + len(offsets) - 1, _END, dtype=np.uint64)
-    out[np.arange(len(starts)) + t.row_of(first, len(starts))] = t.span_hashes(low, starts, ends)
+    out[np.arange(len(starts)) + t.row_of(first, len(starts))] = t.span_hashes(low, starts, ends) | _TOP
     return out, first + np.arange(len(first))
 
 
@@ -73,161 +72,198 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @dataclass
-class Classes:
-    """The class vocabulary: bounded by CLASSES, so it may be broadcast."""
+class Words:
+    """The commonest words with their counts, and the corpus totals."""
 
-    keys: np.ndarray  # word hashes, ascending
-    counts: np.ndarray  # of each word, then of unk
+    keys: np.ndarray  # hashes, ascending
+    counts: np.ndarray
     total: int  # tokens
     types: int  # distinct words
-
-    @property
-    def unk(self) -> int:
-        return len(self.keys)
+    wide: np.ndarray  # which ranks, and the begin of a document, are wide contexts
 
     @property
     def begin(self) -> int:
-        return len(self.keys) + 1
-
-    @property
-    def unigrams(self) -> np.ndarray:
-        return (self.counts + 0.5) / (self.total + 0.5 * len(self.counts))
+        return len(self.keys)
 
     def of(self, h: np.ndarray) -> np.ndarray:
+        """Codes of hashes: the rank of common words, the hash of others."""
         at, there = t.member_index(self.keys, h)
-        return np.where(there, at, self.unk)
+        return np.where(there, at.astype(np.uint64), h)
 
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / (self.total + 0.5 * (self.types + 1)))
+    def is_wide(self, code: np.ndarray) -> np.ndarray:
+        return (code < _TOP) & self.wide[np.minimum(code, np.uint64(self.begin)).astype(np.int64)]
 
-    def inside_unk(self, counts: np.ndarray) -> np.ndarray:
-        """log10 P(word | unk); all unseen words share one slot, as in the base score."""
-        return np.log10((counts + 0.5) / (self.counts[-1] + 0.5 * (self.types - len(self.keys) + 1)))
+    def counted(self, code: np.ndarray, rare: np.ndarray, rare_counts: np.ndarray) -> np.ndarray:
+        """The count of each code, those of rare words from a table of ascending hashes."""
+        common_ = code < _TOP
+        out = np.zeros(len(code), np.int64)
+        out[common_] = self.counts[code[common_].astype(np.int64)]
+        at, there = t.member_index(rare, code[~common_])
+        out[~common_] = np.where(there, rare_counts[at], 0) if len(rare) else 0
+        return out
 
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 0.5) / (self.total + 0.5 * (self.types + 1))
 
-_DOC = "doc_id long, version long, h long, freq long, tokens long, known long, base double, inside double, own boolean"
 
+@dataclass
+class Pairs:
+    """A part's tokens by (context, word, row), each once, with how often it occurs."""
 
-def _unigram_rows(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes: Classes = shared.value
-        for b in batches:
-            ids, rows, tails = b.column("doc_id"), [], []
-            for i, j, buf, offsets in t.chunks(b.column("text")):
+    context: np.ndarray  # codes of distinct pairs
+    word: np.ndarray
+    entries: np.ndarray  # rows of each pair
+    row: np.ndarray
+    freq: np.ndarray
+
+
+def _run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
+def _pairs(h: np.ndarray, first: np.ndarray, words: Words) -> Pairs:
+    rows = len(first) - 1
+    u, _, inverse, _ = t.distinct(h)
+    code = np.append(words.of(u), np.uint64(words.begin))
+    width, low = np.uint64(len(u).bit_length()), np.uint64(max(1, rows - 1).bit_length())
+    if 2 * int(width) + int(low) > 64:
+        raise ValueError("too many distinct words and rows in one part for a 64-bit key")
+    before = np.empty_like(inverse)
+    before[1:] = inverse[:-1]
+    before[first[:-1]] = len(u)
+    key = (before.astype(np.uint64) << width | inverse.astype(np.uint64)) << low | t.row_of(first, len(h)).astype(np.uint64)
+    key.sort()
+    key, freq = _run_lengths(key)
+    pair, entries = _run_lengths(key >> low)
+    mask = (np.uint64(1) << width) - np.uint64(1)
+    return Pairs(code[(pair >> width).astype(np.int64)], code[(pair & mask).astype(np.int64)], entries, (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), freq)
+
+
+def _bucket(context: np.ndarray, word: np.ndarray, words: Words, n: int) -> np.ndarray:
+    key = t.mix(context + np.uint64(1))
+    key = np.where(words.is_wide(context), t.mix(key ^ word), key)
+    return ((key >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, token hashes, first token of each row) of at most SEND_BYTES of text, or of one longer text."""
+    for b in batches:
+        for i, j in t.slices(t.utf8(b.column("text"))[1], SEND_BYTES):
+            part = b.slice(i, j - i)
+            tokens, counts = [], [np.zeros(1, np.int64)]
+            for _, _, buf, offsets in t.chunks(part.column("text")):
                 h, first = _tokens(buf, offsets)
-                n, row = j - i, t.row_of(first, len(h))
-                u, _, inverse, _ = t.distinct(h)
-                at, there = t.member_index(classes.keys, u)
-                counts = np.where(there, classes.counts[np.minimum(at, len(classes.counts) - 1)], 0)
-                base = np.where(there, classes.base(counts), 0.0)
-                of = inverse
-                version = t.span_hashes(buf, offsets[:-1], offsets[1:], seed=1)
-                rare = np.flatnonzero(~there[of])
-                pair, freq = np.unique(row[rare] * len(u) + of[rare], return_counts=True)
-                r, w = np.divmod(pair, max(1, len(u)))
-                rows.append((np.arange(i, j), version.view(np.int64), t.mix(version).view(np.int64), np.zeros(n, np.int64), np.diff(first), t.row_sums((there & (counts > 0))[of].astype(np.int64), first), t.row_sums(base[of], first)))
-                tails.append((r + i, version[r].view(np.int64), u[w].view(np.int64), freq.astype(np.int64)))
-            if rows:
-                own, tail = [np.concatenate(x) for x in zip(*rows)], [np.concatenate(x) for x in zip(*tails)]
-                k, zero = len(tail[0]), np.zeros(len(tail[0]), np.int64)
-                columns = [np.concatenate([own[1], tail[1]]), np.concatenate([own[2], tail[2]]), np.concatenate([own[3], tail[3]]), np.concatenate([own[4], zero]), np.concatenate([own[5], zero]), np.concatenate([own[6], np.zeros(k)]), np.zeros(k + len(own[0])), np.arange(k + len(own[0])) < len(own[0])]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate([own[0], tail[0]]))), *map(pa.array, columns)], [x.split()[0] for x in _DOC.split(", ")])
+                tokens.append(h)
+                counts.append(np.diff(first))
+            yield part, np.concatenate(tokens), np.cumsum(np.concatenate(counts))
+
+
+def _asked(shared, n_buckets: int):
+    """Which bucket asks for the count of which rare word; once for each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Words = shared.value
+        for _, h, first in _parts(batches):
+            code = words.of(h)
+            at = np.flatnonzero(code >= _TOP)
+            before = np.where(np.isin(at, first[:-1]), np.uint64(words.begin), code[at - 1])
+            bucket = _bucket(before, code[at], words, n_buckets)
+            order = np.lexsort((code[at], bucket))
+            bucket, rare = bucket[order], code[at][order]
+            new = np.ones(len(rare), bool)
+            new[1:] = (rare[1:] != rare[:-1]) | (bucket[1:] != bucket[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[new], pa.int32()), pa.array(rare[new].view(np.int64))], ["bucket", "h"])
 
     return run
 
 
-def _spread(context: np.ndarray, pair: np.ndarray, wide: np.ndarray, n: int) -> np.ndarray:
-    key = np.where(wide[context], pair, context.astype(np.uint64))
-    return ((t.mix(key + np.uint64(1)) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+def _send_counts(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket, h, freq = (b.column(c).to_numpy() for c in ("bucket", "h", "freq"))
+            order = t.sort_order(h.view(np.uint64))[0]
+            yield _blobs.split(bucket[order].astype(np.int64), n_buckets, h.view(np.uint64)[order], freq[order])
+
+    return run
 
 
 def _send_pairs(shared, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, wide = shared.value
-        task, ordinal = TaskContext.get().partitionId(), 0
-        for b in batches:
-            # a part of a batch at a time: a token costs some hundred bytes until it is packed
-            for i, j in t.slices(t.utf8(b.column("text"))[1], SEND_BYTES):
-                yield _pairs_of(b.slice(i, j - i), classes, wide, n_buckets, np.array([task, ordinal], np.int64))
-                ordinal += 1
+        words: Words = shared.value
+        task = TaskContext.get().partitionId()
+        for ordinal, (part, h, first) in enumerate(_parts(batches)):
+            yield _packed(part.column("doc_id").to_pylist(), h, first, words, n_buckets, np.array([task, ordinal], np.int64))
 
     return run
 
 
-def _pairs_of(b: pa.RecordBatch, classes: Classes, wide: np.ndarray, n_buckets: int, sender: np.ndarray) -> pa.RecordBatch:
-    shift = np.uint64(len(classes.counts).bit_length() + 1)
-    if 2 * int(shift) + int(_ROW_BITS) > 64 or b.num_rows >> int(_ROW_BITS):
-        raise ValueError("too many classes, or rows in an Arrow batch, for one 64-bit key")
-    ids = b.column("doc_id").to_pylist()
-    learn, keys, versions = _training(ids), [], []
-    for i, j, buf, offsets in t.chunks(b.column("text")):
-        h, first = _tokens(buf, offsets)
-        u, _, inverse, _ = t.distinct(h)
-        code = classes.of(u)[inverse]
-        before = np.empty_like(code)
-        before[1:] = code[:-1]
-        before[first[:-1]] = classes.begin
-        pair = before.astype(np.uint64) << shift | code.astype(np.uint64)
-        keys.append(pair << _ROW_BITS | (t.row_of(first, len(h)) + i).astype(np.uint64))
-        versions.append(t.span_hashes(buf, offsets[:-1], offsets[1:], seed=1).view(np.int64))
-    key = np.concatenate(keys)
-    del keys
-    key.sort()
-    key, freq = _run_lengths(key)
-    pair = key >> _ROW_BITS
-    bucket = _spread((pair >> shift).astype(np.int64), pair, wide, n_buckets).astype(np.int32)
+def _packed(ids: list, h: np.ndarray, first: np.ndarray, words: Words, n_buckets: int, sender: np.ndarray) -> pa.RecordBatch:
+    code = words.of(h)
+    known = (code < _TOP).astype(np.int64)
+    base = np.where(known > 0, np.log10(words.unigram(words.counts[np.where(known > 0, code, np.uint64(0)).astype(np.int64)])) if len(words.keys) else 0.0, 0.0)
+    # the sender's rows travel with one of its buckets
+    names = [np.array([x if x is not None else 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), np.diff(first), t.row_sums(known, first), t.row_sums(base, first)]
+    learn = _training(ids).astype(np.uint8)
+    p = _pairs(h, first, words)
+    bucket = _bucket(p.context, p.word, words, n_buckets)
     order = np.argsort(bucket, kind="stable")
+    start = np.cumsum(p.entries) - p.entries
+    entries = p.entries[order]
+    moved = t.ranges(start[order], entries)
+    context, word, row, freq = p.context[order], p.word[order], p.row[moved], p.freq[moved]
     edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    key, freq = key[order], freq[order].astype(np.uint32)
-    del pair, bucket, order
-    out = [[], []]
+    at = np.concatenate([[0], np.cumsum(entries)])
+    out, first_bucket = [[], []], int(sender[0] * 31 + sender[1]) % n_buckets
     for k in range(n_buckets):
         i, j = int(edges[k]), int(edges[k + 1])
-        if i == j and k:
+        if i == j and k != first_bucket:
             continue
-        p, n = _run_lengths(key[i:j] >> _ROW_BITS)
-        row = key[i:j] & ((np.uint64(1) << _ROW_BITS) - np.uint64(1))
-        # the sender's rows travel with its first bucket only
-        names = [np.array([x if x is not None else 0 for x in ids], np.int64), np.concatenate(versions), np.array([x is None for x in ids], np.uint8)] if not k else [np.zeros(0, np.int64)] * 3
+        c, n = _run_lengths(context[i:j])
         out[0].append(k)
-        out[1].append(_blobs.pack(sender, learn.astype(np.uint8), np.diff(p, prepend=np.uint64(0)), n.astype(np.uint32), row.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), freq[i:j], *names))
+        out[1].append(
+            _blobs.pack(
+                sender, learn, c, n.astype(np.uint32), word[i:j], entries[i:j].astype(np.uint32), row[at[i] : at[j]].astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), freq[at[i] : at[j]].astype(np.uint32),
+                *(names if k == first_bucket else [x[:0] for x in names]),
+            )
+        )
     return _blobs.batch(*out)
 
 
-def _run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return x[at], np.diff(np.append(at, len(x)))
-
-
-_BUCKET = "bucket int, model binary, senders array<binary>"
+_BUCKET = "bucket int, model binary, rare binary, senders array<binary>"
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """One bucket's bigram counts, beside what its senders asked."""
+    """One bucket's bigram counts and the counts of its rare words, beside what its senders asked."""
     payloads = table.column("payload").to_pylist()
-    pairs, counts = [np.zeros(0, np.uint64)], [np.zeros(0)]
-    for p in payloads:
-        _, learn, gaps, n, row, freq, *_ = _blobs.unpack(p)
-        pairs.append(np.cumsum(gaps, dtype=np.uint64))
-        counts.append(t.row_sums(freq * learn[row].astype(np.int64), np.concatenate([[0], np.cumsum(n.astype(np.int64))])))
-    whole = np.concatenate(pairs)
-    order, x = t.sort_order(whole)
-    u, n = _run_lengths(x)
-    c = np.add.reduceat(np.concatenate(counts)[order], np.cumsum(n) - n).astype(np.uint32) if len(n) else np.zeros(0, np.uint32)
-    seen = c > 0
-    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "model": pa.array([_blobs.pack(np.diff(u[seen], prepend=np.uint64(0)), c[seen])], pa.binary()), "senders": pa.array([payloads], pa.list_(pa.binary()))})
-
-
-def _model(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    gaps, c = _blobs.unpack(payload)
-    return np.cumsum(gaps, dtype=np.uint64), c.astype(np.int64)
+    senders, rare = [p for p in payloads if p[0] > 2], [_blobs.unpack(p) for p in payloads if p[0] == 2]
+    contexts, words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for p in senders:
+        _, learn, c, n, word, entries, row, freq, *_ = _blobs.unpack(p)
+        contexts.append(np.repeat(c, n))
+        words.append(word)
+        counts.append(t.row_sums(freq * learn[row].astype(np.int64), np.concatenate([[0], np.cumsum(entries.astype(np.int64))])))
+    context, word, count = np.concatenate(contexts), np.concatenate(words), np.concatenate(counts)
+    learnt = np.flatnonzero(count > 0)
+    order = learnt[t.multikey_order([context[learnt], word[learnt]])]
+    context, word, count = context[order], word[order], count[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    at = np.flatnonzero(new)
+    count = np.add.reduceat(count, at) if len(at) else count
+    c, n = _run_lengths(context[at])
+    model = _blobs.pack(c, n.astype(np.uint32), word[at], count.astype(np.uint64))
+    h, freq = (np.concatenate(x) for x in zip(*rare)) if rare else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    order = t.sort_order(h)[0]
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "model": pa.array([model], pa.binary()), "rare": pa.array([_blobs.pack(h[order], freq[order])], pa.binary()), "senders": pa.array([senders], pa.list_(pa.binary()))})
 
 
 def _counts_of_counts(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for payload in b.column("model").to_pylist():
-                n = np.bincount(np.minimum(_model(payload)[1], limit + 2), minlength=limit + 3)
+                c = _blobs.unpack(payload)[3].astype(np.int64)
+                n = np.bincount(np.minimum(c, limit + 2), minlength=limit + 3)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, limit + 2)), pa.array(n[1 : limit + 2])], ["r", "n"])
 
     return run
@@ -246,145 +282,133 @@ def discounts(n: dict[int, int], limit: int = KATZ_LIMIT) -> np.ndarray:
     return d
 
 
-def _context_sums(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, d = shared.value
-        unigrams, shift = classes.unigrams, np.uint64(len(classes.counts).bit_length() + 1)
-        for b in batches:
-            for payload in b.column("model").to_pylist():
-                pair, c = _model(payload)
-                if len(pair):
-                    context, n = _run_lengths(pair >> shift)
-                    at = np.cumsum(n) - n
-                    p = unigrams[(pair & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)]
-                    mass = d[np.minimum(c, len(d) - 1)] * c if len(d) > 1 else c
-                    mass = np.where(c < len(d), mass, c)
-                    yield pa.RecordBatch.from_arrays([pa.array(context.astype(np.int64)), *(pa.array(np.add.reduceat(x.astype(np.float64), at)) for x in (c, mass, p)), pa.array(n.astype(np.int64))], ["context", "c", "mass", "lower", "n"])
-
-    return run
+def _discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return np.where(c < len(d), d[np.minimum(c, len(d) - 1)], 1.0) * c
 
 
 @dataclass
-class BackOff:
-    """Per context: its count and the weight of its back-off; bounded by the number of classes."""
+class Sums:
+    """Per context: its count, the mass its seen words keep, and their unigram mass."""
 
+    context: np.ndarray  # codes, ascending
     count: np.ndarray
-    alpha: np.ndarray
-    full: np.ndarray  # every class was seen: no discount
+    mass: np.ndarray
+    lower: np.ndarray
 
     @staticmethod
-    def of(sums: pa.Table, classes: Classes) -> "BackOff":
-        n = len(classes.counts) + 1
-        count, alpha, full = np.zeros(n), np.ones(n), np.zeros(n, bool)
-        context = sums.column("context").to_numpy()
-        c, mass, lower, seen = (sums.column(x).to_numpy() for x in ("c", "mass", "lower", "n"))
-        full[context] = seen >= len(classes.counts)
-        # a context whose counts all exceed the discounted ones would leave nothing for the unseen: it counts one more
-        c = c + ((c - mass < 1e-9 * c) & ~full[context])
-        count[context] = c
-        alpha[context] = np.where(full[context], 0.0, (1 - mass / np.maximum(c, 1)) / np.maximum(1 - lower, 1e-300))
-        return BackOff(count, alpha, full)
-
-
-def log_probability(context: np.ndarray, code: np.ndarray, c: np.ndarray, classes: Classes, d: np.ndarray, back: BackOff) -> np.ndarray:
-    """log10 P(code | context): the recursion, for arrays of bigrams with their counts."""
-    cut = np.where((c < len(d)) & ~back.full[context], d[np.minimum(c, len(d) - 1)], 1.0)
-    seen = c > 0
-    with np.errstate(divide="ignore"):
-        direct = np.log10(cut * np.maximum(c, 1) / np.maximum(back.count[context], 1))
-        lower = np.log10(np.where(seen, 1.0, back.alpha[context])) + np.log10(classes.unigrams[code])
-    return np.where(seen, direct, lower)
+    def of(model: list[np.ndarray], words: Words, d: np.ndarray, rare: list[np.ndarray]) -> "Sums":
+        context, n, word, c = model
+        c = c.astype(np.int64)
+        at = np.cumsum(n.astype(np.int64)) - n.astype(np.int64)
+        add = lambda x: np.add.reduceat(x.astype(np.float64), at) if len(at) else np.zeros(0)
+        return Sums(context, add(c), add(_discounted(c, d)), add(words.unigram(words.counted(word, *rare))))
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """(count, back-off weight): a context whose counts all exceed the discounted ones would leave nothing: it counts one more."""
+        count = self.count + (self.count - self.mass < 1e-9 * self.count)
+        return count, (1 - self.mass / np.maximum(count, 1)) / np.maximum(1 - self.lower, 1e-300)
+
+
+def _wide_sums(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, d = shared.value
+        for b in batches:
+            for model, rare in zip(b.column("model").to_pylist(), b.column("rare").to_pylist()):
+                s = Sums.of(_blobs.unpack(model), words, d, _blobs.unpack(rare))
+                wide = words.is_wide(s.context)
+                yield pa.RecordBatch.from_arrays([pa.array(s.context[wide].view(np.int64)), *(pa.array(x[wide]) for x in (s.count, s.mass, s.lower))], ["context", "count", "mass", "lower"])
+
+    return run
 
 
 def _evaluate(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, d, back = shared.value
-        shift = np.uint64(len(classes.counts).bit_length() + 1)
+        words, d, wide_context, wide_count, wide_alpha = shared.value
         for b in batches:
-            for payload, senders in zip(b.column("model").to_pylist(), b.column("senders").to_pylist()):
-                pairs, counts = _model(payload)
+            for model, rare, senders in zip(*(b.column(c).to_pylist() for c in ("model", "rare", "senders"))):
+                model, rare = _blobs.unpack(model), _blobs.unpack(rare)
+                sums = Sums.of(model, words, d, rare)
+                contexts = np.union1d(sums.context, wide_context)
+                count, alpha = np.zeros(len(contexts)), np.ones(len(contexts))
+                # whole contexts are this bucket's own; those of wide ones were added up over all buckets
+                for c, (n, a) in ((sums.context, sums.weights()), (wide_context, (wide_count, wide_alpha))):
+                    at = np.searchsorted(contexts, c)
+                    count[at], alpha[at] = n, a
+                vocabulary, inverse = np.unique(model[2], return_inverse=True)
+                owner = np.searchsorted(contexts, np.repeat(model[0], model[1]))
+                seen_key = owner.astype(np.uint64) << np.uint64(32) | inverse.astype(np.uint64)  # ascending, as the model is
                 keys, answers = [], []
                 for s in senders:
-                    sender, learn, gaps, n, row, freq, *names = _blobs.unpack(s)
-                    pair = np.cumsum(gaps, dtype=np.uint64)
-                    at, there = t.member_index(pairs, pair)
-                    c = np.where(there, counts[at], 0) if len(pairs) else np.zeros(len(pair), np.int64)
-                    logp = log_probability((pair >> shift).astype(np.int64), (pair & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64), c, classes, d, back)
-                    sums = np.bincount(row, weights=np.repeat(logp, n) * freq, minlength=len(learn))
+                    sender, _, c, n, word, entries, row, freq, *names = _blobs.unpack(s)
+                    at, known_context = t.member_index(contexts, c)
+                    at, known_context = np.repeat(at, n), np.repeat(known_context, n)
+                    place, known_word = t.member_index(vocabulary, word)
+                    there, seen = t.member_index(seen_key, at.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
+                    seen &= known_context & known_word
+                    times = np.where(seen, model[3][there].astype(np.int64) if len(seen_key) else 0, 0)
+                    word_count = words.counted(word, *rare)
+                    lower = np.log10(words.unigram(word_count))
+                    if len(contexts):
+                        direct = np.log10(np.maximum(_discounted(times, d), 1e-300) / np.maximum(count[at], 1))
+                        back = np.where(known_context, np.log10(alpha[at]), 0.0) + lower
+                    else:
+                        direct, back = lower, lower
+                    rare_word = word >= _TOP
+                    rows, of = np.unique(row, return_inverse=True)
+                    add = lambda x: np.bincount(of, weights=np.repeat(x, entries) * freq, minlength=len(rows))  # noqa: E731, B023
                     keys.append(int(sender[0] << 32 | sender[1]))
-                    answers.append(_blobs.pack(sums, *names))
+                    answers.append(_blobs.pack(rows, add(np.where(seen, direct, back)), add(np.where(rare_word, lower, 0.0)), add(rare_word & (word_count > 0)).astype(np.uint32), *names))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(answers, pa.binary())], ["sender", "payload"])
 
     return run
 
 
-_SCORED = "doc_id long, version long, score double"
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    total, names = None, None
-    for p in sorted(table.column("payload").to_pylist()):  # in a fixed order, so that sums repeat exactly
-        sums, *own = _blobs.unpack(p)
-        total = sums if total is None else total + sums
-        names = own if len(own[0]) else names
-    ids, versions, null = names
-    return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "version": pa.array(versions), "score": pa.array(total)})
+    blobs = [_blobs.unpack(p) for p in sorted(table.column("payload").to_pylist())]  # in a fixed order, so that sums repeat exactly
+    ids, null, tokens, known, base = next(b[4:] for b in blobs if len(b[4]))
+    score, base, known = np.zeros(len(ids)), base.copy(), known.copy()
+    for rows, katz, rare_base, rare_known, *_ in blobs:
+        score[rows] += katz
+        base[rows] += rare_base
+        known[rows] += rare_known
+    return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": pa.array(tokens), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
 
 
-def score(docs: DataFrame, classes_limit: int = CLASSES, limit: int = KATZ_LIMIT) -> DataFrame:
+def score(docs: DataFrame, hot_limit: int = HOT_LIMIT, limit: int = KATZ_LIMIT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
     Null and empty texts are one end token. Null ids are learnt from and stay null. Rows repeated in full are learnt
     from and scored as often as they occur. If no row is learnt from, every token has the one slot of the unseen. An
-    empty table gives no rows.
+    empty table gives no rows. Columns besides doc_id and text are not looked at.
     """
     spark = docs.sparkSession
-    rows = id_and_text(docs)
-    words = written(rows.mapInArrow(_count_words, "h long, freq long").groupBy("h").agg(F.sum("freq").alias("freq")), "unigrams")
-    sizes = words.agg(F.sum("freq").alias("total"), F.count("*").alias("types")).first()
-    top = common(words, classes_limit - 1).where(F.col("h") != int(_END.view(np.int64))).unionByName(words.where(F.col("h") == int(_END.view(np.int64)))).toArrow()
+    rows, share = id_and_text(docs), spark.sparkContext.broadcast
+    counted = written(rows.mapInArrow(_count_words, "h long, freq long").groupBy("h").agg(F.sum("freq").alias("freq")), "unigrams")
+    sizes = counted.agg(F.sum("freq").alias("total"), F.count("*").alias("types")).first()
+    top = common(counted, hot_limit).toArrow()
     keys = top.column("h").to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    own = top.column("freq").to_numpy()[order]
-    total, types = int(sizes["total"] or 0), int(sizes["types"] or 0)
-    classes = Classes(keys[order], np.append(own, total - own.sum()).astype(np.float64), total, types)
-    wide = np.append(classes.counts >= WIDE_CONTEXT * max(1, total), True)
-    context = spark.sparkContext
-
-    n = _blobs.buckets(rows)
-    sent = rows.mapInArrow(_send_pairs(context.broadcast((classes, wide)), n), _blobs.SCHEMA)
+    own, total = top.column("freq").to_numpy()[order], int(sizes["total"] or 0)
+    words = Words(keys[order], own, total, int(sizes["types"] or 0), np.append(own >= WIDE_CONTEXT * max(1, total), True))
+    shared, n = share(words), _blobs.buckets(rows)
+
+    asked = rows.mapInArrow(_asked(shared, n), "bucket int, h long").join(counted, "h").select("bucket", "h", "freq")
+    sent = rows.mapInArrow(_send_pairs(shared, n), _blobs.SCHEMA).unionByName(asked.mapInArrow(_send_counts(n), _blobs.SCHEMA))
     bigrams = written(sent.groupBy("bucket").applyInArrow(_merge, _BUCKET), "bigrams")
     n_r = {r["r"]: r["n"] for r in bigrams.select("model").mapInArrow(_counts_of_counts(limit), "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()}  # limit + 1 rows
     d = discounts(n_r, limit)
-    sums = bigrams.select("model").mapInArrow(_context_sums(context.broadcast((classes, d))), "context long, c double, mass double, lower double, n long")
-    back = BackOff.of(sums.groupBy("context").agg(*(F.sum(x).alias(x) for x in ("c", "mass", "lower", "n"))).toArrow(), classes)  # at most a row per class
-    answers = bigrams.select("model", "senders").mapInArrow(_evaluate(context.broadcast((classes, d, back))), "sender long, payload binary")
-    katz = answers.groupBy("sender").applyInArrow(_add_up, _SCORED).groupBy("doc_id", "version").agg(F.sum("score").alias("score"))
-
-    spread = rows.mapInArrow(_unigram_rows(context.broadcast(classes)), _DOC).join(words.withColumnRenamed("freq", "c"), "h", "left")
-    c = F.coalesce("c", F.lit(0)).cast("double")
-    logs = lambda over: F.log10((c + 0.5) / F.lit(float(over)))
-    rare = ~F.col("own")
-    per_doc = spread.groupBy("doc_id", "version").agg(
-        F.count_if("own").alias("copies"),
-        F.sum("tokens").alias("tokens"),
-        F.sum(F.col("known") + F.when(rare & (c > 0), F.col("freq")).otherwise(0)).alias("known"),
-        F.sum(F.col("base") + F.when(rare, F.col("freq") * logs(total + 0.5 * (types + 1))).otherwise(0.0)).alias("base"),
-        F.sum(F.when(rare, F.col("freq") * logs(classes.counts[-1] + 0.5 * (types - len(keys) + 1))).otherwise(0.0)).alias("inside"),
-    ).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
-    joined = per_doc.join(katz, per_doc["__id"].eqNullSafe(katz["doc_id"]) & (per_doc["__version"] == katz["version"]))
-    copies = F.col("copies")
+    wide = bigrams.select("model", "rare").mapInArrow(_wide_sums(share((words, d))), "context long, count double, mass double, lower double")
+    wide = wide.groupBy("context").agg(*(F.sum(x).alias(x) for x in ("count", "mass", "lower"))).orderBy("context").toArrow()  # at most 1 / WIDE_CONTEXT rows
+    sums = Sums(wide.column("context").to_numpy().view(np.uint64), *(wide.column(x).to_numpy() for x in ("count", "mass", "lower")))
+    answers = bigrams.select("model", "rare", "senders").mapInArrow(_evaluate(share((words, d, sums.context, *sums.weights()))), "sender long, payload binary")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        "doc_id",
-        held.alias("held_out"),
-        (F.col("tokens") / copies).cast("long").alias("n_tokens"),
-        (F.col("known") / copies).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / copies).alias("base_score"),
-        ((F.col("score") + F.col("inside")) / copies).alias("score"),
-    )
+    found = answers.groupBy("sender").applyInArrow(_add_up, _SCORED)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents."""
     return score(table(spark, sf_dir, "documents"))

@@ -85,15 +85,18 @@ def piece_table(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def common(pieces: DataFrame, limit: int) -> DataFrame:
-    """The pre-tokens above a frequency that leaves at most `limit` of them."""
-    by_freq = pieces.groupBy("freq").count().withColumn("freq", F.least("freq", F.lit(1_000_000))).groupBy("freq").agg(F.sum("count").alias("n")).orderBy(F.desc("freq"))
-    total, least = 0, None
-    for r in by_freq.toLocalIterator():
+    """The `limit` commonest pre-tokens, or all if there are fewer; of equal frequency those with the least hash."""
+    total = 0
+    for r in pieces.groupBy("freq").agg(F.count("*").alias("n")).orderBy(F.desc("freq")).toLocalIterator():  # stops after at most limit + 1 rows
+        if total + r["n"] > limit:
+            rest = limit - total
+            # hashes are uniform: below this one lie `rest` of the n words, and a few more
+            share = min(1.0, (rest + 6 * rest**0.5 + 16) / r["n"])
+            least = -(1 << 63) + min((1 << 64) - 1, int(share * (1 << 64)))
+            level = pieces.where((F.col("freq") == r["freq"]) & (F.col("h") <= least)).orderBy("h").limit(rest)
+            return pieces.where(F.col("freq") > r["freq"]).unionByName(level)
         total += r["n"]
-        if total > limit:
-            break
-        least = r["freq"]
-    return pieces.where(F.col("freq") >= least) if least is not None else pieces.limit(0)
+    return pieces
 
 
 def _document_rows(hot):
@@ -147,6 +150,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, hot_limit:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_tokens() of all documents with the 32k sentence-piece vocabulary."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -178,66 +178,66 @@ def test_quality_edges(spark):
     assert kept.columns == ["doc_id", "text", "score"] and 0 < kept.count() < docs.count()
 
 
-@pytest.mark.parametrize("limit", [60, 1500])
-def test_katz_sums_to_one_and_matches(spark, limit):
+@pytest.mark.parametrize("hot", [0, 60, 1 << 18])
+def test_katz_sums_to_one_and_matches(spark, hot):
     rows = docs_of(spark)[:40] + [(None, None), (None, "the of the"), (5000, ""), (5000, ""), (6, "dup id")]
     tokens = [(d, re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) + [None]) for d, x in rows]
     learn = [t for d, t in tokens if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
     c = collections.Counter(w for t in learn for w in t)
-    total, types, run, least = sum(c.values()), len(c), 0, None
-    by_freq = collections.Counter(c.values())
-    for f in sorted(by_freq, reverse=True):
-        run += by_freq[f]
-        if run > limit - 1:
-            break
-        least = f
-    short = {w for w in c if least is not None and c[w] >= least} | {None}
-    named = lambda w: ("w", w) if w in short else "unk"
-    classes = [("w", w) for w in short] + ["unk"]
-    class_count = collections.Counter()
-    for w, n in c.items():
-        class_count[named(w)] += n
-    lower = {k: (class_count[k] + 0.5) / (total + 0.5 * len(classes)) for k in classes}
+    total, types = sum(c.values()), len(c)
+    lower = lambda w: (c[w] + 0.5) / (total + 0.5 * (types + 1))
     pairs, context = collections.Counter(), collections.Counter()
     for t in learn:
         before = "begin"
         for w in t:
-            pairs[before, named(w)] += 1
+            pairs[before, w] += 1
             context[before] += 1
-            before = named(w)
+            before = ("w", w)
     n_r = collections.Counter(pairs.values())
     d = katz.discounts({r: n_r[r] for r in range(1, 7)})
     cut = lambda k: d[k] if k <= 5 else 1.0
     seen = collections.defaultdict(dict)
     for (a, b), k in pairs.items():
         seen[a][b] = k
-    full = {a for a in seen if len(seen[a]) == len(classes)}
     for a in context:
-        if a not in full and context[a] - sum(cut(k) * k for k in seen[a].values()) < 1e-9 * context[a]:
+        if context[a] - sum(cut(k) * k for k in seen[a].values()) < 1e-9 * context[a]:
             context[a] += 1
 
     def p(a, b):
         if a not in context:
-            return lower[b]
+            return lower(b)
         if b in seen[a]:
-            return (1.0 if a in full else cut(seen[a][b])) * seen[a][b] / context[a]
-        return (1 - sum(cut(k) * k for k in seen[a].values()) / context[a]) / (1 - sum(lower[x] for x in seen[a])) * lower[b]
+            return cut(seen[a][b]) * seen[a][b] / context[a]
+        return (1 - sum(cut(k) * k for k in seen[a].values()) / context[a]) / (1 - sum(lower(x) for x in seen[a])) * lower(b)
 
-    assert all(abs(sum(p(a, b) for b in classes) - 1) < 1e-9 for a in [*list(context)[:8], "never"])
-    unk, unk_types, expected = class_count["unk"], types - len(short), []
+    assert all(abs(sum(p(a, b) for b in [*c, "never seen"]) - 1) < 1e-9 for a in [*list(context)[:8], "never"])
+    expected = []
     for doc, t in tokens:
         before, s, base = "begin", 0.0, 0.0
         for w in t:
-            s += np.log10(p(before, named(w))) + (0 if w in short else np.log10((c[w] + 0.5) / (unk + 0.5 * (unk_types + 1))))
-            base += np.log10((c[w] + 0.5) / (total + 0.5 * (types + 1)))
-            before = named(w)
+            s += np.log10(p(before, w))
+            base += np.log10(lower(w))
+            before = ("w", w)
         expected.append((LOW if doc is None else doc, len(t), sum(c[w] > 0 for w in t), total, round(base, 4), round(s, 4)))
-    got = [(LOW if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in katz.score(frame(spark, rows), classes_limit=limit).collect()]
+    got = [(LOW if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in katz.score(frame(spark, rows), hot_limit=hot).collect()]
     assert len(got) == len(expected)
     for a, b in zip(sorted(got), sorted(expected)):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], abs=2e-3)
 
 
+def test_katz_without_training_rows(spark):
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 1)
+    (r,) = katz.score(frame(spark, [(held, "a b")])).collect()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+    assert katz.score(frame(spark, [])).count() == 0
+
+
+def test_common_words_fill_the_limit_exactly(spark):
+    pieces = spark.createDataFrame([(k * 7919 - 30000, f) for k, f in enumerate([2_000_000] * 3 + [1_500_000] * 5 + [4] * 3 + [1] * 40)], "h long, freq long")
+    for limit in (0, 2, 6, 8, 9, 20, 51, 60):
+        assert sorted((r.freq for r in token_counts.common(pieces, limit).collect()), reverse=True) == ([2_000_000] * 3 + [1_500_000] * 5 + [4] * 3 + [1] * 40)[:limit]
+
+
 def brute_bytes(rows, length=200):
     texts = [(LOW if d is None else d, (x or "").encode()) for d, x in rows]
     count = collections.Counter(b[i : i + length] for _, b in texts for i in range(len(b) - length + 1))
