@@ -7,6 +7,7 @@ hashes of the entries' keys, so that no key's rows can fill a bucket beyond one
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 
@@ -20,6 +21,14 @@ SCHEMA = "bucket int, payload binary"
 BUCKET_BYTES = 16 << 20
 
 
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker outlives its tasks, and executors are sized for all of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     out = [struct.pack("<B", len(arrays))]
     for a in arrays:

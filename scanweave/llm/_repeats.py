@@ -186,10 +186,14 @@ def _gathered(parts: Iterator[tuple], limit: int) -> Iterator[list[np.ndarray]]:
         held.append(part)
         size += sum(a.nbytes for a in part)
         if size >= limit:
-            yield [np.concatenate(x) for x in zip(*held)]
+            whole = [np.concatenate(x) for x in zip(*held)]
             held, size = [], 0
+            yield whole
+            del whole
+            _blobs.release()
     if held:
         yield [np.concatenate(x) for x in zip(*held)]
+    _blobs.release()
 
 
 def _replies(doc: np.ndarray, version: np.ndarray, code: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:

@@ -37,6 +37,8 @@ WIDE_CONTEXT = 1e-4
 KATZ_LIMIT = 5
 #: Text that one packed send covers; bounds a Python worker's memory.
 SEND_BYTES = 8 << 20
+#: Buckets where other exchanges have one: a bucket's model and all that is asked of it are in one worker.
+SPLIT = 3
 #: Set in every word's hash, so that ranks and hashes never meet.
 _TOP = np.uint64(1 << 63)
 _END = np.uint64(0x5EED0FE4D0000001) | _TOP
@@ -106,40 +108,11 @@ class Words:
         return (counts + 0.5) / (self.total + 0.5 * (self.types + 1))
 
 
-@dataclass
-class Pairs:
-    """A part's tokens by (context, word, row), each once, with how often it occurs."""
-
-    context: np.ndarray  # codes of distinct pairs
-    word: np.ndarray
-    entries: np.ndarray  # rows of each pair
-    row: np.ndarray
-    freq: np.ndarray
-
-
 def _run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
     return x[at], np.diff(np.append(at, len(x)))
 
 
-def _pairs(h: np.ndarray, first: np.ndarray, words: Words) -> Pairs:
-    rows = len(first) - 1
-    u, _, inverse, _ = t.distinct(h)
-    code = np.append(words.of(u), np.uint64(words.begin))
-    width, low = np.uint64(len(u).bit_length()), np.uint64(max(1, rows - 1).bit_length())
-    if 2 * int(width) + int(low) > 64:
-        raise ValueError("too many distinct words and rows in one part for a 64-bit key")
-    before = np.empty_like(inverse)
-    before[1:] = inverse[:-1]
-    before[first[:-1]] = len(u)
-    key = (before.astype(np.uint64) << width | inverse.astype(np.uint64)) << low | t.row_of(first, len(h)).astype(np.uint64)
-    key.sort()
-    key, freq = _run_lengths(key)
-    pair, entries = _run_lengths(key >> low)
-    mask = (np.uint64(1) << width) - np.uint64(1)
-    return Pairs(code[(pair >> width).astype(np.int64)], code[(pair & mask).astype(np.int64)], entries, (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64), freq)
-
-
 def _bucket(context: np.ndarray, word: np.ndarray, words: Words, n: int) -> np.ndarray:
     key = t.mix(context + np.uint64(1))
     key = np.where(words.is_wide(context), t.mix(key ^ word), key)
@@ -156,7 +129,10 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 h, first = _tokens(buf, offsets)
                 tokens.append(h)
                 counts.append(np.diff(first))
-            yield part, np.concatenate(tokens), np.cumsum(np.concatenate(counts))
+            h = np.concatenate(tokens)
+            del tokens
+            yield part, h, np.cumsum(np.concatenate(counts))
+            _blobs.release()
 
 
 def _asked(shared, n_buckets: int):
@@ -193,40 +169,58 @@ def _send_pairs(shared, n_buckets: int):
         words: Words = shared.value
         task = TaskContext.get().partitionId()
         for ordinal, (part, h, first) in enumerate(_parts(batches)):
-            yield _packed(part.column("doc_id").to_pylist(), h, first, words, n_buckets, np.array([task, ordinal], np.int64))
+            out = _packed(part.column("doc_id").to_pylist(), h, first, words, n_buckets, np.array([task, ordinal], np.int64))
+            _blobs.release()
+            yield out
+            del out, part, h, first
 
     return run
 
 
 def _packed(ids: list, h: np.ndarray, first: np.ndarray, words: Words, n_buckets: int, sender: np.ndarray) -> pa.RecordBatch:
-    code = words.of(h)
-    known = (code < _TOP).astype(np.int64)
-    base = np.where(known > 0, np.log10(words.unigram(words.counts[np.where(known > 0, code, np.uint64(0)).astype(np.int64)])) if len(words.keys) else 0.0, 0.0)
+    """A part's tokens by bucket, context, word and row, each once, with how often it occurs."""
+    rows, (u, _, inverse, _) = len(first) - 1, t.distinct(h)
+    code = np.append(words.of(u), np.uint64(words.begin))
+    known = code[:-1] < _TOP
+    base = np.zeros(len(u))
+    base[known] = np.log10(words.unigram(words.counts[code[:-1][known].astype(np.int64)]))
     # the sender's rows travel with one of its buckets
-    names = [np.array([x if x is not None else 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), np.diff(first), t.row_sums(known, first), t.row_sums(base, first)]
+    names = [np.array([x if x is not None else 0 for x in ids], np.int64), np.array([x is None for x in ids], np.uint8), np.diff(first), t.row_sums(known[inverse].astype(np.int64), first), t.row_sums(base[inverse], first)]
     learn = _training(ids).astype(np.uint8)
-    p = _pairs(h, first, words)
-    bucket = _bucket(p.context, p.word, words, n_buckets)
+    width, low = np.uint64(len(u).bit_length()), np.uint64(max(1, rows - 1).bit_length())
+    if 2 * int(width) + int(low) > 64:
+        raise ValueError("too many distinct words and rows in one part for a 64-bit key")
+    key = np.empty(len(h), np.uint64)
+    key[1:] = inverse[:-1]
+    key[first[:-1]] = len(u)
+    key <<= width
+    key |= inverse.astype(np.uint64)
+    key <<= low
+    key |= t.row_of(first, len(h)).astype(np.uint64)
+    del inverse
+    key.sort()
+    key, freq = _run_lengths(key)
+    freq = freq.astype(np.uint32)
+    row = (key & ((np.uint64(1) << low) - np.uint64(1))).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
+    key >>= low
+    pair, entries = _run_lengths(key)
+    del key
+    context, word = (pair >> width).astype(np.int32), (pair & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int32)
+    del pair
+    bucket = np.concatenate([_bucket(code[context[i : i + 65536]], code[word[i : i + 65536]], words, n_buckets).astype(np.int32) for i in range(0, len(context), 65536)])
     order = np.argsort(bucket, kind="stable")
-    start = np.cumsum(p.entries) - p.entries
-    entries = p.entries[order]
-    moved = t.ranges(start[order], entries)
-    context, word, row, freq = p.context[order], p.word[order], p.row[moved], p.freq[moved]
     edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    at = np.concatenate([[0], np.cumsum(entries)])
+    del bucket
+    start = np.cumsum(entries) - entries
     out, first_bucket = [[], []], int(sender[0] * 31 + sender[1]) % n_buckets
     for k in range(n_buckets):
-        i, j = int(edges[k]), int(edges[k + 1])
-        if i == j and k != first_bucket:
+        own = order[edges[k] : edges[k + 1]]
+        if not len(own) and k != first_bucket:
             continue
-        c, n = _run_lengths(context[i:j])
+        c, n = _run_lengths(code[context[own]])
+        at = t.ranges(start[own], entries[own])
         out[0].append(k)
-        out[1].append(
-            _blobs.pack(
-                sender, learn, c, n.astype(np.uint32), word[i:j], entries[i:j].astype(np.uint32), row[at[i] : at[j]].astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32), freq[at[i] : at[j]].astype(np.uint32),
-                *(names if k == first_bucket else [x[:0] for x in names]),
-            )
-        )
+        out[1].append(_blobs.pack(sender, learn, c, n.astype(np.uint32), code[word[own]], entries[own].astype(np.uint32), row[at], freq[at], *(names if k == first_bucket else [x[:0] for x in names])))
     return _blobs.batch(*out)
 
 
@@ -234,28 +228,43 @@ _BUCKET = "bucket int, model binary, rare binary, senders array<binary>"
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """One bucket's bigram counts and the counts of its rare words, beside what its senders asked."""
+    """One bucket's bigram counts and the counts of its rare words, and what its senders asked, by place in the model.
+
+    The model holds every pair that occurs, those of held-out documents alone with a count of zero.
+    """
     payloads = table.column("payload").to_pylist()
-    senders, rare = [p for p in payloads if p[0] > 2], [_blobs.unpack(p) for p in payloads if p[0] == 2]
-    contexts, words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for p in senders:
+    rare = [_blobs.unpack(p) for p in payloads if p[0] == 2]
+    asked = [p for p in payloads if p[0] > 2]
+    contexts, words, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0)]
+    for p in asked:
         _, learn, c, n, word, entries, row, freq, *_ = _blobs.unpack(p)
         contexts.append(np.repeat(c, n))
         words.append(word)
         counts.append(t.row_sums(freq * learn[row].astype(np.int64), np.concatenate([[0], np.cumsum(entries.astype(np.int64))])))
+    edges = np.cumsum([len(x) for x in words])
     context, word, count = np.concatenate(contexts), np.concatenate(words), np.concatenate(counts)
-    learnt = np.flatnonzero(count > 0)
-    order = learnt[t.multikey_order([context[learnt], word[learnt]])]
-    context, word, count = context[order], word[order], count[order]
+    del contexts, words, counts
+    order = t.multikey_order([context, word])
+    context, word = context[order], word[order]
     new = np.ones(len(order), bool)
     new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-    at = np.flatnonzero(new)
-    count = np.add.reduceat(count, at) if len(at) else count
+    at, place = np.flatnonzero(new), np.empty(len(order), np.uint32)
+    place[order] = np.cumsum(new) - 1
+    count = np.add.reduceat(count[order], at) if len(at) else count
     c, n = _run_lengths(context[at])
     model = _blobs.pack(c, n.astype(np.uint32), word[at], count.astype(np.uint64))
+    del order, context, word, new, at
+    senders = []
+    for k, p in enumerate(asked):
+        sender, learn, _, _, _, entries, row, freq, *names = _blobs.unpack(p)
+        own = place[edges[k] : edges[k + 1]]
+        by = np.argsort(own, kind="stable")
+        moved = t.ranges((np.cumsum(entries) - entries)[by].astype(np.int64), entries[by].astype(np.int64))
+        senders.append(_blobs.pack(sender, np.diff(own[by], prepend=np.uint32(0)), entries[by], row[moved], freq[moved], *names))
     h, freq = (np.concatenate(x) for x in zip(*rare)) if rare else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    order = t.sort_order(h)[0]
-    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "model": pa.array([model], pa.binary()), "rare": pa.array([_blobs.pack(h[order], freq[order])], pa.binary()), "senders": pa.array([senders], pa.list_(pa.binary()))})
+    by = t.sort_order(h)[0]
+    _blobs.release()
+    return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "model": pa.array([model], pa.binary()), "rare": pa.array([_blobs.pack(h[by], freq[by])], pa.binary()), "senders": pa.array([senders], pa.list_(pa.binary()))})
 
 
 def _counts_of_counts(limit: int):
@@ -301,7 +310,7 @@ class Sums:
         c = c.astype(np.int64)
         at = np.cumsum(n.astype(np.int64)) - n.astype(np.int64)
         add = lambda x: np.add.reduceat(x.astype(np.float64), at) if len(at) else np.zeros(0)
-        return Sums(context, add(c), add(_discounted(c, d)), add(words.unigram(words.counted(word, *rare))))
+        return Sums(context, add(c), add(_discounted(c, d)), add(np.where(c > 0, words.unigram(words.counted(word, *rare)), 0.0)))
 
     def weights(self) -> tuple[np.ndarray, np.ndarray]:
         """(count, back-off weight): a context whose counts all exceed the discounted ones would leave nothing: it counts one more."""
@@ -321,44 +330,38 @@ def _wide_sums(shared):
     return run
 
 
+def _nine_digits(x: np.ndarray) -> np.ndarray:
+    """x with the last three bytes cleared, which then cost nothing to send."""
+    return (np.asarray(x, np.float64).view(np.uint64) & np.uint64(0xFFFFFFFFFF000000)).view(np.float64)
+
+
 def _evaluate(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, d, wide_context, wide_count, wide_alpha = shared.value
         for b in batches:
-            for model, rare, senders in zip(*(b.column(c).to_pylist() for c in ("model", "rare", "senders"))):
-                model, rare = _blobs.unpack(model), _blobs.unpack(rare)
+            for k in range(b.num_rows):
+                model, rare = (_blobs.unpack(b.column(c)[k].as_py()) for c in ("model", "rare"))
                 sums = Sums.of(model, words, d, rare)
-                contexts = np.union1d(sums.context, wide_context)
-                count, alpha = np.zeros(len(contexts)), np.ones(len(contexts))
+                count, alpha = sums.weights()
                 # whole contexts are this bucket's own; those of wide ones were added up over all buckets
-                for c, (n, a) in ((sums.context, sums.weights()), (wide_context, (wide_count, wide_alpha))):
-                    at = np.searchsorted(contexts, c)
-                    count[at], alpha[at] = n, a
-                vocabulary, inverse = np.unique(model[2], return_inverse=True)
-                owner = np.searchsorted(contexts, np.repeat(model[0], model[1]))
-                seen_key = owner.astype(np.uint64) << np.uint64(32) | inverse.astype(np.uint64)  # ascending, as the model is
+                at, there = t.member_index(wide_context, sums.context)
+                count[there], alpha[there] = wide_count[at[there]], wide_alpha[at[there]]
+                _, n, word, times = model
+                count, alpha, times = np.repeat(count, n), np.repeat(alpha, n), times.astype(np.int64)
+                occurs = words.counted(word, *rare)
+                lower = np.log10(words.unigram(occurs))
+                logp = np.where(times > 0, np.log10(np.maximum(_discounted(times, d), 1e-300) / np.maximum(count, 1)), np.log10(alpha) + lower)
+                rare_base, rare_known = np.where(word >= _TOP, lower, 0.0), (word >= _TOP) & (occurs > 0)
                 keys, answers = [], []
-                for s in senders:
-                    sender, _, c, n, word, entries, row, freq, *names = _blobs.unpack(s)
-                    at, known_context = t.member_index(contexts, c)
-                    at, known_context = np.repeat(at, n), np.repeat(known_context, n)
-                    place, known_word = t.member_index(vocabulary, word)
-                    there, seen = t.member_index(seen_key, at.astype(np.uint64) << np.uint64(32) | place.astype(np.uint64))
-                    seen &= known_context & known_word
-                    times = np.where(seen, model[3][there].astype(np.int64) if len(seen_key) else 0, 0)
-                    word_count = words.counted(word, *rare)
-                    lower = np.log10(words.unigram(word_count))
-                    if len(contexts):
-                        direct = np.log10(np.maximum(_discounted(times, d), 1e-300) / np.maximum(count[at], 1))
-                        back = np.where(known_context, np.log10(alpha[at]), 0.0) + lower
-                    else:
-                        direct, back = lower, lower
-                    rare_word = word >= _TOP
+                for s in b.column("senders")[k].values:
+                    sender, gaps, entries, row, freq, *names = _blobs.unpack(s.as_py())
+                    at = np.repeat(np.cumsum(gaps, dtype=np.int64), entries)
                     rows, of = np.unique(row, return_inverse=True)
-                    add = lambda x: np.bincount(of, weights=np.repeat(x, entries) * freq, minlength=len(rows))  # noqa: E731, B023
+                    add = lambda x: np.bincount(of, weights=x[at] * freq, minlength=len(rows))  # noqa: E731, B023
                     keys.append(int(sender[0] << 32 | sender[1]))
-                    answers.append(_blobs.pack(rows, add(np.where(seen, direct, back)), add(np.where(rare_word, lower, 0.0)), add(rare_word & (word_count > 0)).astype(np.uint32), *names))
+                    answers.append(_blobs.pack(rows, _nine_digits(add(logp)), _nine_digits(add(rare_base)), add(rare_known).astype(np.uint32), *names))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(answers, pa.binary())], ["sender", "payload"])
+                _blobs.release()
 
     return run
 
@@ -393,7 +396,7 @@ def score(docs: DataFrame, hot_limit: int = HOT_LIMIT, limit: int = KATZ_LIMIT)
     order = np.argsort(keys)
     own, total = top.column("freq").to_numpy()[order], int(sizes["total"] or 0)
     words = Words(keys[order], own, total, int(sizes["types"] or 0), np.append(own >= WIDE_CONTEXT * max(1, total), True))
-    shared, n = share(words), _blobs.buckets(rows)
+    shared, n = share(words), SPLIT * _blobs.buckets(rows)
 
     asked = rows.mapInArrow(_asked(shared, n), "bucket int, h long").join(counted, "h").select("bucket", "h", "freq")
     sent = rows.mapInArrow(_send_pairs(shared, n), _blobs.SCHEMA).unionByName(asked.mapInArrow(_send_counts(n), _blobs.SCHEMA))
