@@ -26,6 +26,8 @@ WINDOW = 2048
 END_ID = 1
 #: Distinct words whose ids a Python worker remembers; beyond, it forgets all and starts anew.
 CACHE_WORDS = 1 << 20
+#: Ids of cut documents that are broadcast rather than shuffled.
+BROADCAST_IDS = 1 << 17
 _CACHES: dict[str, "WordIds"] = {}
 
 
@@ -308,7 +310,10 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     placed = written(ranked.mapInArrow(_place(places), _PLACED), "placed")
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     whole, cut = placed.where("ids_crc32 is not null"), placed.where("ids_crc32 is null")
-    texts = id_and_text(docs).withColumnRenamed("doc_id", "__id").join(cut.select(F.col("doc_id").alias("__cut_id")).distinct(), F.col("__id").eqNullSafe(F.col("__cut_id")), "left_semi")
+    cut_ids = cut.select(F.col("doc_id").alias("__cut_id")).distinct()
+    # only the pieces at borders of leftover windows are cut, mostly few; the result is the same either way
+    cut_ids = F.broadcast(cut_ids) if cut_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else cut_ids
+    texts = id_and_text(docs).withColumnRenamed("doc_id", "__id").join(cut_ids, F.col("__id").eqNullSafe(F.col("__cut_id")), "left_semi")
     texts = texts.mapInArrow(_versions, "__id long, text string, __version long").dropDuplicates(["__id", "__version"])
     again = cut.join(texts, cut["doc_id"].eqNullSafe(texts["__id"]) & (cut["version"] == texts["__version"])).drop("__id", "__version")
     crcs = again.select("doc_id", "version", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "text").mapInArrow(_crc_of_cuts(tokenizer_path, end_id), _PLACED)
@@ -341,6 +346,7 @@ def sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str, end_id: i
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents into windows of 2,048 ids."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
