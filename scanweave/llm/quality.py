@@ -1,9 +1,9 @@
 """Quality classifier by non-negative positive-unlabelled learning.
 
-Trusted positives are documents marked good; the unlabelled set is the same web text with its marks taken off. The
-class prior is estimated as the share of good marks; where only positives are marked, a first classifier of positives
-against unlabelled text is fitted on one half, and the least ratio of the shares of the other half that score above a
-threshold bounds the prior from above. The model minimises the non-negative unbiased risk
+Trusted positives are documents marked good; the unlabelled set is drawn from all web text, and no mark of it is used.
+To estimate the class prior, a first classifier of positives against unlabelled text is fitted on one half, and the
+least ratio of the shares of the other half that score above a threshold bounds the prior from above. The model
+minimises the non-negative unbiased risk
 pi R_p(+) + max(0, R_u(-) - pi R_p(-))  over features of the text alone.
 """
 
@@ -21,8 +21,10 @@ from ._frames import id_and_text, table
 
 BINS = 1024
 EXTRA = 8
-#: Most labelled documents that the fit looks at: the ones least by a hash of doc_id.
-SAMPLE = 10_000
+#: Most documents marked good, and most unlabelled ones, that the fit looks at: the ones least by a hash of doc_id.
+SAMPLE = 5_000
+#: Rows whose features are made at once.
+ROWS = 512
 _PAIR = (t.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(77)) >> np.uint64(54)).astype(np.int64)  # 1,024 bins
 
 
@@ -134,47 +136,53 @@ def held_out(doc_id: Column) -> Column:
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [x.astype(np.float16).tobytes() for _, _, buf, offsets in t.chunks(b.column("text")) for x in features(buf, offsets)]
+        rows = [x.astype(np.float16).tobytes() for _, _, buf, offsets in t.chunks(b.column("text"), rows=ROWS) for x in features(buf, offsets)]
         yield pa.RecordBatch.from_arrays([b.column("positive"), pa.array(rows, pa.binary())], ["positive", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` labelled training rows, those least by a hash. All are the unlabelled set; a row's mark only
-    says whether it is a trusted positive as well, and the marks' mean is the prior.
+    """Fits on at most `sample` documents marked good and as many unlabelled ones, those least by a hash of their ids.
 
-    Null labels and labels of absent documents are ignored. With no labels at all every score is one half.
+    The unlabelled are drawn from all documents outside the held-out fold, whether `labels` covers them or not, and no
+    mark of theirs is looked at. Null labels, null ids, labels of absent documents and bad marks are ignored; a document
+    with several marks is good if one says so, a repeated row counts as often as it occurs. With no good mark at all
+    every score is one half.
     """
-    marks = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", (F.col("q") == 1).alias("positive"))
-    texts = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("positive", "text")  # at most `sample` rows of 9 bytes
-    found = texts.mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, BINS + EXTRA).astype(np.float32)
+    usable = F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))
+    good = labels.where((F.col("quality") == 1) & usable).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # F.broadcast below: at most `sample` ids each
+    first = lambda ids: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = id_and_text(docs)
+    chosen = first(good).withColumn("positive", F.lit(True)).unionByName(first(rows.where(usable).select("doc_id")).distinct().withColumn("positive", F.lit(False)))
+    found = rows.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(_feature_rows, "positive boolean, x binary").toArrow()
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float16).reshape(-1, BINS + EXTRA)
     positive = found.column("positive").to_numpy().astype(bool)
-    order = np.lexsort(x.T[:8])  # the fit does not depend on the order in which rows arrive
-    x, positive = x[order], positive[order]
-    share = positive.mean() if len(positive) else 1.0
-    return fit(x[positive], x, prior=float(share) if share < 1 else None)
+    del found
+    order = np.lexsort([*x.T[:8].astype(np.float32), positive])  # the fit does not depend on the order in which rows arrive
+    x, positive = x[order].astype(np.float32), positive[order]
+    return fit(x[positive], x[~positive])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score), one row per row of docs; null and empty texts are scored as texts without features."""
+    """(doc_id, score), one row per row of docs, repeated ones included; null and empty texts are scored as texts without
+    features, null ids stay null, other columns are not looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shared.value.scores(features(buf, offsets)) for _, _, buf, offsets in t.chunks(b.column("text"))]
+            s = [shared.value.scores(features(buf, offsets)) for _, _, buf, offsets in t.chunks(b.column("text"), rows=ROWS)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(s) if s else np.zeros(0))], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs whose text scores at least `threshold`; all columns stay."""
+    """docs whose text scores at least `threshold` (a tie stays); all columns stay, repeated rows go or stay together."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [shared.value.scores(features(buf, offsets)) for _, _, buf, offsets in t.chunks(b.column("text"))]
+            s = [shared.value.scores(features(buf, offsets)) for _, _, buf, offsets in t.chunks(b.column("text"), rows=ROWS)]
             yield b.filter(pa.array(np.concatenate(s) >= threshold)) if s else b
 
     typed = docs.withColumn("text", F.col("text").cast("string"))
@@ -183,6 +191,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score() of all documents by a model of those outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
