@@ -2,7 +2,8 @@
 
 Three base kinds are found by pattern. Besides, every long mixed token is a candidate. Candidate values are hashed
 and aggregated over the corpus by distinct repositories and owners: a value that many owners carry is a copied
-example, one that few owners carry and that looks live is theirs, and its places are added as kind `owned`.
+example, and so is one that lies in many repositories of one owner. One that few carry and that looks live is theirs:
+its places are added as kind `owned`, and base spans with such a value are counted as live.
 
 A match's place is the length of what `split` leaves before it, so positions never leave the JVM.
 """
@@ -20,7 +21,8 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 OWNED = "[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
-MAX_OWNERS = 2
+#: A value that more owners, or more repositories, carry is a copied example.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 4
 MASK = "[SECRET]"
 _BLOCK = 256
 
@@ -87,17 +89,17 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, salts: int = 8) -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, salts: int = 8) -> DataFrame:
     """(doc_id, version, base, added, live): spans per row of docs, as arrays of (start, kind, end, value).
 
     Needs doc_id, text, source and lang; other columns are not looked at. Null and empty texts have no spans. A null
     source is an owner of its own, a null doc_id stays null. Repeated rows each get their result, and count as one
-    owner. `live` holds the base spans whose value few owners carry. An empty table gives no rows.
+    owner. `live` holds the base spans whose value few owners and repositories carry. An empty table gives no rows.
     """
     found = written(candidates(docs), "secrets")
     places = found.select("doc_id", "version", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "version", "s", F.sha2(F.col("s.value").cast("binary"), 256).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     # each value's row is repeated for the salts: the places of one value that a third of all documents hold spread out
-    counts = ownership(found).where(F.col("owners") <= max_owners).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
+    counts = ownership(found).where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     rare = places.join(counts, ["h", "salt"]).groupBy("doc_id", "version").agg(F.collect_set("s").alias("own")).withColumnsRenamed({"doc_id": "__id", "version": "__version"})
     joined = found.join(rare, found["doc_id"].eqNullSafe(rare["__id"]) & (found["version"] == rare["__version"]), "left")
     own = F.coalesce("own", F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
@@ -120,31 +122,35 @@ def mask_secrets(docs: DataFrame, mask: str = MASK, **how) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_secrets() of all documents, as counts and span lists."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
-        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans")
-    )
+        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "added")).alias("spans"),
+        # the same value may stand in several places of a text, `live` holds each of them
+        F.size("live").cast("long").alias("n_live"), F.size("added").cast("long").alias("n_owned"),
+    )
 
 
 def _sql_kind(number: int, pattern: str, group: int, keep: str) -> str:
     p = pattern.replace("'", "''")
     return f"""
-select * from (select doc_id, source, {number} kind, s + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) start_, length(ms[i]) n, vs[i] v
+select * from (select doc_id, source, lang, {number} kind, s + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) start_, length(ms[i]) n, vs[i] v
 from (select *, list_sum(list_transform(ps[1:i], lambda x: length(x))) s
       from (select *, unnest(range(1, len(ms) + 1)) i
-            from (select doc_id, source, regexp_extract_all(text, '{p}', 0) ms, regexp_extract_all(text, '{p}', {group}) vs, string_split_regex(text, '{p}') ps from documents)))) where {keep}"""
+            from (select doc_id, source, lang, regexp_extract_all(text, '{p}', 0) ms, regexp_extract_all(text, '{p}', {group}) vs, string_split_regex(text, '{p}') ps from documents)))) where {keep}"""
 
 
 OP3_SQL = f"""
 with base as ({_sql_kind(0, ASSIGN, 2, "length(v) >= 6")} union all {_sql_kind(1, ACCESS, 0, "true")} union all {_sql_kind(2, HEX, 0, "true")}),
 mixed as ({_sql_kind(3, OWNED, 0, "regexp_matches(v, '[0-9]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[A-Z]')")}),
 more as (select * from mixed m where not exists (select 1 from base b where b.doc_id = m.doc_id and b.start_ < m.start_ + m.n and m.start_ < b.start_ + b.n)),
-owners as (select v, count(distinct coalesce(source, '')) o from (select * from base union all select * from more) group by v),
-spans as (select doc_id, kind, start_, n from base union all select doc_id, kind, start_, n from more join owners using (v) where o <= {MAX_OWNERS}),
+owners as (select v, count(distinct coalesce(source, '')) o, count(distinct coalesce(source, '') || '/' || coalesce(lang, '')) r from (select * from base union all select * from more) group by v),
+few as (select v from owners where o <= {MAX_OWNERS} and r <= {MAX_REPOSITORIES}),
+spans as (select doc_id, kind, start_, n, v in (select v from few) live from base union all select doc_id, kind, start_, n, false from more join few using (v)),
 named as (select *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start_ || ':' || (start_ + n) t from spans),
-per as (select doc_id, count(*) filter (kind = 0) a, count(*) filter (kind = 1) c, count(*) filter (kind = 2) h,
+per as (select doc_id, count(*) filter (kind = 0) a, count(*) filter (kind = 1) c, count(*) filter (kind = 2) h, count(*) filter (live) l, count(*) filter (kind = 3) w,
         string_agg(t, ',' order by start_, kind) filter (kind < 3) b, string_agg(t, ',' order by start_, kind) al from named group by doc_id)
-select d.doc_id, coalesce(a, 0)::bigint n_assign, coalesce(c, 0)::bigint n_access, coalesce(h, 0)::bigint n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(al, '') spans
+select d.doc_id, coalesce(a, 0)::bigint n_assign, coalesce(c, 0)::bigint n_access, coalesce(h, 0)::bigint n_hex, sha256(coalesce(b, '')) base_sha256, coalesce(al, '') spans, coalesce(l, 0)::bigint n_live, coalesce(w, 0)::bigint n_owned
 from documents d left join per using (doc_id)
 """
