@@ -2,8 +2,9 @@
 
 Each shard of training documents (an Arrow batch) gets a sparse suffix array over its words: only suffixes whose
 first word and second word follow each other somewhere in the benchmark are kept, since no other suffix can match
-a test suffix for more than one word. Every test suffix is binary-searched in the array; the neighbours of its
-place hold the longest verbatim match, and the interval of its window's prefix holds all locations.
+a test suffix for more than one word. Every test suffix that begins a window is binary-searched in the array, and the
+interval of its window's prefix holds all its locations. Locations that follow each other in the document and in the
+item together are one verbatim match; the longest of a document is reported with its place.
 
 The benchmark is handled in blocks of at most `block_bytes` of text: what goes to the executors has that bound,
 and a benchmark of any size takes as many passes as it has blocks.
@@ -44,7 +45,7 @@ class TestSuffixes:
         self.width = width
         h, first = _hashed(items.column("text"))
         self.vocabulary, _, code, _ = t.distinct(h)
-        self.names = [str(x) for x in items.column("item_id").to_pylist()]
+        self.names = items.column("item_id").to_pylist()
         item = t.row_of(first, len(h))
         left = first[1:][item] - np.arange(len(h)) if len(h) else np.zeros(0, np.int64)
         size = np.diff(first)[item] if len(h) else np.zeros(0, np.int64)
@@ -54,12 +55,12 @@ class TestSuffixes:
         self.single = np.unique(code[size == 1]).astype(np.int64)
         start = np.flatnonzero((left >= width) | ((size < width) & (left == size)))
         self.length = np.minimum(left[start], width)
-        self.item = item[start]
+        self.item, self.start = item[start], start
         keys = _prefixes(code.astype(np.int64), start, self.length, width)
         order = np.argsort(keys, kind="stable")
         # the first key beyond all suffixes that begin with the window
         beyond = _prefixes(code.astype(np.int64), start, self.length, width + 1, fill=_END)
-        self.low, self.high, self.length, self.item = keys[order], beyond[order], self.length[order], self.item[order]
+        self.low, self.high, self.length, self.item, self.start = keys[order], beyond[order], self.length[order], self.item[order], start[order]
 
 
 def _prefixes(code: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, fill=np.uint32(0)) -> np.ndarray:
@@ -101,6 +102,30 @@ def _mark(tests: TestSuffixes, column) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return first, np.cumsum(edge)[:n] > 0, window, place, row_end
 
 
+def _longest(tests: TestSuffixes, first: np.ndarray, row: np.ndarray, window: np.ndarray, place: np.ndarray) -> list[dict | None]:
+    """Each row's longest verbatim match: its words [start, end) and the item; of equals the first."""
+    out: list[dict | None] = [None] * (len(first) - 1)
+    if not len(place):
+        return out
+    order = np.lexsort((place, tests.start[window] - place, tests.item[window], row))
+    row, window, place = row[order], window[order], place[order]
+    new = np.ones(len(place), bool)
+    # on one diagonal, one word further on in both
+    new[1:] = (row[1:] != row[:-1]) | (tests.item[window[1:]] != tests.item[window[:-1]]) | (place[1:] != place[:-1] + 1) | (np.diff(tests.start[window]) != 1)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(place)) - 1
+    begin, end = place[at] - first[row[at]], place[last] + tests.length[window[last]] - first[row[at]]
+    for k in np.lexsort((begin, begin - end, row[at])).tolist():
+        i = int(row[at[k]])
+        if out[i] is None:
+            out[i] = {"start": int(begin[k]), "end": int(end[k]), "item": tests.names[tests.item[window[at[k]]]]}
+    return out
+
+
+_MATCH = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())])
+_RUNS = "doc_id long, version long, n_words long, runs array<struct<start:long,end:long>>, items array<string>, longest struct<start:long,end:long,item:string>"
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests: TestSuffixes = shared.value
@@ -112,7 +137,8 @@ def _scan(shared):
             r, item = np.divmod(pair, max(1, len(tests.names)))
             items: list[list[str]] = [[] for _ in range(rows)]
             for i, k in zip(r.tolist(), item.tolist()):
-                items[i].append(tests.names[k])
+                if tests.names[k] is not None:
+                    items[i].append(tests.names[k])
             edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])) if len(hit) else np.zeros(1, np.int8)
             # runs of hit words, cut at row borders
             cut = first[1:-1]
@@ -123,8 +149,8 @@ def _scan(shared):
             for i, s, e in zip(owner.tolist(), start.tolist(), end.tolist()):
                 runs[i].append({"start": s - int(first[i]), "end": e - int(first[i])})
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("version"), pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "version", "n_words", "runs", "items"],
+                [b.column("doc_id"), b.column("version"), pa.array(np.diff(first)), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string())), pa.array(_longest(tests, first, row, window, place), _MATCH)],
+                ["doc_id", "version", "n_words", "runs", "items", "longest"],
             )
 
     return run
@@ -136,32 +162,33 @@ def _version(text: Column) -> Column:
 
 
 def blocks(items: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of at most block_bytes of text (a longer item is alone in its part)."""
+    """The benchmark in parts of about block_bytes of text at most, by a hash of its items."""
     size = F.coalesce(F.octet_length("text"), F.lit(0))
     total = items.agg(F.sum(size).alias("n")).first()["n"] or 0
     if total <= block_bytes:
         return [items]
-    parts = 2 * -(-total // block_bytes)
+    parts = -(-4 * total // (3 * block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
     return [items.where(part == k) for k in range(parts)]
 
 
 def match_runs(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, version, n_words, runs, items): the runs of words inside occurring windows, and whose windows occur.
+    """(doc_id, version, n_words, runs, items, longest): the runs of words inside occurring windows, whose windows occur,
+    and the longest verbatim match.
 
-    One row per row of docs; runs are maximal word ranges [start, end), which are the verbatim matches.
+    One row per row of docs; runs are maximal word ranges [start, end) that windows of any items cover.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     out = None
     for part in blocks(items, block_bytes):
         tests = TestSuffixes(part.toArrow(), width)
-        found = id_and_text(docs).withColumn("version", _version(F.col("text"))).mapInArrow(_scan(spark.sparkContext.broadcast(tests)), "doc_id long, version long, n_words long, runs array<struct<start:long,end:long>>, items array<string>")
+        found = id_and_text(docs).withColumn("version", _version(F.col("text"))).mapInArrow(_scan(spark.sparkContext.broadcast(tests)), _RUNS)
         out = found if out is None else out.unionByName(found)
         last = found
     if out is not last:
-        merged = out.groupBy("doc_id", "version").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.count("*").alias("copies"))
-        out = merged.mapInArrow(_union_runs, "doc_id long, version long, n_words long, runs array<struct<start:long,end:long>>, items array<string>, copies long")
+        merged = out.groupBy("doc_id", "version").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max_by("longest", F.struct(F.coalesce(F.col("longest.end") - F.col("longest.start"), F.lit(0)), -F.col("longest.start"))).alias("longest"), F.count("*").alias("copies"))
+        out = merged.mapInArrow(_union_runs, f"{_RUNS}, copies long")
         out = out.withColumn("copies", F.explode(F.sequence(F.lit(1), (F.col("copies") / len(blocks(items, block_bytes))).cast("int")))).drop("copies")
     return out
 
@@ -184,14 +211,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, version), one row per row of docs.
 
     Null and empty texts have no words and are clean. An item of fewer words than `width` is one window; an item
-    without words matches nothing. An empty benchmark hits nothing. Equal item ids count once; a null id is 'None'.
-    `longest` is the longest run of words that the benchmark's windows cover.
+    without words matches nothing. An empty benchmark hits nothing. Equal item ids count once; items without an id hit
+    words but are not counted among the items. `longest` is the longest verbatim match of at least a window, as
+    (start, end, item) in words, null where there is none; of equals the first. Repeated rows each get their result.
     """
     runs = match_runs(docs, benchmark, width, block_bytes)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"])
-    longest = F.coalesce(F.array_max(F.transform("runs", lambda r: r["end"] - r["start"])), F.lit(0).cast("long"))
     named = F.array_sort(F.array_distinct("items"))
-    return runs.select("doc_id", "n_words", n_hit.alias("n_hit"), named.alias("items"), longest.alias("longest"), "version").select(
+    return runs.select("doc_id", "n_words", n_hit.alias("n_hit"), named.alias("items"), "longest", "version").select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -204,12 +231,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, sh
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without contaminated documents; all columns stay. Rows with a null doc_id are judged by their text as well."""
+    """docs without contaminated documents; all columns stay, and repeated rows go or stay together. Rows are judged by
+    doc_id and text, so rows with a null or a shared doc_id are told apart."""
     bad = contamination(docs, benchmark, **how).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("version").alias("__bad_version")).distinct()
     return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad_id"]) & (_version(docs["text"]) == bad["__bad_version"]), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contamination() of all documents by the benchmark."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
