@@ -13,11 +13,12 @@ order, rare ones first, and two sets at the wanted similarity share one of the f
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
@@ -80,13 +81,12 @@ def _describe(size: int):
             for _, _, buf, offsets in t.chunks(b.column("text")):
                 x, first = shingle_sets(buf, offsets, size)
                 n = np.diff(first)
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(t.mix(x ^ np.uint64(0xABCDEF)), dtype=np.uint64)])
                 counts.append(n)
-                hashes.append(t.mix((total[first[1:]] - total[first[:-1]]) ^ n.astype(np.uint64)))
+                hashes.extend(hashlib.blake2b(x[i:j].tobytes(), digest_size=16).digest() for i, j in zip(first[:-1].tolist(), first[1:].tolist()))
                 rows = iter(_min_hashes(x, first))
                 signatures.extend(next(rows).tobytes() if k else None for k in n.tolist())
             if counts:
-                yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("doc_id"))), pa.array(np.concatenate(counts)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "class", "signature"])
+                yield pa.RecordBatch.from_arrays([pa.array(_ids(b.column("doc_id"))), pa.array(np.concatenate(counts)), pa.array(hashes, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "class", "signature"])
 
     return run
 
@@ -328,12 +328,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Words are lower-cased A-Z runs of non-blanks; a text of fewer words than `size` is one shingle; null, empty and
     blank texts have none and are linked with nothing. Documents are linked when 100 |common| >= percent |union|.
-    component_id is the least doc_id that a document reaches. A null doc_id is less than all others and stays null;
+    Documents whose whole sets have one 128-bit digest are equal. component_id is the least doc_id that a document reaches. A null doc_id is less than all others and stays null;
     such documents, and rows that share a doc_id but not a text, belong together by their id. An empty table gives
     no rows.
     """
     rows = id_and_text(docs)
-    described = written(rows.mapInArrow(_describe(size), "doc_id long, n_shingles long, class long, signature binary"), "signatures")
+    described = written(rows.mapInArrow(_describe(size), "doc_id long, n_shingles long, class binary, signature binary"), "signatures")
     full = described.where("n_shingles > 0")
     classes = written(full.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("least")), "classes")
     least = classes.select(F.col("least").alias("doc_id"), "class")
@@ -363,12 +363,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def keep_one_each(docs: DataFrame, **how) -> DataFrame:
-    """docs with the least doc_id of each group only; all columns stay."""
+    """docs with the least doc_id of each group only; all columns stay.
+
+    Of rows that share a doc_id, the one with the least text stays (null first). Rows without an id all stay.
+    """
     dropped = near_duplicates(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dropped"], "left_anti")
+    left = docs.join(dropped, docs["doc_id"].cast("long") == dropped["__dropped"], "left_anti")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return left
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text")))
+    return left.withColumn("__rank", rank).where(F.col("doc_id").isNull() | (F.col("__rank") == 1)).drop("__rank")
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents on shingles of two words."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
