@@ -60,19 +60,20 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows of at most `limit` bytes; a longer row is alone."""
+def slices(offsets: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Runs of at most `rows` rows and `limit` bytes; a longer row is alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        j = min(j, i + rows)
         yield i, j
         i = j
 
 
-def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, past row, bytes, offsets from 0) of runs of rows."""
     buf, offsets = utf8(column)
-    for i, j in slices(offsets, limit):
+    for i, j in slices(offsets, limit, rows):
         yield i, j, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
 
 

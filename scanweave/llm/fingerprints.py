@@ -182,7 +182,12 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     rows = id_and_text(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     parts = min(4096, buckets(rows))
     borders = sorted({int(b) for b in rows.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, borders)).cast("array<bigint>"), lambda b: b <= F.col("doc_id")))
+    # two short searches: first among every 64th border, then among the 64 that follow it
+    groups = [borders[i : i + 64] for i in range(0, len(borders), 64)]
+    below = lambda found: F.size(F.filter(found, lambda b: b <= F.col("doc_id")))
+    group = below(F.array(*(F.lit(g[0]) for g in groups)).cast("array<bigint>"))
+    inside = F.element_at(F.array(*(F.array(*map(F.lit, g)).cast("array<bigint>") for g in groups)), group) if groups else None
+    part = F.when(group > 0, (group - 1) * 64 + below(inside)).otherwise(0) if groups else F.lit(0)
     tops = sorted((r["part"], r["top"]) for r in rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("top")).collect())  # at most 4096
     if not tops:
         return spark.createDataFrame([], _COMPARED)
@@ -197,4 +202,5 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compare_with_edits() of all documents."""
     return compare_with_edits(table(spark, sf_dir, "documents"))

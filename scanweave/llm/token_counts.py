@@ -77,6 +77,16 @@ def _count_pieces(path: str):
     return run
 
 
+def _check_model(path: str) -> None:
+    """Pieces that hold a blank after another character would join what is counted apart."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    for k in range(model.get_piece_size()):
+        if "\u2581" in model.id_to_piece(k).lstrip("\u2581"):
+            raise ValueError(f"piece {k} of {path} crosses a blank")
+
+
 def piece_table(docs: DataFrame, model_path: str) -> DataFrame:
     """(h, pieces, freq): each distinct pre-token of the corpus by its hash, its number of pieces and of occurrences."""
     found = id_and_text(docs).select("text").mapInArrow(_distinct_pretokens, "h long, pretoken binary, freq long")
@@ -133,6 +143,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, hot_limit:
     often as they occur; rows that share a doc_id but not a text are counted apart. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    _check_model(model_path)
     pieces = written(piece_table(docs, model_path), "pieces")
     top = common(pieces, hot_limit).select("h", "pieces").toArrow()
     keys = top.column("h").to_numpy().view(np.uint64)

@@ -403,3 +403,53 @@ def test_multikey_order():
     columns = [rng.integers(0, k, 2000).astype(np.uint64) for k in (3, 4, 50)]
     assert (_text.multikey_order(columns) == np.lexsort(columns[::-1])).all()
     assert len(_text.multikey_order([np.zeros(0, np.uint64)] * 2)) == 0
+
+
+def test_longest_verbatim_match(spark):
+    item = [f"b{k}" for k in range(40)]
+    bench = spark.createDataFrame([("x", " ".join(item)), (None, "solo"), ("y", " ".join(item[5:20]))], "item_id string, text string")
+    rows = [(1, "a " + " ".join(item[3:30]) + " z"), (2, " ".join(item[:13]) + " q " + " ".join(item[10:25])), (3, " ".join(item[:12])), (4, None), (5, "w solo"), (6, " ".join(item[:20] + item[7:27]))]
+    got = {r.doc_id: r for r in decontamination.contamination(frame(spark, rows), bench).collect()}
+    match = lambda d: None if got[d].longest is None else tuple(got[d].longest)
+    assert [match(d) for d in range(1, 7)] == [(1, 28, "x"), (14, 29, "x"), None, None, (1, 2, None), (0, 20, "x")]
+    assert (got[5].n_hit, got[5].n_items, got[5].items_sha256) == (1, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(3, text), (2, text), (2, text), (2, "something else in this text"), (None, "no id"), (None, "no id"), (9, None), (9, None)]
+    kept = minhash_dedup.keep_one_each(frame(spark, rows).selectExpr("*", "1 class", "2 component")).collect()
+    assert sorted((LOW if r.doc_id is None else r.doc_id, r.text or "") for r in kept) == [(LOW, "no id"), (LOW, "no id"), (2, "something else in this text"), (9, "")]
+
+
+def test_one_owner_with_many_repositories_is_no_owner(spark):
+    value, own = "Ab1Ab1Ab1Ab1Ab1Ab1Ab1Ab1", "secret=Zz9Zz9Zz9"
+    rows = [(k, f"x {value} {own if k < 4 else ''}", "one", f"l{k}") for k in range(5)]
+    found = {r.doc_id: r for r in secret_scan.find_secrets(spark.createDataFrame(rows, SCHEMA + ", source string, lang string")).collect()}
+    assert all(not r.added for r in found.values())
+    assert [len(found[k].live) for k in range(5)] == [1, 1, 1, 1, 0]
+
+
+def test_packing_finds_cut_texts_either_way(spark, monkeypatch):
+    import public_tokenizers
+
+    path, docs = public_tokenizers.path("word_bpe_49k.json"), spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    rows = lambda: sorted(map(tuple, packing.pack(docs, path).collect()))
+    sent = rows()
+    monkeypatch.setattr(packing, "BROADCAST_IDS", 0)
+    assert rows() == sent
+
+
+def test_fingerprint_of_text_alone(spark):
+    rows = [(1, "some words " * 30), (2, None), (3, ""), (None, "some words " * 30)]
+    got = {r.doc_id: r.fingerprint for r in fingerprints.fingerprint(frame(spark, rows)).collect()}
+    assert got[1] == got[None] != "" == got[2] == got[3]
+    assert fingerprints.likeness(np.array([1, 2, 3]), np.array([2, 3, 4])) == 0.5
+
+
+def test_texts_that_remain(spark):
+    rows = [r for r in odd_rows() if r[0] is not None and r[0] not in (61, 62)]
+    report = {r.doc_id: r.kept_sha256 for r in suffix_dedup.repeat_report(frame(spark, rows)).collect()}
+    assert {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in suffix_dedup.remove_repeats(frame(spark, rows)).collect()} == report
+    report = {r.doc_id: r.kept_sha256 for r in recompression_dedup.repeat_report(frame(spark, rows)).collect()}
+    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in recompression_dedup.remove_repeats(frame(spark, rows)).collect()} == report
