@@ -15,6 +15,7 @@ from .fixtures import DUCK_POINTS, points, poses
 from .functions import geometry as g
 from .functions import labels as lb
 from .operators import ground, planarity, scoring, segments, spatial, tracking, voxels
+from .plans.tables import staged
 
 S = ROAD
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,9 +53,18 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voxels.voxel_stats(bins(spark, sf_dir))
 
 
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """stats(), stored for all queries that start from voxels."""
+    return staged(spark, "voxels", sf_dir, lambda: stats(spark, sf_dir))
+
+
+def components_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, "clusters", sf_dir, lambda: voxels.voxel_components(grid(spark, sf_dir), S))
+
+
 def clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(components, binned points with their cluster)."""
-    found = voxels.voxel_components(stats(spark, sf_dir), S)
+    found = components_of(spark, sf_dir)
     return found, bins(spark, sf_dir).join(found, ["frame_id", "voxel"])
 
 
@@ -227,7 +237,7 @@ def voxel_stats(spark, sf_dir):
     f"with {AGG} select frame_id, voxel, round((r_i*0.4::double + 1.5)*cos(radians(s_i*1.2::double)), 6) cx, round((r_i*0.4::double + 1.5)*sin(radians(s_i*1.2::double)), 6) cy, round((r_i*0.4::double + 1.5)*tan(radians(a_i*2::double - 40)), 6) cz from agg"
 )
 def voxel_corner(spark, sf_dir):
-    return voxels.with_corner(stats(spark, sf_dir), S).select("frame_id", "voxel", r6("cx").alias("cx"), r6("cy").alias("cy"), r6("cz").alias("cz"))
+    return voxels.with_corner(grid(spark, sf_dir), S).select("frame_id", "voxel", r6("cx").alias("cx"), r6("cy").alias("cy"), r6("cz").alias("cz"))
 
 
 @query(
@@ -241,18 +251,18 @@ def voxel_downsample(spark, sf_dir):
 
 @query(f"with {AGG} select frame_id, u, v from ({AROUND.format(k=1)})")
 def neighbour_voxels(spark, sf_dir):
-    return voxels.neighbour_edges(stats(spark, sf_dir), S).select("frame_id", "u", "v")
+    return voxels.neighbour_edges(grid(spark, sf_dir), S).select("frame_id", "u", "v")
 
 
 @query(f"with {AGG} select frame_id, u, v from ({AROUND.format(k=2)}) where vv <= 400 and abs(ui - vi) <= 20")
 def similar_neighbours(spark, sf_dir):
     # the scene's reflectance has no spatial structure: wider limits than the preset's let some edges through
-    return segments.similar_edges(stats(spark, sf_dir), S.but(intensity_cov=400.0, intensity_diff=20.0))
+    return segments.similar_edges(grid(spark, sf_dir), S.but(intensity_cov=400.0, intensity_diff=20.0))
 
 
 @query(f"with {COMP} select * from comp")
 def components(spark, sf_dir):
-    return voxels.voxel_components(stats(spark, sf_dir), S)
+    return components_of(spark, sf_dir)
 
 
 # ---- clusters -----------------------------------------------------------------------------------------------------
@@ -296,7 +306,7 @@ def type_rule(spark, sf_dir):
 
 @query(f"with {COMP}, {PAIRS} select * from pairs")
 def frame_pairs(spark, sf_dir):
-    return tracking.frame_pairs(stats(spark, sf_dir))
+    return tracking.frame_pairs(grid(spark, sf_dir))
 
 
 @query(f"with {COMP}, {PAIRS} select * from matches")
@@ -377,7 +387,7 @@ def cluster_planarity(spark, sf_dir):
 
 @query()
 def intensity_fusion(spark, sf_dir):
-    return segments.intensity_fusion(stats(spark, sf_dir), voxels.voxel_components(stats(spark, sf_dir), S), S.but(intensity_cov=400.0, intensity_diff=20.0))
+    return segments.intensity_fusion(grid(spark, sf_dir), components_of(spark, sf_dir), S.but(intensity_cov=400.0, intensity_diff=20.0))
 
 
 @query()
@@ -489,12 +499,15 @@ matched as (select t.*, near_sem from t left join m using (frame_id, x_mm, y_mm,
 
 
 @query(
-    f"with {ESTIMATE}, {MATCHED.format(d2='173.2050807568877::double**2')}, o as (select sum(weight) filter (sem not between 252 and 259) ns, sum(weight) filter (sem between 252 and 259) nd, "
+    f"with {ESTIMATE}, {MATCHED.format(d2='173.2050807568877::double**2').replace('where d2 <=', 'where d2 <')}, o as (select sum(weight) filter (sem not between 252 and 259) ns, sum(weight) filter (sem between 252 and 259) nd, "
     "coalesce(sum(weight) filter (sem not between 252 and 259 and near_sem not between 252 and 259), 0) ks, coalesce(sum(weight) filter (sem between 252 and 259 and near_sem between 252 and 259), 0) kd from matched), "
     "r as (select *, ks*100.0::double/ns pr, (nd - kd)*100.0::double/nd rr from o) select ns::bigint n_static, nd::bigint n_dynamic, ks::bigint kept_static, kd::bigint kept_dynamic, round(pr, 6) pr, round(rr, 6) rr, round(2*(pr/100)*(rr/100)/((pr + rr)/100), 6) f1 from r"
 )
 def preservation_scores(spark, sf_dir):
-    found = scoring.preservation(matched(spark, sf_dir, 1000 * scoring.inlier_distance(0.2)))
+    reach = 1000 * scoring.inlier_distance(0.2)
+    near = matched(spark, sf_dir, reach)
+    # a place at the very distance is none
+    found = scoring.preservation(near.withColumn("near_sem", F.when(F.col("d2") < reach * reach, F.col("near_sem"))))
     return found.withColumns({c: r6(c) for c in ("pr", "rr", "f1")})
 
 
@@ -549,23 +562,25 @@ def scan_triples(spark, sf_dir):
 
 
 def voxel_lists(spark, sf_dir) -> DataFrame:
-    """(obj_id, a, b): an object's voxels in frame 0 and in frame 1."""
-    b = bins(spark, sf_dir).where("frame_id < 2").select("obj_id", "frame_id", "voxel").distinct()
-    pick = lambda f: F.array_sort(F.collect_list(F.when(F.col("frame_id") == f, F.col("voxel"))))
-    return b.groupBy("obj_id").agg(pick(0).alias("a"), pick(1).alias("b"))
+    """(frame_id, obj_id, a, b): an object's voxels in a frame and in the one after it; a frame without the object has none."""
+    own = bins(spark, sf_dir).select("frame_id", "obj_id", "voxel").distinct()
+    spread = own.select("frame_id", "obj_id", "voxel", F.lit(True).alias("now")).unionByName(own.select((F.col("frame_id") - 1).alias("frame_id"), "obj_id", "voxel", F.lit(False).alias("now")))
+    pick = lambda now: F.array_sort(F.collect_list(F.when(F.col("now") == now, F.col("voxel"))))
+    return spread.groupBy("frame_id", "obj_id").agg(pick(True).alias("a"), pick(False).alias("b"))
 
 
-_LISTS = f"{VOX}, l as (select obj_id, coalesce(list_sort(list(distinct voxel) filter (frame_id = 0)), []) a, coalesce(list_sort(list(distinct voxel) filter (frame_id = 1)), []) b from vox where frame_id < 2 group by 1)"
+_LISTS = f"""{VOX}, o as (select distinct frame_id, obj_id, voxel from vox), u as (select *, true now from o union all select frame_id - 1, obj_id, voxel, false from o),
+l as (select frame_id, obj_id, coalesce(list_sort(list(voxel) filter (now)), []) a, coalesce(list_sort(list(voxel) filter (not now)), []) b from u group by 1, 2)"""
 
 
-@query(f"with {_LISTS} select obj_id, len(a)::int n_a, len(b)::int n_b, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') both_lists from l")
+@query(f"with {_LISTS} select frame_id, obj_id, len(a)::int n_a, len(b)::int n_b, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') both_lists from l")
 def vec_concat_distinct(spark, sf_dir):
-    return voxel_lists(spark, sf_dir).select("obj_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.array_join(F.array_sort(F.array_distinct(F.concat("a", "b"))), ",").alias("both_lists"))
+    return voxel_lists(spark, sf_dir).select("frame_id", "obj_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.array_join(F.array_sort(F.array_distinct(F.concat("a", "b"))), ",").alias("both_lists"))
 
 
-@query(f"with {_LISTS} select obj_id, array_to_string(list_sort(list_filter(a, lambda v: not list_contains(b, v))), ',') only_a, list_has_any(a, b) meet from l")
+@query(f"with {_LISTS} select frame_id, obj_id, array_to_string(list_sort(list_filter(a, lambda v: not list_contains(b, v))), ',') only_a, list_has_any(a, b) meet from l")
 def vec_except(spark, sf_dir):
-    return voxel_lists(spark, sf_dir).select("obj_id", F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("only_a"), F.arrays_overlap("a", "b").alias("meet"))
+    return voxel_lists(spark, sf_dir).select("frame_id", "obj_id", F.array_join(F.array_sort(F.array_except("a", "b")), ",").alias("only_a"), F.arrays_overlap("a", "b").alias("meet"))
 
 
 @query(f"with {BOX} select frame_id, (select count(*) from pts p where p.frame_id = b.frame_id) points_in, sum(n_pts)::bigint in_grid, sum(n_vox)::bigint voxels, count(*) clusters, count(*) filter (not (min_z > 0 or n_pts < 10 or max_z - min_z < 0.2::double)) kept from box b group by 1")
@@ -576,7 +591,7 @@ def stage_counters(spark, sf_dir):
 
 @query(f"with {AGG}, h as (select least(cast(floor(i_mean/15) as int), 9) bin, n from agg) select bin, count(*) voxels, sum(n)::bigint n from h group by 1")
 def intensity_histogram(spark, sf_dir):
-    return stats(spark, sf_dir).select(F.least(F.floor(F.col("i_mean") / 15).cast("int"), F.lit(9)).alias("bin"), "n").groupBy("bin").agg(F.count("*").alias("voxels"), F.sum("n").alias("n"))
+    return grid(spark, sf_dir).select(F.least(F.floor(F.col("i_mean") / 15).cast("int"), F.lit(9)).alias("bin"), "n").groupBy("bin").agg(F.count("*").alias("voxels"), F.sum("n").alias("n"))
 
 
 @query("select user_id, count(*) n, round(avg(value) filter ((event_id % 3) = 0), 6) first_mean, round(avg(value) filter ((event_id % 3) = 1), 6) second_mean, round(avg(value) filter ((event_id % 3) = 2), 6) third_mean from events group by 1")

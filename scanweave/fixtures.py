@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans.tables import staged
+
 _MM = """
 select cast(l_linenumber - 1 as int) frame_id, cast(l_suppkey as bigint) obj_id, cast(l_orderkey as bigint) scan_key, cast(l_partkey as bigint) beam,
        case when l_returnflag = 'N' then 40 when l_suppkey % 5 = 0 then 252 when l_suppkey % 5 = 1 then 50 when l_suppkey % 5 = 2 then 70 else 10 end sem,
@@ -22,8 +24,8 @@ DUCK_POINTS = f"select *, x_mm/1000::double x, y_mm/1000::double y, z_mm/1000::d
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(frame_id, obj_id, scan_key, beam, sem, x_mm, y_mm, z_mm, refl, x, y, z)."""
-    return spark.sql(SPARK_POINTS.format(lineitem="{items}"), items=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    """(frame_id, obj_id, scan_key, beam, sem, x_mm, y_mm, z_mm, refl, x, y, z), stored once: scans are data, not a plan."""
+    return staged(spark, "scene", sf_dir, lambda: spark.sql(SPARK_POINTS.format(lineitem="{items}"), items=spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
 
 
 def poses(spark: SparkSession, frames: int = 7) -> DataFrame:

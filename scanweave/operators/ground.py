@@ -72,8 +72,9 @@ def is_ground(xyz: np.ndarray, zone: int, ring: int, sensor_height: float) -> np
         if k < ROUNDS - 1 and inside.any():
             normal, mean, spread = plane(xyz[inside])
     upright = abs(normal[2]) >= UPRIGHT
-    checked = 2 * zone + ring
-    if upright and checked < 2 and mean[2] > ELEVATION[checked]:
+    # the rings nearest to the sensor, counted over all zones, have thresholds
+    checked = sum(RINGS[:zone]) + ring
+    if upright and checked < len(ELEVATION) and mean[2] > ELEVATION[checked]:
         upright = FLATNESS[checked] > spread[2] / max(spread.sum(), 1e-300)
     return inside & upright
 

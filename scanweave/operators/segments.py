@@ -24,11 +24,17 @@ def drop_reason(s: Settings) -> Column:
     return F.when(F.col("min_z") > 0, "floating").when(F.col("n_pts") < s.to_be_class, "small").when(F.col("max_z") - F.col("min_z") < 0.2, "flat")
 
 
+def kept_clusters(boxes: DataFrame, s: Settings) -> DataFrame:
+    """The boxes that no reason leaves out."""
+    return boxes.where(drop_reason(s).isNull())
+
+
 def with_descriptor(boxes: DataFrame) -> DataFrame:
-    """Adds the eleven-value descriptor; its last place takes the type later."""
+    """Adds the eleven-value descriptor; its last place holds the type where boxes have one, else 0."""
+    kind = F.coalesce(F.col("type").cast("double"), F.lit(0.0)) if "type" in boxes.columns else F.lit(0.0)
     turn = F.abs(polar_angle(F.col("max_x"), F.col("max_y")) - polar_angle(F.col("min_x"), F.col("min_y")))
     area = (F.col("max_x") - F.col("min_x")) * (F.col("max_y") - F.col("min_y"))
-    return boxes.withColumn("descriptor", F.array(*[F.lit(1.0)] * 6, F.col("max_z"), area, turn, F.col("min_z"), F.lit(0.0)))
+    return boxes.withColumn("descriptor", F.array(*[F.lit(1.0)] * 6, F.col("max_z"), area, turn, F.col("min_z"), kind))
 
 
 def object_type(planar: Column, s: Settings) -> Column:

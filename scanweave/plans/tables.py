@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STAGED: dict[tuple, DataFrame] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a local master gets a folder of its own, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="scanweave-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -23,3 +28,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/scanweave/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def staged(spark: SparkSession, label: str, source: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows as a table of this application, written once for each source and read by all that ask again."""
+    key = (spark.sparkContext.applicationId, label, source)
+    if key not in _STAGED:
+        _STAGED[key] = written(make(), label)
+    df = _STAGED[key]
+    return df if df.sparkSession is spark else spark.read.schema(df.schema).parquet(*df.inputFiles())
