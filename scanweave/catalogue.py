@@ -15,7 +15,9 @@ from .fixtures import DUCK_POINTS, points, poses
 from .functions import geometry as g
 from .functions import labels as lb
 from .operators import ground, planarity, scoring, segments, spatial, tracking, voxels
+from .plans import segmentation
 from .plans.tables import staged
+from .sources.scans import frame_slice
 
 S = ROAD
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,8 +175,7 @@ def class_colour(spark, sf_dir):
 
 @query(f"with pts as ({DUCK_POINTS}) select frame_id, count(*) n from pts where frame_id >= 1 and frame_id < 6 and (frame_id - 1) % 2 = 0 group by 1")
 def frame_stride(spark, sf_dir):
-    f = F.col("frame_id")
-    return points(spark, sf_dir).where((f >= 1) & (f < 6) & (F.pmod(f - 1, F.lit(2)) == 0)).groupBy("frame_id").agg(F.count("*").alias("n"))
+    return frame_slice(points(spark, sf_dir), S.but(start=1, end=6, skip=2)).groupBy("frame_id").agg(F.count("*").alias("n"))
 
 
 POSES = "poses as (select cast(i as int) frame_id, i*0.5::double px, i*-0.25::double py, 0.1::double*i pz, 0.01::double*i roll, -0.02::double*i pitch, 0.05::double*i yaw from range(7) t(i))"
@@ -285,6 +286,11 @@ def box_filter(spark, sf_dir):
     return boxes(spark, sf_dir).select("frame_id", "cluster_id", F.coalesce(segments.drop_reason(S), F.lit("kept")).alias("reason"), (F.col("min_z") > 0).alias("floating"), (F.col("n_pts") < S.to_be_class).alias("small"))
 
 
+@query(f"with {BOX} select {', '.join(_BOX_COLUMNS)} from box where not (min_z > 0 or n_pts < 10 or max_z - min_z < 0.2::double)")
+def kept_clusters(spark, sf_dir):
+    return segments.kept_clusters(boxes(spark, sf_dir), S).select(*_BOX_COLUMNS)
+
+
 @query(
     f"with {BOX}, a as (select *, case when max_x = 0 and max_y = 0 then 0 when max_y >= 0 then atan2(max_y, max_x)*180/pi() else (atan2(max_y, max_x) + 2*pi())*180/pi() end am, "
     "case when min_x = 0 and min_y = 0 then 0 when min_y >= 0 then atan2(min_y, min_x)*180/pi() else (atan2(min_y, min_x) + 2*pi())*180/pi() end an from box) "
@@ -301,6 +307,16 @@ def type_rule(spark, sf_dir):
     return typed_boxes(spark, sf_dir)[2].select("frame_id", "cluster_id", "type")
 
 
+@query(
+    f"with {TYPED}, s as (select *, case when n_pts % 3 = 0 then 1 else 0 end state from typed) select type, state, count(*) n, "
+    "case when state = 1 then 255 when type = 0 then 139 when type = 1 then 162 end r, case when state = 1 then 0 when type = 0 then 90 when type = 1 then 205 end g, case when state = 1 then 0 when type = 0 then 0 when type = 1 then 90 end b from s group by 1, 2"
+)
+def object_colours(spark, sf_dir):
+    # every third box stands for a moving one
+    kinds = typed_boxes(spark, sf_dir)[2].groupBy("type", F.when(F.col("n_pts") % 3 == 0, 1).otherwise(0).alias("state")).agg(F.count("*").alias("n"))
+    return kinds.withColumn("c", lb.object_colour(F.col("type"), F.col("state"))).select("type", "state", "n", "c.r", "c.g", "c.b")
+
+
 # ---- tracking -----------------------------------------------------------------------------------------------------
 
 
@@ -327,6 +343,21 @@ def match_fanout(spark, sf_dir):
     return tracking.match_fanout(segments.cluster_boxes(pts), tracking.overlap_matches(pts, found, S))
 
 
+@query(
+    f"""with {COMP}, {PAIRS}, {ROT},
+world as (select cp.frame_id, cp.cluster_id, next_frame, r0*x + r1*y + r2*z + px wx, r3*x + r4*y + r5*z + py wy, r6*x + r7*y + r8*z + pz wz from cp join pairs using (frame_id) join rot using (frame_id)),
+moved as (select w.frame_id, cluster_id, next_frame, r0*(wx - px) + r3*(wy - py) + r6*(wz - pz) x, r1*(wx - px) + r4*(wy - py) + r7*(wz - pz) y, r2*(wx - px) + r5*(wy - py) + r8*(wz - pz) z from world w join rot on rot.frame_id = w.next_frame),
+mgeo as (select *, sqrt(x*x + y*y) rng, case when x = 0 and y = 0 then 0 when y >= 0 then atan2(y, x)*180/pi() else (atan2(y, x) + 2*pi())*180/pi() end ang, atan2(z, sqrt(x*x + y*y))*180/pi() azi from moved),
+mvox as (select distinct frame_id, cluster_id, next_frame, cast(ceil((azi + 40)/2::double) - 1 as bigint)*21600 + cast(ceil((rng - 1.5::double)/0.4::double) - 1 as bigint)*300 + cast(ceil(ang/1.2::double) - 1 as bigint) voxel
+         from mgeo where rng between 1.5 and 30 and azi between -40 and 80)
+select m.frame_id, m.cluster_id, m.next_frame, c.cluster_id match_id, count(*) voxels from mvox m join comp c on c.frame_id = m.next_frame and c.voxel = m.voxel group by 1, 2, 3, 4"""
+)
+def moved_matches(spark, sf_dir):
+    """overlap_matches with the scanner's own motion taken out."""
+    found, pts = clustered(spark, sf_dir)
+    return tracking.overlap_matches(pts, found, S, poses(spark)).select("frame_id", "cluster_id", "next_frame", "match_id", "voxels")
+
+
 @query(
     f"with {TYPED}, {PAIRS}, one as (select m.frame_id, m.cluster_id, count(*) k, max(m.voxels/t.n_vox) q, max(t.type) t from matches m join typed t on t.frame_id = m.next_frame and t.cluster_id = m.match_id group by 1, 2) "
     "select c.frame_id, c.cluster_id, coalesce(k, 0)::bigint m, case when coalesce(k, 0) = 0 then 1 when k > 1 then 0 when q < 0.4::double then case when t = 2 then 1 else 0 end when t = 2 then 0 else -1 end state "
@@ -396,6 +427,13 @@ def tracking_fold(spark, sf_dir):
     return tracking.tracking_fold(pts, found, typed, S)
 
 
+@query()
+def segmented_clusters(spark, sf_dir):
+    """The whole chain, with fusion, the box filter, types by planarity, and states with the scanner's motion taken out."""
+    done = segmentation.segment(objects(spark, sf_dir), S.but(intensity_cov=400.0, intensity_diff=5.0), poses(spark))
+    return done.clusters.select("frame_id", "cluster_id", "n_pts", "n_vox", "drop_reason", "type", "planar", "state", "track_id")
+
+
 # ---- spatial joins ------------------------------------------------------------------------------------------------
 
 _AT = ["frame_id", "x_mm", "y_mm", "z_mm"]
@@ -482,6 +520,23 @@ def class_rejection(spark, sf_dir):
     return scoring.class_rejection(p, estimate_of(p)).withColumn("rejection", r6("rejection"))
 
 
+@query(
+    f"with {ESTIMATE}, n as (select (select count(*) from pts where sem between 252 and 259) d, (select count(*) from pts) t, (select count(*) from est where sem between 252 and 259) e, (select count(*) from est) u) "
+    "select round((d - e)*1.0::double/nullif(t - u, 0), 6) as precision, round((d - e)*1.0::double/nullif(d, 0), 6) recall from n"
+)
+def count_scores(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return scoring.count_scores(p, estimate_of(p)).select(r6("precision").alias("precision"), r6("recall").alias("recall"))
+
+
+@query(
+    f"with {ESTIMATE} select case when sem between 252 and 259 then 255 else 205 end r, case when sem between 252 and 259 then 0 else 192 end g, case when sem between 252 and 259 then 0 else 176 end b, count(*) n from est group by 1, 2, 3"
+)
+def residue_colours(spark, sf_dir):
+    left = estimate_of(points(spark, sf_dir)).withColumn("c", lb.residue_colour(F.col("sem")))
+    return left.groupBy("c.r", "c.g", "c.b").agg(F.count("*").alias("n"))
+
+
 def matched(spark, sf_dir, radius: float) -> DataFrame:
     """Distinct labelled places with the label of the nearest estimated place in reach."""
     p = points(spark, sf_dir)

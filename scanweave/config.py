@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, fields, replace
 
-# fixed values: label vocabulary of the input data
+# fixed values: label vocabulary of the input data, and the presets below
 UNLABELLED = (0, 1)
 DYNAMIC = (252, 253, 254, 255, 256, 257, 258, 259)
 GROUND = (40, 44, 48, 49, 71, 72)
@@ -42,6 +43,9 @@ class Settings:
     intensity_cov: float = 20.0
     occupancy: float = 0.6
     wrap_sectors: bool = False
+    dynamic_label: tuple[int, ...] = ()
+    #: Scanner to camera, row-major 4x4.
+    tr: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)
 
     @property
     def range_num(self) -> int:
@@ -60,9 +64,24 @@ class Settings:
 
     @staticmethod
     def from_mapping(values: dict) -> "Settings":
-        """Settings from a parsed configuration file; unknown names are ignored, missing ones keep their defaults."""
-        known = {f.name for f in fields(Settings)}
-        return Settings(**{k: v for k, v in values.items() if k in known})
+        """Settings from a parsed configuration file, with or without sections; a name may end in an underscore.
+
+        Unknown names are ignored, missing ones keep their defaults, and every value takes its default's type.
+        """
+        defaults = {f.name: f.default for f in fields(Settings)}
+        flat = {}
+        for name, value in values.items():
+            flat |= value if isinstance(value, dict) else {name: value}
+        named = {re.sub("([A-Z])", r"_\1", k).lower().strip("_"): v for k, v in flat.items()}
+        return Settings(**{k: type(defaults[k])(v) for k, v in named.items() if k in defaults})
+
+    @staticmethod
+    def from_file(path: str) -> "Settings":
+        """Settings from a YAML file on the driver."""
+        import yaml
+
+        with open(path) as f:
+            return Settings.from_mapping(yaml.safe_load(f) or {})
 
 
 ROAD = Settings(

@@ -9,14 +9,50 @@ from pyspark.sql import DataFrame
 NEIGHBOURS, SMOOTH, CURVATURE, LEAST_REGION, SHARE = 10, np.deg2rad(10.0), 1.2, 20, 0.2
 
 
-def nearest(xyz: np.ndarray, k: int, block: int = 512) -> np.ndarray:
-    """Indices of the k nearest points of each point, itself included, in blocks of rows."""
-    k = min(k, len(xyz))
-    out = []
-    for i in range(0, len(xyz), block):
-        d = ((xyz[i : i + block, None, :] - xyz[None, :, :]) ** 2).sum(-1)
-        out.append(np.argsort(d, axis=1, kind="stable")[:, :k])
-    return np.concatenate(out) if out else np.zeros((0, k), int)
+def _k_least(xyz: np.ndarray, rows: np.ndarray, among: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the k nearest of `among` to each of `rows`, by distance and then by index; squared distance of the last)."""
+    d = ((xyz[rows, None, :] - xyz[None, among, :]) ** 2).sum(-1)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return among[near], np.take_along_axis(d, near[:, -1:], 1)[:, 0]
+
+
+def nearest(xyz: np.ndarray, k: int, block: int = 256) -> np.ndarray:
+    """Indices of the k nearest points of each point, itself included.
+
+    Points look into the 27 cells around their own. A point whose k-th neighbour there lies within one cell's width has
+    found them all; the others look again with cells twice as wide.
+    """
+    n, k = len(xyz), min(k, len(xyz))
+    out, left = np.zeros((n, k), int), np.arange(n)
+    low, extent = (xyz.min(0), float(np.ptp(xyz, axis=0).max())) if n else (np.zeros(3), 0.0)
+    width = extent / max(1.0, np.sqrt(n / 8))
+    while len(left):
+        all_in = width <= 0 or width >= extent or n <= block
+        cell = np.zeros((n, 3), np.int64) if all_in else np.floor((xyz - low) / width).astype(np.int64) + 1
+        key = (cell[:, 0] << 42) + (cell[:, 1] << 21) + cell[:, 2]
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+        left = left[np.argsort(key[left], kind="stable")]
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(key[left]) != 0, [True]]))
+        again = []
+        for i, j in zip(edges[:-1], edges[1:]):
+            at = int(key[left[i]])
+            # cells one above the other in z are neighbours in the order
+            spans = [(at + (dx << 42) + (dy << 21) - 1, at + (dx << 42) + (dy << 21) + 2) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+            bounds = np.searchsorted(ordered, np.array(spans).ravel()).reshape(-1, 2)
+            among = np.sort(np.concatenate([order[x:y] for x, y in bounds])) if not all_in else np.arange(n)
+            for r in range(i, j, block):
+                rows = left[r : min(j, r + block)]
+                if len(among) < k:
+                    again.append(rows)
+                    continue
+                near, last = _k_least(xyz, rows, among, k)
+                found = np.full(len(rows), True) if all_in else last <= width * width
+                out[rows[found]] = near[found]
+                again.append(rows[~found])
+        left = np.concatenate(again)
+        width *= 2
+    return out
 
 
 def normals(xyz: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,14 @@ def class_rejection(truth: DataFrame, estimate: DataFrame) -> DataFrame:
     return joined.withColumn("rejection", (F.col("n_truth") - F.col("n_estimate")) * 100.0 / F.nullif("n_truth", F.lit(0)))
 
 
+def count_scores(truth: DataFrame, estimate: DataFrame) -> DataFrame:
+    """One row: precision and recall of the removal of dynamic points, by counts alone; null where nothing was there to remove."""
+    a = static_and_dynamic(truth).select(F.col("n_dynamic").alias("d"), F.col("n_total").alias("t"))
+    b = static_and_dynamic(estimate).select(F.col("n_dynamic").alias("e"), F.col("n_total").alias("u"))
+    gone = F.col("d") - F.col("e")
+    return a.crossJoin(b).select((gone * 1.0 / F.nullif(F.col("t") - F.col("u"), F.lit(0))).alias("precision"), (gone * 1.0 / F.nullif("d", F.lit(0))).alias("recall"))  # two rows of one
+
+
 def inlier_distance(voxel_size: float) -> float:
     return voxel_size * math.sqrt(3) / 2
 

@@ -11,9 +11,15 @@ from ..functions.geometry import apply, compose, invert, rotation
 from .voxels import binned
 
 
-def frame_pairs(frames: DataFrame) -> DataFrame:
-    """(frame_id, next_frame): each frame with the one after it, whatever the stride. A row per frame, no points."""
-    return frames.select("frame_id").distinct().withColumn("next_frame", F.lead("frame_id").over(Window.orderBy("frame_id"))).where("next_frame is not null")
+def frame_pairs(frames: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
+    """(frame_id, next_frame): each frame with the one after it, whatever the stride. A row per frame, no points.
+
+    sequences: (frame_id, sequence), one row per frame; the last frame of a sequence has no next one.
+    """
+    own, one = frames.select("frame_id").distinct(), F.lit(0)
+    if sequences is not None:
+        own, one = own.join(sequences, "frame_id"), F.col("sequence")
+    return own.withColumn("next_frame", F.lead("frame_id").over(Window.partitionBy(one).orderBy("frame_id"))).where("next_frame is not null").select("frame_id", "next_frame")
 
 
 def moved_points(points: DataFrame, pairs: DataFrame, poses: DataFrame | None = None) -> DataFrame:
@@ -119,12 +125,14 @@ def fold(voxels: dict[int, dict[int, tuple[int, set[int]]]], hits: dict[tuple[in
     return out
 
 
-def tracking_fold(clustered: DataFrame, components: DataFrame, typed: DataFrame, s: Settings, poses: DataFrame | None = None) -> DataFrame:
-    """(frame_id, cluster_id, type, state, track_id) of the cars of a sequence.
+def tracking_fold(clustered: DataFrame, components: DataFrame, typed: DataFrame, s: Settings, poses: DataFrame | None = None, sequences: DataFrame | None = None) -> DataFrame:
+    """(frame_id, cluster_id, type, state, track_id) of the cars of each sequence; track ids start anew in each.
 
-    The fold needs order, so a sequence is one task; it sees occupied voxels and their hits only, never points.
+    The fold needs order, so a sequence is one task; it sees occupied voxels and their hits only, never points. What a
+    car leaves in the next frame is its track; its points are not carried on into the frame after that.
+    sequences: (frame_id, sequence) where there are several, with frame ids of their own; else all frames are one.
     """
-    moved = moved_points(clustered.select("frame_id", F.col("voxel").alias("from_voxel"), "x", "y", "z"), frame_pairs(components), poses)
+    moved = moved_points(clustered.select("frame_id", F.col("voxel").alias("from_voxel"), "x", "y", "z"), frame_pairs(components, sequences), poses)
     hit = binned(moved, s).select("frame_id", "from_voxel", "voxel").distinct().groupBy("frame_id", "from_voxel").agg(F.collect_list("voxel").alias("hits"))
     rows = components.join(typed.select("frame_id", "cluster_id", "type"), ["frame_id", "cluster_id"]).join(hit.withColumnRenamed("from_voxel", "voxel"), ["frame_id", "voxel"], "left")
 
@@ -137,4 +145,5 @@ def tracking_fold(clustered: DataFrame, components: DataFrame, typed: DataFrame,
                 hits[int(f), int(v)] = {int(x) for x in to}
         return pd.DataFrame(fold(voxels, hits, s.occupancy), columns=["frame_id", "cluster_id", "type", "state", "track_id"])
 
-    return rows.withColumn("sequence", F.lit(0)).groupBy("sequence").applyInPandas(run, "frame_id int, cluster_id long, type int, state int, track_id long")
+    rows = rows.withColumn("sequence", F.lit(0)) if sequences is None else rows.join(sequences, "frame_id")
+    return rows.groupBy("sequence").applyInPandas(run, "frame_id int, cluster_id long, type int, state int, track_id long")

@@ -83,13 +83,13 @@ def joined_voxels(voxels: DataFrame, s: Settings) -> DataFrame:
     """(frame_id, u, v): every neighbouring pair at least once, whichever way; half the look-ups of neighbour_edges().
 
     Voxels look ahead only, at 13 of 26 neighbours. One that holds a lower-bound value stands at another voxel's key: it
-    looks all around from its own indices, and all around its key, where others would look for it.
+    looks all around from its own indices, and all around its key, where voxels without such values look for it.
     """
     odd = (F.col("r_i") < 0) | (F.col("s_i") < 0) | (F.col("a_i") < 0)
     key, plane = F.col("voxel"), s.range_num * s.sector_num
     at_key = {"a_i": F.floor(key / plane), "r_i": F.floor(F.pmod(key, F.lit(plane)) / s.sector_num), "s_i": F.pmod(key, F.lit(s.sector_num))}
     columns = ["frame_id", "voxel", "r_i", "s_i", "a_i"]
-    looking = voxels.select(*columns, odd.alias("all")).unionByName(voxels.where(odd).select("frame_id", "voxel", *(at_key[c].cast("long").alias(c) for c in columns[2:]), F.lit(True).alias("all")))
+    looking = voxels.select(*columns, odd.alias("all"), F.lit(False).alias("by_key")).unionByName(voxels.where(odd & key.between(0, plane * s.azimuth_num - 1)).select("frame_id", "voxel", *(at_key[c].cast("long").alias(c) for c in columns[2:]), F.lit(True).alias("all"), F.lit(True).alias("by_key")))
     step = lambda a, b, c: F.struct(F.lit(a).alias("r"), F.lit(b).alias("s"), F.lit(c).alias("a"))
     steps = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
     ahead = F.array(*(step(*x) for x in steps if x > (0, 0, 0)))
@@ -98,8 +98,9 @@ def joined_voxels(voxels: DataFrame, s: Settings) -> DataFrame:
     if s.wrap_sectors:
         y = F.pmod(y, F.lit(s.sector_num))
     inside = x.between(0, s.range_num - 1) & y.between(0, s.sector_num - 1) & z.between(0, s.azimuth_num - 1)
-    keyed = around.where(inside).select("frame_id", F.col("voxel").alias("u"), voxel_key(x, y, z, s).alias("v")).where("u <> v")
-    return keyed.join(voxels.select("frame_id", F.col("voxel").alias("v")), ["frame_id", "v"])
+    keyed = around.where(inside).select("frame_id", F.col("voxel").alias("u"), voxel_key(x, y, z, s).alias("v"), "by_key").where("u <> v")
+    met = keyed.join(voxels.select("frame_id", F.col("voxel").alias("v"), odd.alias("v_odd")), ["frame_id", "v"])
+    return met.where("not (by_key and v_odd)").select("frame_id", "u", "v")
 
 
 def voxel_components(voxels: DataFrame, s: Settings) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,13 +12,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Settings
+from ..config import MOVING, Settings
+from ..functions.geometry import quaternion
+from ..functions.labels import object_colour
 
 # fixed values: the packed record of the object files
 OBJECT_RECORD = np.dtype([("t", "<i8"), ("intensity", "u1"), ("id", "u1"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("azimuth", "<f4"), ("range", "<f4"), ("pid", "<i4")])
 _POINT = "frame_id int, k long, x double, y double, z double, intensity double"
 
 
+def listed(spark: SparkSession, folder: str, ending: str) -> list[tuple[int, str, int]]:
+    """(frame, path, bytes) of a folder's files with a numeric stem, by frame; empty files too, which Spark's readers skip."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+    named = [(re.fullmatch(rf".*?(\d+)\.{ending}", f.getPath().getName()), f) for f in found]
+    return sorted((int(m[1]), f.getPath().toString(), f.getLen()) for m, f in named if m)
+
+
+def check_slice(s: Settings, frames: int) -> None:
+    """Raises where the settings name frames that are not there."""
+    if s.start < 0 or s.end > frames:
+        raise ValueError(f"frames {s.start} to {s.end} of {frames}")
+
+
 def _files(spark: SparkSession, folder: str, ending: str) -> DataFrame:
     """(frame_id, path, content) of the files with a numeric stem."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").load(folder)
@@ -54,33 +73,68 @@ def read_labels(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder, "label").mapInPandas(_decoded(lambda c: np.frombuffer(c, "<u4", len(c) // 4).reshape(-1, 1).astype(np.int64), ["label"]), "frame_id int, k long, label long")
 
 
-def labelled_scans(spark: SparkSession, scans: str, labels: str, max_intensity: float = 255.0) -> DataFrame:
-    """Points joined with their labels by frame and place; raises if a scan or a label file stands alone."""
-    a, b = _files(spark, scans, "bin").select("frame_id"), _files(spark, labels, "label").select("frame_id", F.lit(1).alias("there"))
-    lone = a.withColumn("here", F.lit(1)).join(b, "frame_id", "full_outer").where("here is null or there is null").limit(1).collect()
-    if lone:
-        raise ValueError(f"frame {lone[0]['frame_id']} has a scan or a label file only")
-    return read_scans(spark, scans, max_intensity).join(read_labels(spark, labels), ["frame_id", "k"])
+def labelled_scans(spark: SparkSession, scans: str, labels: str, max_intensity: float = 255.0, s: Settings | None = None) -> DataFrame:
+    """Points joined with their labels by frame and place; raises if a scan or a label file stands alone.
+
+    A frame has as many points as its shorter file. s: only the frames that the settings name, which must be there.
+    """
+    here, there = ({f for f, _, _ in listed(spark, folder, ending)} for folder, ending in ((scans, "bin"), (labels, "label")))
+    if here != there:
+        raise ValueError(f"frame {min(here ^ there)} has a scan or a label file only")
+    a, b = read_scans(spark, scans, max_intensity), read_labels(spark, labels)
+    if s:
+        check_slice(s, len(here))
+        a, b = frame_slice(a, s), frame_slice(b, s)
+    return a.join(b, ["frame_id", "k"])
+
 
+def _angles(m: np.ndarray) -> dict[str, np.ndarray]:
+    """roll, pitch and yaw of an array of matrices; near the pole yaw is zero."""
+    sy = np.hypot(m[:, 0, 0], m[:, 1, 0])
+    pole = sy < 1e-6
+    roll = np.where(pole, np.arctan2(-m[:, 1, 2], m[:, 1, 1]), np.arctan2(m[:, 2, 1], m[:, 2, 2]))
+    return {"roll": roll, "pitch": np.arctan2(-m[:, 2, 0], sy), "yaw": np.where(pole, 0.0, np.arctan2(m[:, 1, 0], m[:, 0, 0]))}
 
-def read_poses(spark: SparkSession, path: str) -> DataFrame:
-    """(frame_id, r0..r8, px, py, pz) from lines of twelve numbers, row-major 3x4; frames count from 0 in line order."""
+
+def read_poses(spark: SparkSession, path: str, tr: tuple[float, ...] | None = None) -> DataFrame:
+    """(frame_id, r0..r8, px, py, pz, roll, pitch, yaw) from lines of twelve numbers, row-major 3x4; frames count from 0.
+
+    tr: scanner to camera, 4x4 by rows; camera poses become poses of the scanner, tr^-1 pose tr.
+    """
 
     def decode(content: bytes) -> np.ndarray:
         rows = [[float(v) for v in line.split()] for line in content.decode().splitlines() if line.strip()]
-        return np.array(rows, dtype=float).reshape(-1, 12)
+        m = np.tile(np.eye(4), (len(rows), 1, 1))
+        m[:, :3] = np.array(rows, dtype=float).reshape(-1, 3, 4)
+        if tr is not None:
+            fixed = np.array(tr, dtype=float).reshape(4, 4)
+            m = np.linalg.inv(fixed) @ m @ fixed
+        return m
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for content in pdf["content"]:
                 m = decode(content)
-                rot = {f"r{3 * i + j}": m[:, 4 * i + j] for i in range(3) for j in range(3)}
-                yield pd.DataFrame({"frame_id": np.arange(len(m), dtype=np.int32), **rot, "px": m[:, 3], "py": m[:, 7], "pz": m[:, 11]})
+                rot = {f"r{3 * i + j}": m[:, i, j] for i in range(3) for j in range(3)}
+                yield pd.DataFrame({"frame_id": np.arange(len(m), dtype=np.int32), **rot, "px": m[:, 0, 3], "py": m[:, 1, 3], "pz": m[:, 2, 3], **_angles(m)})
 
-    schema = "frame_id int, " + ", ".join(f"r{k} double" for k in range(9)) + ", px double, py double, pz double"
+    schema = "frame_id int, " + ", ".join(f"r{k} double" for k in range(9)) + ", px double, py double, pz double, roll double, pitch double, yaw double"
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+def read_cloud_poses(spark: SparkSession, path: str) -> DataFrame:
+    """(frame_id, px, py, pz, roll, pitch, yaw, time) from a point-cloud file with a point per frame, in order."""
+    fields = ("x", "y", "z", "roll", "pitch", "yaw", "time")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                names, values = parse_cloud(content)
+                yield pd.DataFrame({"frame_id": np.arange(len(values), dtype=np.int32), **{f"p{f}" if f in "xyz" else f: values[:, names.index(f)] for f in fields}})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "frame_id int, px double, py double, pz double, roll double, pitch double, yaw double, time double")
+
+
 def parse_cloud(content: bytes) -> tuple[list[str], np.ndarray]:
     """(field names, values) of an ASCII or binary point-cloud file."""
     head, at = {}, 0
@@ -111,10 +165,118 @@ def read_clouds(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("x"
     return _files(spark, folder, "pcd").mapInPandas(_decoded(decode, list(fields)), "frame_id int, k long, " + ", ".join(f"{f} double" for f in fields))
 
 
-def cloud_bytes(values: np.ndarray, fields: tuple[str, ...] = ("x", "y", "z", "intensity")) -> bytes:
-    n, w = len(values), len(fields)
-    head = ["VERSION .7", f"FIELDS {' '.join(fields)}", "SIZE" + " 4" * w, "TYPE" + " F" * w, "COUNT" + " 1" * w, f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA binary", ""]
-    return "\n".join(head).encode() + np.ascontiguousarray(values, dtype="<f4").tobytes()
+def cloud_bytes(values: np.ndarray, fields: tuple[str, ...] = ("x", "y", "z", "intensity"), colours: np.ndarray | None = None) -> bytes:
+    """A binary point-cloud file of float32 fields, and of packed colours (n, 3) where given."""
+    n, names = len(values), [*fields, *(["rgb"] if colours is not None else [])]
+    kinds = ["F"] * len(fields) + ["U"] * (len(names) - len(fields))
+    record = np.zeros(n, [(f, "<f4" if k == "F" else "<u4") for f, k in zip(names, kinds)])
+    for i, f in enumerate(fields):
+        record[f] = values[:, i]
+    if colours is not None:
+        c = colours.astype(np.uint32)
+        record["rgb"] = c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
+    head = ["VERSION .7", f"FIELDS {' '.join(names)}", "SIZE" + " 4" * len(names), f"TYPE {' '.join(kinds)}", "COUNT" + " 1" * len(names), f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA binary", ""]
+    return "\n".join(head).encode() + record.tobytes()
+
+
+def _write_each(points: DataFrame, folder: str, ending: str, encode) -> int:
+    """One file per frame, put in place whole, so that a task that runs again does no harm; the number of files.
+
+    folder must be shared by all executors. A task's group is one scan.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        os.makedirs(folder, exist_ok=True)
+        path = os.path.join(folder, f"{key[0]}.{ending}")
+        part = f"{path}.{os.getpid()}.part"
+        with open(part, "wb") as f:
+            f.write(encode(pdf))
+        os.replace(part, path)
+        return pd.DataFrame({"frame_id": [key[0]], "n": [len(pdf)]})
+
+    files = points.groupBy("frame_id").applyInPandas(run, "frame_id int, n long").count()
+    if not files:
+        warnings.warn(f"no points, so no files in {folder}", stacklevel=2)
+    return files
+
+
+def write_clouds(points: DataFrame, folder: str, fields: tuple[str, ...] = ("x", "y", "z", "intensity"), save: bool = True) -> int:
+    """A point-cloud file per frame, points by k where there is one; nothing unless `save`. Frames without points have none."""
+    if not save:
+        return 0
+    order = ["k"] if "k" in points.columns else list(fields)
+    return _write_each(points.select("frame_id", *{c: None for c in (*order, *fields)}), folder, "pcd", lambda pdf: cloud_bytes(pdf.sort_values(order)[list(fields)].to_numpy(float), fields))
+
+
+def write_coloured(points: DataFrame, folder: str) -> int:
+    """A coloured point-cloud file per frame from (frame_id, x, y, z, r, g, b)."""
+    columns = ["x", "y", "z", "r", "g", "b"]
+
+    def encode(pdf: pd.DataFrame) -> bytes:
+        v = pdf.sort_values(columns)[columns].to_numpy(float)
+        return cloud_bytes(v[:, :3], ("x", "y", "z"), v[:, 3:])
+
+    return _write_each(points.select("frame_id", *columns), folder, "pcd", encode)
+
+
+def write_one_colour(scans: DataFrame, folder: str, r: int, g: int, b: int) -> int:
+    """Scans as clouds of a single colour."""
+    return write_coloured(scans.withColumns({"r": F.lit(r), "g": F.lit(g), "b": F.lit(b)}), folder)
+
+
+def write_scans(points: DataFrame, folder: str) -> int:
+    """Packed float32 quadruples, the form that read_scans() reads, in order of k."""
+    columns = ["x", "y", "z", "intensity"]
+    return _write_each(points.select("frame_id", "k", *columns), folder, "bin", lambda pdf: pdf.sort_values("k")[columns].to_numpy("<f4").tobytes())
+
+
+def read_text_clouds(spark: SparkSession, folder: str) -> DataFrame:
+    """(frame_id, k, x, y, z, intensity): the lines of exactly four numbers, up to the first blank line."""
+
+    def decode(content: bytes) -> np.ndarray:
+        lines = content.decode("ascii", "replace").split("\n")
+        blank = next((i for i, line in enumerate(lines) if not line.strip()), len(lines))
+        rows = [line.strip().split(" ") for line in lines[:blank]]
+        return np.array([[float(v) for v in r] for r in rows if len(r) == 4 and _numbers(r)], dtype=float).reshape(-1, 4)
+
+    return _files(spark, folder, "pcd").mapInPandas(_decoded(decode, ["x", "y", "z", "intensity"]), _POINT)
+
+
+def _numbers(words: list[str]) -> bool:
+    try:
+        return [float(w) for w in words] is not None
+    except ValueError:
+        return False  # a header line of four words
+
+
+def write_poses(poses: DataFrame, path: str, s: Settings | None = None) -> None:
+    """Twelve numbers a line in frame order, from r0..r8 and px, py, pz: one file, a line per frame."""
+    numbers = [F.col(c).cast("string") for i in range(3) for c in (f"r{3 * i}", f"r{3 * i + 1}", f"r{3 * i + 2}", f"p{'xyz'[i]}")]
+    own = poses if s is None else poses.where((F.col("frame_id") >= s.start) & (F.col("frame_id") <= s.end))
+    own.select("frame_id", F.concat_ws(" ", *numbers).alias("value")).coalesce(1).sortWithinPartitions("frame_id").select("value").write.mode("overwrite").text(path)
+
+
+def write_quaternions(poses: DataFrame, path: str, s: Settings) -> None:
+    """Frame from the start, frame, place and quaternion (x, y, z, w) of the frames from start to end, both included."""
+    q = quaternion([F.col(f"r{k}") for k in range(9)])
+    own = poses.where((F.col("frame_id") >= s.start) & (F.col("frame_id") <= s.end))
+    rows = own.select((F.col("frame_id") - s.start).alias("ordinal"), "frame_id", "px", "py", "pz", *(c.alias(n) for c, n in zip(q, ("qx", "qy", "qz", "qw"))))
+    rows.coalesce(1).sortWithinPartitions("ordinal").write.mode("overwrite").csv(path)
+
+
+def write_segments(points: DataFrame, clusters: DataFrame, folder: str, moving: bool | None = None) -> int:
+    """Segmented points, coloured by state and type, a file per frame; a car at rest has the colour of its track.
+
+    points: frame_id, cluster_id, x, y, z. clusters: frame_id, cluster_id, type, state, track_id; clusters without a type
+    were left out and are not written. moving: only the points of moving objects, or only those of the others.
+    """
+    shade = lambda salt: (F.pmod(F.xxhash64(F.coalesce("track_id", "cluster_id"), F.lit(salt)), F.lit(180)) + 20).cast("int")
+    fixed = object_colour(F.col("type"), F.col("state"))
+    own = clusters.where("type is not null").withColumn("c", F.coalesce(fixed, F.struct(shade(1).alias("r"), shade(2).alias("g"), shade(3).alias("b"))))
+    if moving is not None:
+        moves = F.coalesce(F.col("state") == MOVING, F.lit(False))
+        own = own.where(moves if moving else ~moves)
+    return write_coloured(points.join(own.select("frame_id", "cluster_id", "c.r", "c.g", "c.b"), ["frame_id", "cluster_id"]), folder)
 
 
 def read_objects(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """The point-cloud queries against DuckDB on the smallest scene, kernels against plain versions, files by round trips."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from oracle import check
+from pyspark.sql import functions as F
 
 from scanweave import catalogue
-from scanweave.config import CAR_TYPE, PARKING, ROAD
+from scanweave.config import CAR_TYPE, PARKING, ROAD, Settings
 from scanweave.operators import ground, planarity, segments, tracking, voxels
+from scanweave.plans import segmentation
 from scanweave.plans.components import connected_components
 from scanweave.sources import scans
 
@@ -30,6 +33,19 @@ def test_presets_have_the_known_grids():
     assert (PARKING.range_num, PARKING.sector_num, PARKING.azimuth_num) == (98, 300, 45)
 
 
+def test_settings_from_a_file(tmp_path):
+    (tmp_path / "s.yaml").write_text("common:\n  skip_: 3\nssc:\n  toBeClass_: 12\n  max_dis_: 40\n  dynamic_label_: [252, 253]\n  other_: 1\nfeature:\n")
+    s = Settings.from_file(str(tmp_path / "s.yaml"))
+    assert (s.skip, s.to_be_class, s.max_dis, s.dynamic_label, s.start) == (3, 12, 40.0, (252, 253), 5)
+
+
+def test_neighbours_by_cells_are_the_nearest():
+    rng = np.random.default_rng(7)
+    for xyz in (rng.random((1500, 3)), np.c_[rng.random((1500, 2)) * 9, np.zeros(1500)], np.repeat(rng.random((40, 3)), 30, 0), np.zeros((300, 3)), rng.random((3, 3)), np.zeros((0, 3))):
+        d = ((xyz[:, None, :] - xyz[None]) ** 2).sum(-1)
+        assert (planarity.nearest(xyz, 10) == np.argsort(d, axis=1, kind="stable")[:, :10]).all()
+
+
 def test_lower_bounds_alias_to_the_sector_before(spark):
     p = spark.createDataFrame([(0, 10.0, 0.0, 0.0)], "frame_id int, x double, y double, z double")
     r = voxels.binned(p, ROAD).first()
@@ -53,6 +69,22 @@ def test_components_against_union_find(spark):
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: find(n) for n in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    by_steps = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), one_task_edges=0)
+    assert {r["node"]: r["component"] for r in by_steps.collect()} == got
+
+
+def test_joined_voxels_have_the_components_of_all_edges(spark):
+    # voxels on lower bounds stand at their neighbours' keys, among voxels that lie there
+    rng = np.random.default_rng(9)
+    small = ROAD.but(max_dis=4.0, min_azimuth=-6.0, max_azimuth=6.0, sector_res=30.0)
+    rows = [(0, int(r), int(s), int(a)) for r, s, a in set(map(tuple, rng.integers([-1, -1, -1], [small.range_num, small.sector_num, small.azimuth_num], (60, 3))))]
+    v = spark.createDataFrame(rows, "frame_id int, r_i long, s_i long, a_i long")
+    for wrap in (False, True):
+        s = small.but(wrap_sectors=wrap)
+        v2 = v.withColumn("voxel", voxels.voxel_key(v.r_i, v.s_i, v.a_i, s)).groupBy("frame_id", "voxel").agg(*(F.min(c).alias(c) for c in ("r_i", "s_i", "a_i")))
+        pairs = lambda df: {frozenset((r["u"], r["v"])) for r in df.collect() if r["u"] != r["v"]}
+        assert pairs(voxels.neighbour_edges(v2, s)) <= pairs(voxels.joined_voxels(v2, s))
+        assert pairs(voxels.joined_voxels(v2, s)) <= pairs(voxels.neighbour_edges(v2, s))
 
 
 def test_plane_and_ground():
@@ -63,6 +95,58 @@ def test_plane_and_ground():
     assert hit[:200].all() and not hit[200:].any()
     normal, _, _ = ground.plane(flat)
     assert normal[2] > 0.99
+    # a raised, rough patch is no ground in the four rings nearest to the sensor, in whatever zone they lie
+    rough = np.c_[rng.uniform(13, 16, (300, 2)), rng.normal(-0.5, 0.05, 300)]
+    assert [bool(ground.is_ground(rough, zone, ring, 1.73).any()) for zone, ring in ((0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 0))] == [False] * 4 + [True] * 2
+
+
+def plain_split(points, height):
+    """Ground of one scan, patch by patch, from the rules alone."""
+    status = {}
+    patches = {}
+    for k, (x, y, z) in enumerate(points):
+        if z < -1.8 * height:
+            continue
+        r, turn = np.hypot(x, y), np.arctan2(y, x) % (2 * np.pi)
+        status[k] = "unassigned"
+        if 2.7 < r <= 80:
+            zone = int(np.searchsorted((12.3625, 22.025, 41.35), r, "right"))
+            low, high = ground.BORDERS[zone], ground.BORDERS[zone + 1]
+            ring = min(int((r - low) / ((high - low) / ground.RINGS[zone])), ground.RINGS[zone] - 1)
+            sector = min(int(turn / (2 * np.pi / ground.SECTORS[zone])), ground.SECTORS[zone] - 1)
+            patches.setdefault((zone, ring, sector), []).append(k)
+    for (zone, ring, _), ks in patches.items():
+        if len(ks) <= 10:
+            continue
+        p = points[ks]
+        low = sorted(z for z in p[:, 2] if zone or z >= -1.1 * height)[:20]
+        inside = p[:, 2] < (np.mean(low) if low else 0.0) + 0.3
+        for _ in range(3):
+            if not inside.any():
+                break
+            mean = p[inside].mean(0)
+            _, spread, axes = np.linalg.svd(np.cov(p[inside].T, bias=True))
+            normal = axes[2] * (1 if axes[2, 2] >= 0 else -1)
+            inside = (p - mean) @ normal < 0.1
+        good = inside.any() and abs(normal[2]) >= 0.707
+        number = {0: ring, 1: 2 + ring}.get(zone, 9)
+        if good and number < 4 and mean[2] > ground.ELEVATION[number]:
+            good = spread[2] / spread.sum() < ground.FLATNESS[number]
+        for k, i in zip(ks, inside):
+            status[k] = "ground" if good and i else "in_grid"
+    return status
+
+
+def test_ground_split_against_plain_rules(spark):
+    rng = np.random.default_rng(3)
+    n = 6000
+    turn, far = rng.uniform(0, 2 * np.pi, n), rng.uniform(1, 50, n)
+    height = np.where(rng.random(n) < 0.6, rng.normal(-1.7, 0.03, n), rng.uniform(-1.5, 2, n)) + np.where(turn < 1, 1.2, 0)
+    xyz = np.round(np.c_[far * np.cos(turn), far * np.sin(turn), height], 6)
+    pdf = pd.DataFrame(xyz, columns=["x", "y", "z"]).assign(frame_id=np.int32(0), k=np.arange(n))
+    got = {r["k"]: r["status"] for r in ground.ground_split(spark.createDataFrame(pdf, "x double, y double, z double, frame_id int, k long"), 1.73).collect()}
+    want = plain_split(xyz, 1.73)
+    assert got == want and set(want.values()) == {"ground", "in_grid", "unassigned"}
 
 
 def test_planarity_of_walls_and_noise():
@@ -94,7 +178,33 @@ def test_fold_states_and_tracks():
     assert tracking.fold(joined, same, 0.4) == [(0, 1, car, 0, 0), (1, 7, car, -1, 0)]
 
 
-@pytest.mark.parametrize("name", ["ground_split", "intensity_fusion", "tracking_fold", "cluster_planarity"])
+def test_folds_of_two_sequences_stay_apart(spark):
+    clustered = spark.createDataFrame([(f, 1, 7, 5.0, 0.5, -1.5) for f in (1, 2, 5, 6)], "frame_id int, cluster_id long, voxel long, x double, y double, z double")
+    clustered = voxels.binned(clustered.drop("voxel"), ROAD).select("frame_id", "cluster_id", "voxel", "x", "y", "z")
+    typed = clustered.select("frame_id", "cluster_id", F.lit(CAR_TYPE).alias("type"))
+    of = lambda sequences: sorted(tuple(r) for r in tracking.tracking_fold(clustered, clustered.select("frame_id", "voxel", "cluster_id"), typed, ROAD, sequences=sequences).collect())
+    assert [r[3:] for r in of(None)] == [(0, 0), (0, 0), (0, 0), (-1, 0)]
+    two = spark.createDataFrame([(1, "a"), (2, "a"), (5, "b"), (6, "b")], "frame_id int, sequence string")
+    assert [r[3:] for r in of(two)] == [(0, 0), (-1, 0), (0, 0), (-1, 0)]
+
+
+def test_whole_chain_and_its_files(spark, tmp_path):
+    done = segmentation.segment(catalogue.objects(spark, SF), ROAD, catalogue.poses(spark))
+    clusters = {(r["frame_id"], r["cluster_id"]): r for r in done.clusters.collect()}
+    assert {r["type"] for r in clusters.values() if r["drop_reason"]} <= {None}
+    assert all(r["type"] is not None for r in clusters.values() if not r["drop_reason"])
+    count = {r["frame_id"]: r for r in done.counters().collect()}
+    assert sum(r["in_grid"] for r in count.values()) == done.points.count() and all(r["fused"] >= r["kept"] >= r["tracked"] >= r["dynamic"] for r in count.values())
+    frames = {k[0] for k, r in clusters.items() if not r["drop_reason"]}
+    assert scans.write_segments(done.points, done.clusters, str(tmp_path / "seg")) == len(frames)
+    back = scans.read_clouds(spark, str(tmp_path / "seg"), ("x", "y", "z", "rgb")).groupBy("frame_id").count().collect()
+    points = {f: sum(r["n_pts"] for k, r in clusters.items() if k[0] == f and not r["drop_reason"]) for f in frames}
+    assert {r["frame_id"]: r["count"] for r in back} == points
+    done.write_seconds(str(tmp_path / "times"))
+    assert spark.read.csv(str(tmp_path / "times"), sep="\t").count() == len(done.seconds)
+
+
+@pytest.mark.parametrize("name", ["ground_split", "intensity_fusion", "tracking_fold", "cluster_planarity", "segmented_clusters"])
 def test_queries_without_sql_run(spark, name):
     found = catalogue.QUERIES[name](spark, SF)
     assert found.columns and (found.count() > 0 or name == "cluster_planarity")
@@ -125,6 +235,35 @@ def test_files_round_trip(spark, tmp_path):
     (tmp_path / "poses.txt").write_text("1 0 0 5 0 1 0 6 0 0 1 7\n0 -1 0 1 1 0 0 2 0 0 1 3\n")
     got = scans.read_poses(spark, str(tmp_path / "poses.txt")).orderBy("frame_id").collect()
     assert [(r["px"], r["r3"]) for r in got] == [(5.0, 0.0), (1.0, 1.0)]
+    tr = (0, -1, 0, 1, 1, 0, 0, 2, 0, 0, 1, 3, 0, 0, 0, 1)
+    m = {r["frame_id"]: r for r in scans.read_poses(spark, str(tmp_path / "poses.txt"), tr).collect()}
+    fixed, cam = np.reshape(tr, (4, 4)).astype(float), np.array([[0, -1, 0, 1], [1, 0, 0, 2], [0, 0, 1, 3], [0, 0, 0, 1.0]])
+    want = np.linalg.inv(fixed) @ cam @ fixed
+    assert np.allclose([m[1][c] for c in ("px", "py", "pz")], want[:3, 3]) and np.isclose(m[1]["yaw"], np.arctan2(want[1, 0], want[0, 0])) and m[0]["yaw"] == 0
+    poses = scans.read_poses(spark, str(tmp_path / "poses.txt"))
+    scans.write_poses(poses, str(tmp_path / "poses_again"))
+    again = scans.read_poses(spark, str(tmp_path / "poses_again/part-*"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, poses.collect()))
+    scans.write_quaternions(poses, str(tmp_path / "turns"), ROAD.but(start=1, end=1))
+    (r,) = spark.read.csv(str(tmp_path / "turns"), inferSchema=True).collect()
+    assert tuple(r)[:5] == (0, 1, 1.0, 2.0, 3.0) and np.allclose(tuple(r)[5:], (0, 0, np.sqrt(0.5), np.sqrt(0.5)))
+    (tmp_path / "way.pcd").write_text("FIELDS x y z roll pitch yaw time\nPOINTS 2\nDATA ascii\n1 2 3 0 0 0.5 10\n2 2 3 0 0 0.6 11\n")
+    assert [(r["frame_id"], r["px"], r["yaw"], r["time"]) for r in scans.read_cloud_poses(spark, str(tmp_path / "way.pcd")).collect()] == [(0, 1.0, 0.5, 10.0), (1, 2.0, 0.6, 11.0)]
+    (tmp_path / "text").mkdir()
+    (tmp_path / "text/5.pcd").write_text("FIELDS x y z\nSIZE 4 4 4\n1 2 3 4\n5 6 7\n5 6 7 8\n\n9 9 9 9\n")
+    text = scans.read_text_clouds(spark, str(tmp_path / "text"))
+    assert scans.write_scans(text, str(tmp_path / "made")) == 1
+    assert [(r["x"], r["intensity"]) for r in scans.read_scans(spark, str(tmp_path / "made"), 1.0).orderBy("k").collect()] == [(1.0, 1.0), (5.0, 1.0)]
+    assert scans.write_one_colour(text, str(tmp_path / "red"), 255, 1, 2) == 1
+    assert {r["rgb"] for r in scans.read_clouds(spark, str(tmp_path / "red"), ("x", "rgb")).collect()} == {float(255 << 16 | 1 << 8 | 2)}
+    assert scans.write_clouds(text, str(tmp_path / "plain")) == 1 and scans.write_clouds(text, str(tmp_path / "none"), save=False) == 0
+    assert [r["z"] for r in scans.read_clouds(spark, str(tmp_path / "plain")).orderBy("k").collect()] == [3.0, 7.0]
+    with pytest.warns(UserWarning):
+        assert scans.write_clouds(text.limit(0), str(tmp_path / "none")) == 0
+    (tmp_path / "labels/000009.label").unlink()
+    assert scans.labelled_scans(spark, str(tmp_path / "scans"), str(tmp_path / "labels"), s=ROAD.but(start=0, end=2, skip=1)).count() == 0
+    with pytest.raises(ValueError):
+        scans.labelled_scans(spark, str(tmp_path / "scans"), str(tmp_path / "labels"), s=ROAD)
     o = np.zeros(2, scans.OBJECT_RECORD)
     o["x"] = [1.5, 2.5]
     (tmp_path / "objects/car.bin").write_bytes(o.tobytes())
