@@ -78,14 +78,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 60, one_task_edges: int = ONE_TASK_EDGES) -> DataFrame:
     """(node, component): for each node of an edge (a, b), the least node that it reaches. Nodes are longs, none null.
 
-    Loops and repeated edges do no harm. Edges are dealt to tasks by ranges of their first node, so that neighbours in
+    Loops and repeated edges do no harm. Edges are dealt to tasks by ranges of their nodes, so that neighbours in
     number meet; each task passes on a spanning forest of its edges. Forests of more than `one_task_edges` edges are
     joined by rounds of two star steps, each written to the shared folder; log-many suffice, and a forest that has not
     settled after `rounds` of them raises.
     """
     ship(edges.sparkSession)
     given = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
-    star = written(given.where("a <> b").repartitionByRange("a").mapInArrow(_forest(False), "a long, b long"), "forest")
+    star = written(given.where("a <> b").repartitionByRange("a", "b").mapInArrow(_forest(False), "a long, b long"), "forest")
     loops = given.where("a = b").select(F.col("a").alias("node")).distinct()
     found = None
     if star.limit(one_task_edges + 1).count() <= one_task_edges:
