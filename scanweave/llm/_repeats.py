@@ -37,6 +37,8 @@ from ._frames import NO_ID, id_and_text, written
 CERTAIN, UNCERTAIN, PUBLISHED = 1, 2, 3
 #: Bytes of entries that a Python worker gathers before it sends them.
 SEND_BYTES = 12 << 20
+#: Buckets where other exchanges have one: a worker sorts a bucket's anchors with all that belongs to them.
+SPLIT = 2
 #: Most borders that the driver finds; beyond, a range is parted by a hash of the names.
 MOST_RANGES = 1 << 14
 #: Bytes of text that are sampled for each border, and of how many anchors there one is taken.
@@ -216,7 +218,7 @@ def _keys_sample(sampler: Sampler, twins: bool):
 
 def _ranges(rows: DataFrame, sampler: Sampler, twins: bool) -> Ranges:
     """Borders from a sample of documents: some SAMPLE_BYTES of text for each of at most MOST_RANGES, whatever the input."""
-    n = _blobs.buckets(rows)
+    n = SPLIT * _blobs.buckets(rows)
     count = min(n, MOST_RANGES)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     every = max(1, total // (count * SAMPLE_BYTES))
@@ -279,6 +281,7 @@ def _judge(shared, smaller: bool):
         *lead, name, c1, c2, doc, version, code, twice = whole
         keys = [*lead, name, c1, c2.astype(np.uint64)] + ([doc.view(np.uint64) ^ np.uint64(1 << 63)] if smaller else [])
         order = t.multikey_order(keys)
+        del keys, lead, whole
         name, c1, c2, doc, version, code, twice = (x[order] for x in (name, c1, c2, doc, version, code, twice))
         new_name, new_context = _new(name), _new(name, c1, c2)
         g, c = np.cumsum(new_name) - 1, np.cumsum(new_context) - 1
@@ -296,6 +299,7 @@ def _judge(shared, smaller: bool):
             met = border | (np.bincount(g, weights=many & ~both)[g] > 0)
             flag = np.where(both, np.where(new_context & met, PUBLISHED, CERTAIN), UNCERTAIN)
             keep = np.flatnonzero(many)
+        _blobs.release()
         return _reply(doc[keep], version[keep], code[keep] | flag[keep], passing)
 
     return run
