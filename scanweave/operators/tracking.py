@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CAR_TYPE, MOVING, STATIC, UNKNOWN, Settings
 from ..functions.geometry import apply, compose, invert, rotation
-from .voxels import binned
+from .voxels import bin_keys, binned, in_window, with_bins, with_geometry
 
 
 def frame_pairs(frames: DataFrame, sequences: DataFrame | None = None) -> DataFrame:
@@ -74,17 +77,46 @@ def pair_states(typed: DataFrame, matches: DataFrame, s: Settings) -> DataFrame:
     return cars.join(one, ["frame_id", "cluster_id"], "left").select("frame_id", "cluster_id", m.cast("long").alias("m"), state_rule(m, F.col("ratio"), F.col("match_type"), s).alias("state"))
 
 
-def fold(voxels: dict[int, dict[int, tuple[int, set[int]]]], hits: dict[tuple[int, int], set[int]], occupancy: float) -> list[tuple[int, int, int, int, int]]:
+class Cloud:
+    """Points of car voxels in their own frame, and their way into a later frame's coordinates and voxels."""
+
+    def __init__(self, points: dict[tuple[int, int], np.ndarray], poses: dict[int, np.ndarray], voxels_of: Callable[[np.ndarray], np.ndarray]):
+        self.points, self.poses, self.voxels_of = points, poses, voxels_of
+
+    def of(self, frame: int, voxels: set[int]) -> list[np.ndarray]:
+        return [self.points[frame, v] for v in voxels if (frame, v) in self.points]
+
+    def moved(self, frame: int, to: int, parts: list[np.ndarray]) -> np.ndarray:
+        """The points of all parts, from one frame's coordinates to another's. Without poses nothing moves."""
+        xyz = np.concatenate(parts) if parts else np.zeros((0, 3))
+        if not self.poses:
+            return xyz
+        m = np.linalg.inv(self.poses[to]) @ self.poses[frame]
+        return xyz @ m[:3, :3].T + m[:3, 3]
+
+
+def pose_matrix(px: float, py: float, pz: float, roll: float, pitch: float, yaw: float) -> np.ndarray:
+    """Rz(yaw) Ry(pitch) Rx(roll) and the position, four by four."""
+    (cr, cp, cy), (sr, sp, sy) = np.cos([roll, pitch, yaw]), np.sin([roll, pitch, yaw])
+    about_x, about_y, about_z = [[1, 0, 0], [0, cr, -sr], [0, sr, cr]], [[cp, 0, sp], [0, 1, 0], [-sp, 0, cp]], [[cy, -sy, 0], [sy, cy, 0], [0, 0, 1]]
+    out = np.eye(4)
+    out[:3, :3], out[:3, 3] = np.array(about_z) @ np.array(about_y) @ np.array(about_x), (px, py, pz)
+    return out
+
+
+def fold(voxels: dict[int, dict[int, tuple[int, set[int]]]], hits: dict[tuple[int, int], set[int]], occupancy: float, cloud: Cloud | None = None) -> list[tuple[int, int, int, int, int]]:
     """(frame, cluster, type, state, track) of all cars, in frame order.
 
     voxels: frame -> cluster -> (type, voxels). hits: (frame, voxel) -> voxels of the next frame that its points reach.
-    Cars are taken by ascending cluster; what a car does to the next frame, later cars and later frames see.
+    Cars are taken by ascending cluster; what a car does to the next frame, later cars and later frames see. With a
+    cloud, a car that stands where a car of the next frame is adds its points, and those it was given, to that car's.
     """
     frames, tracks, out = sorted(voxels), {}, []
     fresh_track = 0
     fresh_name = 1 + max((c for f in voxels.values() for c in f), default=0)
+    given: dict[int, list[np.ndarray]] = {}  # cluster -> points from earlier frames, in the coordinates of its own
     for i, f in enumerate(frames):
-        now = voxels[f]
+        now, brought, given = voxels[f], given, {}
         for c in sorted(c for c, (kind, _) in now.items() if kind == CAR_TYPE):
             kind, own = now[c]
             if (f, c) not in tracks:
@@ -95,6 +127,8 @@ def fold(voxels: dict[int, dict[int, tuple[int, set[int]]]], hits: dict[tuple[in
                 continue
             g, following = frames[i + 1], voxels[frames[i + 1]]
             reached = set().union(*(hits.get((f, v), set()) for v in own))
+            if c in brought:
+                reached.update(cloud.voxels_of(cloud.moved(f, g, brought[c])).tolist())
             matched = {n: reached & vs for n, (_, vs) in following.items() if reached & vs}
             state = UNKNOWN
             if not matched:
@@ -107,6 +141,8 @@ def fold(voxels: dict[int, dict[int, tuple[int, set[int]]]], hits: dict[tuple[in
                     state = STATIC if enough else MOVING
                     if enough:
                         tracks[g, n] = tracks[f, c]
+                        if cloud:
+                            given.setdefault(n, []).append(cloud.moved(f, g, cloud.of(f, own) + brought.get(c, [])))
                 elif not enough:
                     # what was hit leaves the other cluster as one of its own
                     state, kind = STATIC, other
@@ -128,22 +164,31 @@ def fold(voxels: dict[int, dict[int, tuple[int, set[int]]]], hits: dict[tuple[in
 def tracking_fold(clustered: DataFrame, components: DataFrame, typed: DataFrame, s: Settings, poses: DataFrame | None = None, sequences: DataFrame | None = None) -> DataFrame:
     """(frame_id, cluster_id, type, state, track_id) of the cars of each sequence; track ids start anew in each.
 
-    The fold needs order, so a sequence is one task; it sees occupied voxels and their hits only, never points. What a
-    car leaves in the next frame is its track; its points are not carried on into the frame after that.
+    The fold needs order, so a sequence is one task; it holds occupied voxels, and the points of cars. A car that
+    stands still hands its points on, so those of one that stands for n frames are moved up to n times.
     sequences: (frame_id, sequence) where there are several, with frame ids of their own; else all frames are one.
     """
-    moved = moved_points(clustered.select("frame_id", F.col("voxel").alias("from_voxel"), "x", "y", "z"), frame_pairs(components, sequences), poses)
-    hit = binned(moved, s).select("frame_id", "from_voxel", "voxel").distinct().groupBy("frame_id", "from_voxel").agg(F.collect_list("voxel").alias("hits"))
-    rows = components.join(typed.select("frame_id", "cluster_id", "type"), ["frame_id", "cluster_id"]).join(hit.withColumnRenamed("from_voxel", "voxel"), ["frame_id", "voxel"], "left")
+    cars = clustered.join(typed.where(F.col("type") == CAR_TYPE).select("frame_id", "cluster_id"), ["frame_id", "cluster_id"], "left_semi")
+    from_car = cars.select("frame_id", F.col("voxel").alias("from_voxel"), "x", "y", "z", F.array("x", "y", "z").alias("own"))
+    moved = with_bins(with_geometry(moved_points(from_car, frame_pairs(components, sequences), poses)), s)
+    hit = moved.groupBy("frame_id", F.col("from_voxel").alias("voxel")).agg(F.collect_set(F.when(in_window(s), F.col("voxel"))).alias("hits"), F.flatten(F.collect_list("own")).alias("own"))
+    rows = components.join(typed.select("frame_id", "cluster_id", "type"), ["frame_id", "cluster_id"]).join(hit, ["frame_id", "voxel"], "left")
+    place = ["px", "py", "pz", "roll", "pitch", "yaw"]
+    rows = rows.withColumn("pose", F.lit(None).cast("array<double>")) if poses is None else rows.join(F.broadcast(poses.select("frame_id", F.array(*place).alias("pose"))), "frame_id")  # a row per frame
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         voxels: dict[int, dict[int, tuple[int, set[int]]]] = {}
         hits: dict[tuple[int, int], set[int]] = {}
-        for f, c, kind, v, to in zip(pdf["frame_id"], pdf["cluster_id"], pdf["type"], pdf["voxel"], pdf["hits"]):
-            voxels.setdefault(int(f), {}).setdefault(int(c), (int(kind), set()))[1].add(int(v))
+        cloud = Cloud({}, {}, lambda xyz: bin_keys(xyz, s))
+        for f, c, kind, v, to, own, pose in zip(*(pdf[x] for x in ("frame_id", "cluster_id", "type", "voxel", "hits", "own", "pose"))):
+            f, v = int(f), int(v)
+            voxels.setdefault(f, {}).setdefault(int(c), (int(kind), set()))[1].add(v)
             if to is not None:
-                hits[int(f), int(v)] = {int(x) for x in to}
-        return pd.DataFrame(fold(voxels, hits, s.occupancy), columns=["frame_id", "cluster_id", "type", "state", "track_id"])
+                hits[f, v] = {int(x) for x in to}
+                cloud.points[f, v] = np.asarray(own, np.float64).reshape(-1, 3)
+            if pose is not None and f not in cloud.poses:
+                cloud.poses[f] = pose_matrix(*pose)
+        return pd.DataFrame(fold(voxels, hits, s.occupancy, cloud), columns=["frame_id", "cluster_id", "type", "state", "track_id"])
 
     rows = rows.withColumn("sequence", F.lit(0)) if sequences is None else rows.join(sequences, "frame_id")
     return rows.groupBy("sequence").applyInPandas(run, "frame_id int, cluster_id long, type int, state int, track_id long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,19 @@ def binned(points: DataFrame, s: Settings) -> DataFrame:
     return with_bins(with_geometry(points).where(in_window(s)), s)
 
 
+def bin_keys(xyz: np.ndarray, s: Settings) -> np.ndarray:
+    """The voxel keys that binned() gives rows of (x, y, z), those outside the window left out: for kernels."""
+    x, y, z = xyz.T
+    rng = np.sqrt(x * x + y * y)
+    turned = np.arctan2(y, x)
+    ang = np.where((x == 0) & (y == 0), 0.0, np.where(y >= 0, turned, turned + 2 * np.pi) * 180.0 / np.pi)
+    azi = np.arctan2(z, rng) * 180.0 / np.pi
+    window = ((rng, s.min_dis, s.max_dis, s.range_res), (ang, s.min_angle, s.max_angle, s.sector_res), (azi, s.min_azimuth, s.max_azimuth, s.azimuth_res))
+    inside = np.logical_and.reduce([(v >= low) & (v <= high) for v, low, high, _ in window])
+    r_i, s_i, a_i = (np.ceil((v[inside] - low) / res).astype(np.int64) - 1 for v, low, _, res in window)
+    return a_i * (s.range_num * s.sector_num) + r_i * s.sector_num + s_i
+
+
 def voxel_stats(bins: DataFrame) -> DataFrame:
     """One row per occupied voxel: indices, points, mean and population variance of the intensity."""
     return bins.groupBy("frame_id", "voxel").agg(

@@ -178,6 +178,97 @@ def test_fold_states_and_tracks():
     assert tracking.fold(joined, same, 0.4) == [(0, 1, car, 0, 0), (1, 7, car, -1, 0)]
 
 
+def test_bin_keys_equal_binned(spark):
+    rng = np.random.default_rng(5)
+    xyz = np.concatenate([rng.normal(0, 15, (4000, 3)), [[0, 0, 0], [0, 0, 3], [5, 0, 0], [-5, 0, 0], [0, -5, 1], [1e6, 0, 0]]])
+    df = spark.createDataFrame(pd.DataFrame(xyz, columns=["x", "y", "z"]))
+    for s in (ROAD, PARKING):
+        assert sorted(voxels.bin_keys(xyz, s).tolist()) == sorted(r["voxel"] for r in voxels.binned(df, s).collect())
+    assert voxels.bin_keys(np.zeros((0, 3)), ROAD).tolist() == []
+
+
+def test_a_standing_car_hands_its_points_on():
+    car, keys = CAR_TYPE, lambda xyz: xyz[:, 0].astype(int)
+    frames = lambda: {0: {1: (car, {1, 2})}, 1: {5: (car, {1})}, 2: {8: (car, {2})}}
+    hits = {(0, 1): {1}, (0, 2): {2}, (1, 1): {1}}
+    cloud = tracking.Cloud({(0, 1): np.array([[1.0, 0, 0]]), (0, 2): np.array([[2.0, 0, 0]]), (1, 1): np.array([[1.0, 0, 0]])}, {}, keys)
+    assert tracking.fold(frames(), hits, 0.4, cloud) == [(0, 1, car, 0, 0), (1, 5, car, 0, 0), (2, 8, car, -1, 0)]
+    assert tracking.fold(frames(), hits, 0.4) == [(0, 1, car, 0, 0), (1, 5, car, 1, 0), (2, 8, car, -1, 1)]
+
+
+def _plain_fold(points, types, poses, s):
+    """Tracking point by point over plain lists. points: (frame, cluster, voxel, xyz)."""
+    def matrix(p):
+        out = np.eye(4)
+        a, b, c = p["yaw"], p["pitch"], p["roll"]
+        z = np.array([[np.cos(a), -np.sin(a), 0], [np.sin(a), np.cos(a), 0], [0, 0, 1]])
+        y = np.array([[np.cos(b), 0, np.sin(b)], [0, 1, 0], [-np.sin(b), 0, np.cos(b)]])
+        x = np.array([[1, 0, 0], [0, np.cos(c), -np.sin(c)], [0, np.sin(c), np.cos(c)]])
+        out[:3, :3], out[:3, 3] = z @ y @ x, (p["px"], p["py"], p["pz"])
+        return out
+
+    clouds, cells, kinds, seen, result = {}, {}, dict(types), {}, []
+    for f, c, v, xyz in points:
+        clouds.setdefault((f, c), []).append(xyz)
+        cells.setdefault((f, c), set()).add(v)
+        seen.setdefault(f, {})[v] = c
+    own = {}
+    for f, c, v, xyz in points:
+        own.setdefault((f, v), []).append(xyz)
+    frames, names, fresh, count = sorted(seen), {}, 1 + max(c for _, c in cells), 0
+    for f, g in zip(frames, [*frames[1:], None]):
+        for c in sorted(c for k, c in cells if k == f and kinds[k, c] == CAR_TYPE):
+            if (f, c) not in names:
+                names[f, c] = count
+                count += 1
+            state = -1
+            if g is not None:
+                m = np.linalg.inv(matrix(poses[g])) @ matrix(poses[f]) if poses else np.eye(4)
+                there = [(m @ [*p, 1])[:3] for p in clouds[f, c]]
+                found = {}
+                for p in there:
+                    for v in voxels.bin_keys(p[None, :], s).tolist():
+                        if v in seen[g]:
+                            found.setdefault(seen[g][v], set()).add(v)
+                state = 1 if not found else 0
+                enough = {n: len(vs) >= s.occupancy * len(cells[g, n]) for n, vs in found.items()}
+                if len(found) == 1:
+                    (n, vs), = found.items()
+                    if kinds[g, n] == CAR_TYPE:
+                        state = 0 if enough[n] else 1
+                        if enough[n]:
+                            names[g, n] = names[f, c]
+                            clouds[g, n] += there
+                    elif enough[n]:
+                        state = -1
+                    else:
+                        kinds[f, c] = kinds[g, fresh] = kinds[g, n]
+                        cells[g, n], cells[g, fresh], names[g, fresh] = cells[g, n] - vs, vs, names[f, c]
+                        seen[g].update({v: fresh for v in vs})
+                        fresh += 1
+                elif found:
+                    joined = [n for n in found if kinds[g, n] == CAR_TYPE and enough[n]]
+                    if joined:
+                        cells[g, fresh] = set().union(*(cells.pop((g, n)) for n in joined))
+                        clouds[g, fresh] = [p for v in cells[g, fresh] for p in own[g, v]]
+                        kinds[g, fresh], names[g, fresh] = CAR_TYPE, names[f, c]
+                        seen[g].update({v: fresh for v in cells[g, fresh]})
+                        fresh += 1
+            result.append((f, c, kinds[f, c], state, names[f, c]))
+    return result
+
+
+@pytest.mark.parametrize("moving", [False, True])
+def test_tracking_fold_matches_plain_python(spark, moving):
+    found, pts, typed = catalogue.typed_boxes(spark, SF)
+    poses = catalogue.poses(spark) if moving else None
+    got = sorted(tuple(r) for r in tracking.tracking_fold(pts, found, typed, catalogue.S, poses).collect())
+    points = [(r["frame_id"], r["cluster_id"], r["voxel"], (r["x"], r["y"], r["z"])) for r in pts.collect()]
+    types = {(r["frame_id"], r["cluster_id"]): r["type"] for r in typed.collect()}
+    want = _plain_fold(points, types, {r["frame_id"]: r.asDict() for r in poses.collect()} if moving else {}, catalogue.S)
+    assert got == sorted(want) and {r[3] for r in got} >= {-1, 1}
+
+
 def test_folds_of_two_sequences_stay_apart(spark):
     clustered = spark.createDataFrame([(f, 1, 7, 5.0, 0.5, -1.5) for f in (1, 2, 5, 6)], "frame_id int, cluster_id long, voxel long, x double, y double, z double")
     clustered = voxels.binned(clustered.drop("voxel"), ROAD).select("frame_id", "cluster_id", "voxel", "x", "y", "z")
