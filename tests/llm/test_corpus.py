@@ -62,6 +62,14 @@ def test_fingerprints(spark):
         edited = x[: len(x) - cut] + y[:cut]
         assert got[d].n_chars == len(x) and got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert (got[d].fingerprint, got[d].edited_fingerprint) == tuple(fingerprints.text_of(s) for s in fingerprints._sketch_all([x, edited]))
+
+    def alike(a, b):
+        x, y = (set(re.findall("........", f)) for f in (a, b))
+        least = sorted(x | y)[:64]
+        return sum(v in x and v in y for v in least) / len(least) if least else 1.0
+
+    for (d, _), (e, _) in zip(ordered, ordered[1:] + ordered[:1]):
+        assert got[d].near_edited == alike(got[d].fingerprint, got[d].edited_fingerprint) and got[d].near_next == alike(got[d].fingerprint, got[e].fingerprint)
     long = [r for r in got.values() if r.n_chars > 500 and r.doc_id < 5000]
     assert np.mean([r.near_edited for r in long]) > 0.35 > 0.1 > np.mean([r.near_next for r in long])
     assert fingerprints.compare_with_edits(frame(spark, [])).count() == 0
@@ -279,20 +287,8 @@ def test_repeats_on_documents(spark):
     assert sorted(map(tuple, suffix_dedup.op8_suffix_dedup(spark, SF).collect())) == brute_bytes(rows)
 
 
-@pytest.mark.parametrize("size", [2, 5])
-def test_near_duplicates(spark, size):
-    rng = random.Random(3)
-    vocabulary = [f"w{k}" for k in range(300)]
-    bases = [" ".join(rng.choices(vocabulary, k=rng.choice([5, 40, 200]))) for _ in range(8)]
-
-    def edited(x, k):
-        w = x.split()
-        for _ in range(k):
-            w[rng.randrange(len(w))] = rng.choice(vocabulary)
-        return " ".join(w)
-
-    rows = [(k, edited(rng.choice(bases), rng.choice([0, 0, 1, 1, 2, 3, 5, 9]))) for k in range(10, 250)]
-    rows += [(1, None), (2, ""), (3, " "), (4, "One"), (5, "one"), (6, "two words"), (7, "two  WORDS"), (None, "one"), (10, "other text of one id"), (11, bases[0])]
+def plain_groups(rows, size):
+    """([(doc_id, shingles)], doc_id -> least doc_id of its group), all pairs compared."""
     sets = []
     for d, x in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
@@ -309,6 +305,24 @@ def test_near_duplicates(spark, size):
             if a and b and 100 * len(a & b) >= 80 * len(a | b):
                 x, y = find(d), find(e)
                 parent[max(x, y)] = min(x, y)
+    return sets, find
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_duplicates(spark, size):
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(300)]
+    bases = [" ".join(rng.choices(vocabulary, k=rng.choice([5, 40, 200]))) for _ in range(8)]
+
+    def edited(x, k):
+        w = x.split()
+        for _ in range(k):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        return " ".join(w)
+
+    rows = [(k, edited(rng.choice(bases), rng.choice([0, 0, 1, 1, 2, 3, 5, 9]))) for k in range(10, 250)]
+    rows += [(1, None), (2, ""), (3, " "), (4, "One"), (5, "one"), (6, "two words"), (7, "two  WORDS"), (None, "one"), (10, "other text of one id"), (11, bases[0])]
+    sets, find = plain_groups(rows, size)
     fill = lambda v: LOW if v is None else v
     got = sorted((fill(r.doc_id), r.n_shingles, fill(r.component_id), r.kept) for r in minhash_dedup.near_duplicates(frame(spark, rows), size=size).collect())
     assert got == sorted((d, len(s), find(d), find(d) == d) for d, s in sets)
@@ -361,27 +375,69 @@ def test_prefix_join_meets_every_near_pair(monkeypatch, crowd):
     assert len(near) > 500 and near <= set(zip(met.column("a").to_pylist(), met.column("b").to_pylist()))
 
 
+def plain_contaminated(text, items):
+    words = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    windows = {tuple(w[k : k + 13]) for w in map(words, items) if w for k in range(max(1, len(w) - 12))}
+    w, sizes = words(text), {len(x) for x in windows}
+    hit = {k + j for n in sizes for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for j in range(n)}
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def plain_masked(rows):
+    """doc_id -> text with its secrets masked; rows: (doc_id, text, source, lang)."""
+    kinds = ((secret_scan.ASSIGN, 2, 6), ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24))
+    spans, owners, repositories = {}, collections.defaultdict(set), collections.defaultdict(set)
+    for d, x, source, lang in rows:
+        base = [(m.start(), k, m.end(), m[g]) for k, (p, g, least) in enumerate(kinds) for m in re.finditer(p, x or "") if len(m[g]) >= least]
+        mixed = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", x or "") if all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))]
+        spans[d] = base + [s for s in mixed if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        for s in spans[d]:
+            owners[s[3]].add(source or "")
+            repositories[s[3]].add((source or "", lang or ""))
+    out = {}
+    for d, x, *_ in rows:
+        at, text = 0, ""
+        for start, kind, end, value in sorted(spans[d]):
+            if kind == 3 and (len(owners[value]) > 2 or len(repositories[value]) > 4):
+                continue
+            if start >= at:
+                text += x[at:start] + "[SECRET]"
+            at = max(at, end)
+        out[d] = text + x[at:] if x is not None else None
+    return out
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels, bench = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    labels, items = spark.read.parquet(f"{SF}/labels.parquet"), [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for name, stage in pipeline.STAGES[:-1]:
         out = pipeline.written(stage(spark, docs, SF), "test")
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
-        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        rows = [(r.doc_id, r.text, r.source, r.lang) for r in docs.collect()]
+        left = {r.doc_id: r.text for r in out.collect()}
         if name == "quality":
             scores = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
-            assert ids == {d for d, s in scores.items() if s >= 0.5}
+            assert left == {d: x for d, x, *_ in rows if scores[d] >= 0.5}
         if name == "near_dedup":
-            assert ids == {r.doc_id for r in minhash_dedup.near_duplicates(docs).where("kept").collect()}
+            _, find = plain_groups([r[:2] for r in rows], 5)
+            assert left == {d: x for d, x, *_ in rows if find(d) == d} and len(left) < len(rows)
         if name == "decontamination":
-            assert ids == {r.doc_id for r in decontamination.contamination(docs, bench).where("not contaminated").collect()}
+            assert left == {d: x for d, x, *_ in rows if not plain_contaminated(x, items)} and len(left) < len(rows)
         if name == "secrets":
-            assert out.count() == docs.count() and out.where("text rlike 'AKIA[A-Z0-9]{16}|[0-9a-f]{24}' or n_chars <> length(text)").count() == 0
+            assert left == plain_masked(rows) and out.where("n_chars <> length(text)").count() == 0
         docs = out
-    whole = pipeline.run(spark, SF)
-    assert {r.doc_id for r in whole.collect()} == {r.doc_id for r in docs.collect()}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {d: tokenizer.encode(x or "", add_special_tokens=False).ids + [1] for d, x in left.items()}
+    pieces = sorted(pipeline.run(spark, SF).collect(), key=lambda r: (r.doc_id, r.start))
+    at = dict.fromkeys(ids, 0)
+    for r in pieces:
+        assert r.start == at[r.doc_id] and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
+        at[r.doc_id] += r.length
+    assert at == {d: len(v) for d, v in ids.items()}
 
 
 @pytest.mark.parametrize("smaller", [False, True])
