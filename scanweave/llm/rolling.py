@@ -222,8 +222,8 @@ def _walk(windows: tuple[int, ...], block_s: int):
 
 
 def whole_part(value: Column, by: int) -> Column:
-    """floor(value / by) of longs, exactly."""
-    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+    """floor(value / by) of longs, exactly; null where it does not fit."""
+    return F.call_function("div", F.try_subtract(value, F.pmod(value, F.lit(by)).cast("long")), F.lit(by))
 
 
 def rolling_windows(events: DataFrame, windows: tuple[int, ...] = WINDOWS, block_s: int | None = None) -> DataFrame:
@@ -247,11 +247,11 @@ def rolling_windows(events: DataFrame, windows: tuple[int, ...] = WINDOWS, block
 def rolling_features(docs: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """A row for each row of docs and window length, with event_s from the id; see rolling_windows().
 
-    Needs doc_id, text, source and lang; other columns are not looked at. A row with a null id has no event_s: no row, no
-    lengths and no languages are in its windows, and it is in nobody's.
+    Needs doc_id, text, source and lang; other columns are not looked at. A row with a null id, or one so large that its
+    time does not fit into a long, has no event_s: no row, no lengths and no languages are in its windows, and it is in nobody's.
     """
     doc = F.col("doc_id").cast("long")
-    rows = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("grp"), F.col("lang").cast("string").alias("lang"), F.length(F.col("text").cast("string")).cast("long").alias("chars"), (60 * whole_part(doc + F.crc32(doc.cast("string").cast("binary")) % 4000, 6)).alias("time"))
+    rows = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("grp"), F.col("lang").cast("string").alias("lang"), F.length(F.col("text").cast("string")).cast("long").alias("chars"), F.try_multiply(F.lit(60).cast("long"), whole_part(F.try_add(doc, F.crc32(doc.cast("string").cast("binary")) % 4000), 6)).alias("time"))
     found = rolling_windows(rows.drop("doc_id"), windows).select(F.col("grp").alias("r_grp"), F.col("time").alias("r_time"), "per")
     joined = rows.select("doc_id", "grp", "time").join(found, F.col("grp").eqNullSafe(F.col("r_grp")) & (F.col("time") == F.col("r_time")), "left")
     zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
