@@ -58,10 +58,10 @@ def stored_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def buckets(df: DataFrame) -> int:
-    """The number of buckets for what a pass over df sends."""
+def buckets(df: DataFrame, size: int | None = None, each: int = BUCKET_BYTES) -> int:
+    """The number of buckets for what a pass over df sends: one for `each` bytes of `size`, or of df as stored."""
     spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, math.ceil(stored_bytes(df) / BUCKET_BYTES)))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, math.ceil((stored_bytes(df) if size is None else size) / each)))
 
 
 def batch(bucket: list[int], payload: list[bytes]) -> pa.RecordBatch:

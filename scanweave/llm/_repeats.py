@@ -37,8 +37,9 @@ from ._frames import NO_ID, id_and_text, written
 CERTAIN, UNCERTAIN, PUBLISHED = 1, 2, 3
 #: Bytes of entries that a Python worker gathers before it sends them.
 SEND_BYTES = 12 << 20
-#: Buckets where other exchanges have one: a worker sorts a bucket's anchors with all that belongs to them.
-SPLIT = 2
+#: Bytes of text for which one bucket is made: a worker sorts a bucket's anchors with all that belongs to them, which takes
+#: some 12 times the bytes of their texts.
+BUCKET_TEXT = 4 << 20
 #: Most borders that the driver finds; beyond, a range is parted by a hash of the names.
 MOST_RANGES = 1 << 14
 #: Bytes of text that are sampled for each border, and of how many anchors there one is taken.
@@ -218,9 +219,9 @@ def _keys_sample(sampler: Sampler, twins: bool):
 
 def _ranges(rows: DataFrame, sampler: Sampler, twins: bool) -> Ranges:
     """Borders from a sample of documents: some SAMPLE_BYTES of text for each of at most MOST_RANGES, whatever the input."""
-    n = SPLIT * _blobs.buckets(rows)
-    count = min(n, MOST_RANGES)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = _blobs.buckets(rows, total, BUCKET_TEXT)
+    count = min(n, MOST_RANGES)
     every = max(1, total // (count * SAMPLE_BYTES))
     some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0) if every > 1 else rows
     found = b"".join(r["payload"] for r in some.mapInArrow(_keys_sample(sampler, twins), _blobs.SCHEMA).collect())
