@@ -13,6 +13,7 @@ and a benchmark of any size takes as many passes as it has blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from ._frames import id_and_text, table
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
+#: Windows whose keys are in memory at a time.
+SEARCHED = 1 << 15
 _END = np.uint32(0xFFFFFFFF)
 
 
@@ -39,28 +42,38 @@ def _hashed(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TestSuffixes:
-    """The benchmark's words as codes, and the windows that are searched for."""
+    """The benchmark's words as codes. What is sent to the executors is four bytes a word, the vocabulary and the word pairs;
+    the windows that are searched for follow from it, and their keys are made in slices."""
 
     def __init__(self, items: pa.Table, width: int):
         self.width = width
-        h, first = _hashed(items.column("text"))
+        h, self.first = _hashed(items.column("text"))
         self.vocabulary, _, code, _ = t.distinct(h)
+        self.code = code.astype(np.int32)
         self.names = items.column("item_id").to_pylist()
-        item = t.row_of(first, len(h))
-        left = first[1:][item] - np.arange(len(h)) if len(h) else np.zeros(0, np.int64)
-        size = np.diff(first)[item] if len(h) else np.zeros(0, np.int64)
-        ahead = np.append(code[1:], 0)
-        pair = (code.astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
-        self.pairs = np.unique(pair[left >= 2])
-        self.single = np.unique(code[size == 1]).astype(np.int64)
-        start = np.flatnonzero((left >= width) | ((size < width) & (left == size)))
-        self.length = np.minimum(left[start], width)
-        self.item, self.start = item[start], start
-        keys = _prefixes(code.astype(np.int64), start, self.length, width)
-        order = np.argsort(keys, kind="stable")
-        # the first key beyond all suffixes that begin with the window
-        beyond = _prefixes(code.astype(np.int64), start, self.length, width + 1, fill=_END)
-        self.low, self.high, self.length, self.item, self.start = keys[order], beyond[order], self.length[order], self.item[order], start[order]
+        size = np.diff(self.first)
+        pair = np.unique(self.code[:-1].astype(np.uint64) << np.uint64(32) | self.code[1:].astype(np.uint64)) if (size == 1).sum() + (size == 0).sum() < len(size) else np.zeros(0, np.uint64)
+        self.pairs = pair  # those across a border between two items only keep a few suffixes more
+        self.single = np.unique(self.code[self.first[:-1][size == 1]]).astype(np.int64)
+
+    @cached_property
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, first word, words) of every window."""
+        item = t.row_of(self.first, len(self.code))
+        left, size = self.first[1:][item] - np.arange(len(self.code)), np.diff(self.first)[item]
+        start = np.flatnonzero((left >= self.width) | ((size < self.width) & (left == size)))
+        return item[start].astype(np.int32), start.astype(np.int32), np.minimum(left[start], self.width).astype(np.int32)
+
+    def found_in(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place in `suffixes`) of every suffix that begins with a window: binary searches, a slice at a time."""
+        _, start, length = self.windows
+        windows, places = [], []
+        for i in range(0, len(start), SEARCHED):
+            lo, hi = (np.searchsorted(suffixes, _prefixes(self.code, start[i : i + SEARCHED], length[i : i + SEARCHED], self.width + 1, fill), "left") for fill in (np.uint32(0), _END))
+            count = np.maximum(hi - lo, 0)
+            places.append(t.ranges(lo, count))
+            windows.append(np.repeat(np.arange(i, i + len(lo)), count))
+        return (np.concatenate(windows), np.concatenate(places)) if windows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _prefixes(code: np.ndarray, start: np.ndarray, length: np.ndarray, width: int, fill=np.uint32(0)) -> np.ndarray:
@@ -89,15 +102,11 @@ def _mark(tests: TestSuffixes, column) -> tuple[np.ndarray, np.ndarray, np.ndarr
         keep = np.union1d(keep, here[t.member_index(tests.single, code[here])[1]])
     # words that the benchmark lacks end a suffix as a document's end does: code 0
     length = np.minimum(left[keep], tests.width)
-    suffix = _prefixes(code, keep, length, tests.width)
+    suffix = _prefixes(code, keep, length, tests.width + 1)
     order = np.argsort(suffix, kind="stable")
-    suffix, keep = suffix[order], keep[order]
-    lo = np.searchsorted(suffix, tests.low, "left")
-    hi = np.searchsorted(suffix, tests.high, "left")
-    count = np.maximum(hi - lo, 0)
-    place = keep[t.ranges(lo, count)]
-    window = np.repeat(np.arange(len(lo)), count)
-    edge = np.bincount(place, minlength=n + 1) - np.bincount(place + tests.length[window], minlength=n + 1)
+    window, place = tests.found_in(suffix[order])
+    place = keep[order[place]]
+    edge = np.bincount(place, minlength=n + 1) - np.bincount(place + tests.windows[2][window], minlength=n + 1)
     # windows end within their row, so the running count is zero at each row's start
     return first, np.cumsum(edge)[:n] > 0, window, place, row_end
 
@@ -107,18 +116,19 @@ def _longest(tests: TestSuffixes, first: np.ndarray, row: np.ndarray, window: np
     out: list[dict | None] = [None] * (len(first) - 1)
     if not len(place):
         return out
-    order = np.lexsort((place, tests.start[window] - place, tests.item[window], row))
+    items, starts, lengths = tests.windows
+    order = np.lexsort((place, starts[window] - place, items[window], row))
     row, window, place = row[order], window[order], place[order]
     new = np.ones(len(place), bool)
     # on one diagonal, one word further on in both
-    new[1:] = (row[1:] != row[:-1]) | (tests.item[window[1:]] != tests.item[window[:-1]]) | (place[1:] != place[:-1] + 1) | (np.diff(tests.start[window]) != 1)
+    new[1:] = (row[1:] != row[:-1]) | (items[window[1:]] != items[window[:-1]]) | (place[1:] != place[:-1] + 1) | (np.diff(starts[window]) != 1)
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(place)) - 1
-    begin, end = place[at] - first[row[at]], place[last] + tests.length[window[last]] - first[row[at]]
+    begin, end = place[at] - first[row[at]], place[last] + lengths[window[last]] - first[row[at]]
     for k in np.lexsort((begin, begin - end, row[at])).tolist():
         i = int(row[at[k]])
         if out[i] is None:
-            out[i] = {"start": int(begin[k]), "end": int(end[k]), "item": tests.names[tests.item[window[at[k]]]]}
+            out[i] = {"start": int(begin[k]), "end": int(end[k]), "item": tests.names[items[window[at[k]]]]}
     return out
 
 
@@ -133,7 +143,7 @@ def _scan(shared):
             first, hit, window, place, _ = _mark(tests, b.column("text"))
             rows = b.num_rows
             row = np.searchsorted(first, place, "right") - 1
-            pair = np.unique(row * len(tests.names) + tests.item[window]) if len(row) else np.zeros(0, np.int64)
+            pair = np.unique(row * len(tests.names) + tests.windows[0][window]) if len(row) else np.zeros(0, np.int64)
             r, item = np.divmod(pair, max(1, len(tests.names)))
             items: list[list[str]] = [[] for _ in range(rows)]
             for i, k in zip(r.tolist(), item.tolist()):
