@@ -126,8 +126,10 @@ def _document_rows(hot):
                 pair, freq = np.unique(rows[rare] * len(u) + inverse[rare], return_counts=True)
                 r, w = np.divmod(pair, max(1, len(u)))
                 zero = np.zeros(len(r), np.int64)
-                # a document's own row gets a key that no pre-token has a reason to share, so such rows spread out
-                for part, whole, tail in zip(parts, (ids.slice(i, j - i), version.view(np.int64), np.diff(offsets), t.mix(version).view(np.int64), np.zeros(j - i, np.int64), known), (ids.slice(i, j - i).take(pa.array(r)), version[r].view(np.int64), zero, u[w].view(np.int64), freq.astype(np.int64), zero)):
+                # a document's own row gets a key that no pre-token has a reason to share, mixed with its place in the batch,
+                # so that such rows spread out though texts or ids repeat
+                own = t.mix(version ^ t.mix(np.arange(i, j).astype(np.uint64)))
+                for part, whole, tail in zip(parts, (ids.slice(i, j - i), version.view(np.int64), np.diff(offsets), own.view(np.int64), np.zeros(j - i, np.int64), known), (ids.slice(i, j - i).take(pa.array(r)), version[r].view(np.int64), zero, u[w].view(np.int64), freq.astype(np.int64), zero)):
                     part.extend([whole if isinstance(whole, pa.Array) else pa.array(whole), tail if isinstance(tail, pa.Array) else pa.array(tail)])
             if parts[0]:
                 own = pa.array(np.concatenate([np.full(len(x), k % 2 == 0) for k, x in enumerate(parts[0])]))
