@@ -5,19 +5,22 @@ The queries run over the synthetic scene of fixtures.py. Doubles are rounded to
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import DYNAMIC, ROAD
-from .fixtures import DUCK_POINTS, points, poses
+from .fixtures import DUCK_POINTS, lineitem, points, poses
 from .functions import geometry as g
 from .functions import labels as lb
-from .operators import ground, planarity, scoring, segments, spatial, tracking, voxels
+from .operators import features, ground, neighbours, planarity, scoring, segments, spatial, tracking, voxels
 from .plans import segmentation
-from .plans.tables import staged
-from .sources.scans import frame_slice
+from .plans.tables import shared_dir, staged
+from .sources.frames import frames, write_frame_files
+from .sources.scans import decoded_times, frame_slice
 
 S = ROAD
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,11 +60,11 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """stats(), stored for all queries that start from voxels."""
-    return staged(spark, "voxels", sf_dir, lambda: stats(spark, sf_dir))
+    return staged("voxels", lineitem(spark, sf_dir), lambda: stats(spark, sf_dir))
 
 
 def components_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, "clusters", sf_dir, lambda: voxels.voxel_components(grid(spark, sf_dir), S))
+    return staged("clusters", lineitem(spark, sf_dir), lambda: voxels.voxel_components(grid(spark, sf_dir), S))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -219,6 +222,26 @@ def relative_motion(spark, sf_dir):
     return ahead.select("frame_id", "next_frame", *(r6(c).alias(n) for c, n in zip(moved, ("fx", "fy", "fz"))))
 
 
+_TURNS = """e as (select vec_id, 6*embedding[1]::double roll, case when vec_id % 7 = 0 then pi()/2 else 3*embedding[2]::double end pitch, 6*embedding[3]::double yaw from embeddings where embedding is not null),
+rot as (select *, cos(yaw)*cos(pitch) r0, cos(yaw)*sin(pitch)*sin(roll) - sin(yaw)*cos(roll) r1, sin(yaw)*sin(roll) + cos(yaw)*sin(pitch)*cos(roll) r2,
+  sin(yaw)*cos(pitch) r3, cos(yaw)*cos(roll) + sin(yaw)*sin(pitch)*sin(roll) r4, sin(yaw)*sin(pitch)*cos(roll) - cos(yaw)*sin(roll) r5,
+  -sin(pitch) r6, cos(pitch)*sin(roll) r7, cos(pitch)*cos(roll) r8 from e)"""
+
+
+@query(
+    f"with {_TURNS} select vec_id, round(case when sqrt(r0*r0 + r3*r3) < 1e-6 then atan2(-r5, r4) else atan2(r7, r8) end, 6) roll, round(atan2(-r6, sqrt(r0*r0 + r3*r3)), 6) pitch, round(case when sqrt(r0*r0 + r3*r3) < 1e-6 then 0 else atan2(r3, r0) end, 6) yaw, "
+    "round(case when r7 < r5 then -1 else 1 end*sqrt(greatest(0, 1 + r0 - r4 - r8))/2, 5) qx, round(case when r2 < r6 then -1 else 1 end*sqrt(greatest(0, 1 - r0 + r4 - r8))/2, 5) qy, round(case when r3 < r1 then -1 else 1 end*sqrt(greatest(0, 1 - r0 - r4 + r8))/2, 5) qz, round(sqrt(greatest(0, 1 + r0 + r4 + r8))/2, 5) qw from rot"
+)
+def turns_of_vectors(spark, sf_dir):
+    """Rotations made of vectors' first entries, back to angles and to quaternions; every seventh points straight up."""
+    at = lambda k: F.col("embedding")[k].cast("double")
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("embedding is not null")
+    r = g.rotation(6 * at(0), F.when(F.col("vec_id") % 7 == 0, F.lit(math.pi / 2)).otherwise(3 * at(1)), 6 * at(2))
+    made = e.select("vec_id", *(c.alias(f"r{k}") for k, c in enumerate(r)))
+    own = [F.col(f"r{k}") for k in range(9)]
+    return made.select("vec_id", *(r6(c).alias(n) for c, n in zip(g.euler(own), ("roll", "pitch", "yaw"))), *(F.round(c, 5).alias(n) for c, n in zip(g.quaternion(own), ("qx", "qy", "qz", "qw"))))
+
+
 @query("select a.vec_id a, b.vec_id b, round(list_sum(list_transform(range(1, 11), lambda i: [.5, .5, .2, .2, .2, .2, .2, .6, .2, 0][i]::double * abs(a.embedding[i]::double - b.embedding[i]::double))), 6) gap from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def descriptor_l1(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -266,6 +289,21 @@ def components(spark, sf_dir):
     return components_of(spark, sf_dir)
 
 
+@query(f"with {COMP}, f as (select frame_id, cluster_id, min(voxel) as first from comp group by 1, 2) select *, row_number() over (partition by frame_id order by first desc)::int place from f")
+def cluster_order(spark, sf_dir):
+    return segments.cluster_order(components_of(spark, sf_dir))
+
+
+@query(
+    f"with {AGG}, picked as (select frame_id, voxel from agg where n >= 2 union all select frame_id, voxel from agg where n >= 3) select v.frame_id, v.voxel, count(*) n, sum(refl)::bigint refl from vox v join picked using (frame_id, voxel) group by 1, 2"
+)
+def gathered_points(spark, sf_dir):
+    """The points of listed voxels; those that are listed twice count twice."""
+    full = grid(spark, sf_dir)
+    listed = full.where("n >= 2").select("frame_id", "voxel").unionByName(full.where("n >= 3").select("frame_id", "voxel"))
+    return segments.gathered(bins(spark, sf_dir), listed, ["frame_id", "voxel"]).groupBy("frame_id", "voxel").agg(F.count("*").alias("n"), F.sum("refl").alias("refl"))
+
+
 # ---- clusters -----------------------------------------------------------------------------------------------------
 
 _BOX_COLUMNS = ["frame_id", "cluster_id", "n_pts", "n_vox", "min_x", "max_x", "min_y", "max_y", "min_z", "max_z"]
@@ -429,11 +467,141 @@ def tracking_fold(spark, sf_dir):
 
 @query()
 def segmented_clusters(spark, sf_dir):
-    """The whole chain, with fusion, the box filter, types by planarity, and states with the scanner's motion taken out."""
-    done = segmentation.segment(objects(spark, sf_dir), S.but(intensity_cov=400.0, intensity_diff=5.0), poses(spark))
+    """The whole chain from raw scans: ground, fusion, the box filter, types by planarity, states with the scanner's motion taken out."""
+    done = segmentation.segment_scans(points(spark, sf_dir), S.but(intensity_cov=400.0, intensity_diff=5.0), poses(spark))
     return done.clusters.select("frame_id", "cluster_id", "n_pts", "n_vox", "drop_reason", "type", "planar", "state", "track_id")
 
 
+# ---- shapes -------------------------------------------------------------------------------------------------------
+
+_SPREAD = "count(*) n, avg(x) mean_x, avg(y) mean_y, covar_pop(x, x) xx, covar_pop(x, y) xy, covar_pop(x, z) xz, covar_pop(y, y) yy, covar_pop(y, z) yz, covar_pop(z, z) zz"
+
+
+def _eigen_sql(source: str) -> str:
+    """The eigenvalues of xx..zz by the closed form, as further columns of a table."""
+    return f"""(select *, greatest(e3_, 3*q - e1 - e3_) e2, greatest(0, e3_) e3 from (select *, q + 2*p*cos(t) e1, q + 2*p*cos(t + 2*pi()/3) e3_ from
+  (select *, case when p > 0 then acos(least(1, greatest(-1, det/(2*p*p*p)))) else acos(0) end/3 t from
+    (select *, (xx - q)*((yy - q)*(zz - q) - yz*yz) - xy*(xy*(zz - q) - yz*xz) + xz*(xy*yz - (yy - q)*xz) det from
+      (select *, sqrt(((xx - q)**2 + (yy - q)**2 + (zz - q)**2 + 2*(xy*xy + xz*xz + yz*yz))/6) p from (select *, (xx + yy + zz)/3 q from {source}) q1) q2) q3) q4) q5)"""
+
+
+@query(
+    f"with {COMP}, m as (select frame_id, cluster_id, {_SPREAD} from cp group by 1, 2 having count(*) >= 10), s as (select *, e1/(e1 + e2 + e3) a, e2/(e1 + e2 + e3) b, e3/(e1 + e2 + e3) c from {_eigen_sql('m')}) "
+    "select frame_id, cluster_id, round((a - b)/a, 6) linearity, round((b - c)/a, 6) planarity, round(c/a, 6) scattering, round((a*b*c)**(1/3::double), 6) omnivariance, round((a - c)/a, 6) anisotropy, "
+    "round(abs(a*ln(a) + b*ln(b) + c*ln(c)), 6) eigen_entropy, round(c, 6) change_of_curvature from s"
+)
+def eigen_features(spark, sf_dir):
+    """Of all clusters that are large enough to be kept."""
+    spread = features.moments(clustered(spark, sf_dir)[1], "frame_id", "cluster_id").where(F.col("n") >= S.to_be_class)
+    return features.eigen_features(spread).select("frame_id", "cluster_id", *(r6(c).alias(c) for c in features.EIGEN))
+
+
+@query(
+    f"with {TYPED}, m as (select frame_id, cluster_id, {_SPREAD} from cp group by 1, 2 having count(*) >= 10), s as (select *, e1/(e1 + e2 + e3) a, e2/(e1 + e2 + e3) b, e3/(e1 + e2 + e3) c from {_eigen_sql('m')}) "
+    "select frame_id, cluster_id, round((a - b)/a/288.9::double, 6) v1, round(c/a/2889.9::double, 6) v3, round(abs(a*ln(a) + b*ln(b) + c*ln(c))/0.956129::double, 6) v6, round(max_z, 6) v7, round(min_z, 6) v10, type::double v11 from s join typed using (frame_id, cluster_id)"
+)
+def full_descriptor(spark, sf_dir):
+    """All eleven places filled: eigen features over their maxima, the box's values, and the type in the last."""
+    _, pts, typed = typed_boxes(spark, sf_dir)
+    spread = features.eigen_features(features.moments(pts, "frame_id", "cluster_id").where(F.col("n") >= S.to_be_class))
+    d = typed.join(spread.select("frame_id", "cluster_id", *features.EIGEN), ["frame_id", "cluster_id"]).withColumn("d", features.descriptor(typed, S))
+    return d.select("frame_id", "cluster_id", *(r6(F.element_at("d", k)).alias(f"v{k}") for k in (1, 3, 6, 7, 10)), F.element_at("d", 11).alias("v11"))
+
+
+@query(
+    f"with {CZM}, m as (select frame_id, zone, ring, sector, {_SPREAD} from czm where zone is not null group by 1, 2, 3, 4 having count(*) > 10), t as (select *, cos(atan2(mean_y, mean_x)) c, sin(atan2(mean_y, mean_x)) s from m) "
+    "select frame_id, zone, ring, sector, n, round(c*c*xx + s*s*yy + 2*c*s*xy, 6) radial_var, round(s*s*xx + c*c*yy - 2*c*s*xy, 6) tangent_var, round(greatest(c*c*xx + s*s*yy + 2*c*s*xy, s*s*xx + c*c*yy - 2*c*s*xy), 6) principal_var from t"
+)
+def patch_variance(spark, sf_dir):
+    """Spread along and across the radius of all ground patches that are fitted."""
+    spread = features.moments(zoned(spark, sf_dir).where("zone is not null"), *ground.PATCH).where(F.col("n") > ground.LEAST_POINTS)
+    return features.principal_variance(spread).select(*ground.PATCH, "n", *(r6(c).alias(c) for c in ("radial_var", "tangent_var", "principal_var")))
+
+
+@query()
+def shape_histogram(spark, sf_dir):
+    """The ten folded shares of sampled triples of all clusters that are kept, after the eleven values of their descriptors."""
+    pts = clustered(spark, sf_dir)[1]
+    spread = features.eigen_features(features.moments(pts, "frame_id", "cluster_id").where(F.col("n") >= S.to_be_class))
+    large = pts.join(spread.select("frame_id", "cluster_id"), ["frame_id", "cluster_id"], "left_semi")
+    shapes = features.shape_histograms(large, ["frame_id", "cluster_id"], F.col("frame_id").cast("long") * (1 << 24) + F.col("cluster_id"))
+    d = boxes(spark, sf_dir).join(spread.select("frame_id", "cluster_id", *features.EIGEN), ["frame_id", "cluster_id"]).withColumn("d", features.descriptor(boxes(spark, sf_dir), S))
+    joined = shapes.join(d.select("frame_id", "cluster_id", "d"), ["frame_id", "cluster_id"])
+    return joined.select("frame_id", "cluster_id", F.transform(features.joint(F.col("d"), features.folded(F.col("histogram"))), r6).alias("values"))
+
+
+def scan_places(spark, sf_dir) -> DataFrame:
+    """Distinct places of whole scans, ground included, with the mean of their intensities."""
+    return points(spark, sf_dir).groupBy("frame_id", "x_mm", "y_mm", "z_mm", "x", "y", "z").agg(F.avg("refl").alias("intensity"))
+
+
+_TEN = "arg_min(struct_pack(bx := bx, by_ := by_, bz := bz, d2 := d2), (d2, bx, by_, bz), 10)"
+PLACES = f"""pts as ({DUCK_POINTS}), pl as materialized (select frame_id, x_mm, y_mm, z_mm, x, y, z, avg(refl) intensity from pts group by all),
+pairs9 as (select a.frame_id, a.x_mm, a.y_mm, a.z_mm, b.x_mm bx, b.y_mm by_, b.z_mm bz, (a.x_mm - b.x_mm)**2 + (a.y_mm - b.y_mm)**2 + (a.z_mm - b.z_mm)**2 d2
+  from (select *, unnest([-1, 0, 1]) + floor(y_mm/4000) ky from (select *, unnest([-1, 0, 1]) + floor(x_mm/4000) kx from pl)) a
+  join (select *, floor(x_mm/4000) kx, floor(y_mm/4000) ky from pl) b using (frame_id, kx, ky)),
+close as materialized (select frame_id, x_mm, y_mm, z_mm, {_TEN} l from pairs9 group by 1, 2, 3, 4),
+settled as materialized (select * from close where len(l) = 10 and l[10].d2 <= 16e6),
+pairs as (select a.*, b.x_mm bx, b.y_mm by_, b.z_mm bz, (a.x_mm - b.x_mm)**2 + (a.y_mm - b.y_mm)**2 + (a.z_mm - b.z_mm)**2 d2
+  from (select frame_id, x_mm, y_mm, z_mm from pl except select frame_id, x_mm, y_mm, z_mm from settled) a join pl b using (frame_id)),
+tens as materialized (select frame_id, x_mm, y_mm, z_mm, unnest(l) near from (select * from settled union all select frame_id, x_mm, y_mm, z_mm, {_TEN} from pairs group by 1, 2, 3, 4))"""
+_PLACE = ["x_mm", "y_mm", "z_mm"]
+
+
+@query(f"with {PLACES} select frame_id, x_mm, y_mm, z_mm, count(*) n, max((x_mm - near.bx)**2 + (y_mm - near.by_)**2 + (z_mm - near.bz)**2)::double d2, sum(near.bx)::bigint sx, sum(near.by_)::bigint sy, sum(near.bz)::bigint sz from tens group by 1, 2, 3, 4")
+def ten_nearest(spark, sf_dir):
+    """The ten nearest places of every place of whole scans; in millimetres, so that distances are exact."""
+    at = scan_places(spark, sf_dir).select("frame_id", *_PLACE, *(F.col(f"{c}_mm").cast("double").alias(c) for c in "xyz"))
+    near = neighbours.k_nearest(at, S.search_num, ["frame_id"], _PLACE)
+    return near.groupBy("frame_id", *_PLACE).agg(F.count("*").alias("n"), F.max("d2").alias("d2"), *(F.sum(f"near_{c}_mm").alias(f"s{c}") for c in "xyz"))
+
+
+@query(
+    f"""with {PLACES}, m as (select t.frame_id, t.x_mm, t.y_mm, t.z_mm, {_SPREAD.replace("(x", "(b.x").replace("(y", "(b.y").replace("(z", "(b.z").replace(", x)", ", b.x)").replace(", y)", ", b.y)").replace(", z)", ", b.z)")}
+  from tens t join pl b on b.frame_id = t.frame_id and b.x_mm = t.near.bx and b.y_mm = t.near.by_ and b.z_mm = t.near.bz group by 1, 2, 3, 4),
+c as (select *, [xy*yz - xz*(yy - e3), xz*xy - (xx - e3)*yz, (xx - e3)*(yy - e3) - xy*xy] c1, [xy*(zz - e3) - xz*yz, xz*xz - (xx - e3)*(zz - e3), (xx - e3)*yz - xy*xz] c2,
+        [(yy - e3)*(zz - e3) - yz*yz, yz*xz - xy*(zz - e3), xy*yz - (yy - e3)*xz] c3 from {_eigen_sql("m")}),
+l as (select *, list_sum(list_transform(c1, lambda v: v*v)) l1, list_sum(list_transform(c2, lambda v: v*v)) l2, list_sum(list_transform(c3, lambda v: v*v)) l3 from c),
+w as (select *, case when l1 >= l2 and l1 >= l3 then c1 when l2 >= l3 then c2 else c3 end w, greatest(l1, l2, l3) lw, e2 - e3 > 1e-3*e1 sure from l),
+f as (select pl.*, case when sure and lw > 0 and x*x + y*y + z*z > 0 then greatest(0.3::double, abs(w[1]*x + w[2]*y + w[3]*z)/sqrt(lw)/sqrt(x*x + y*y + z*z)) else 1 end cosine from pl join w using (frame_id, x_mm, y_mm, z_mm))
+select frame_id, x_mm, y_mm, z_mm, round(least(255, least(255, intensity)/cosine), 4) intensity from f"""
+)
+def intensity_calibration(spark, sf_dir):
+    """Intensities of whole scans over the cosine of the incidence angle, from normals of ten neighbours."""
+    found = neighbours.calibrated(scan_places(spark, sf_dir), S.search_num, S.max_intensity, ["frame_id"], _PLACE)
+    return found.select("frame_id", *_PLACE, F.round(F.col("intensity") + 1e-7, 4).alias("intensity"))
+
+
+# ---- the base frame ------------------------------------------------------------------------------------------------
+
+_BASE_SQL = "base as (select frame_id, n clusters from (select frame_id, count(distinct cluster_id) n from comp group by 1) order by n, frame_id desc limit 1)"
+
+
+@query(f"with {COMP}, {_BASE_SQL} select * from base")
+def base_frame(spark, sf_dir):
+    return tracking.base_frame(components_of(spark, sf_dir))
+
+
+@query(
+    f"""with {COMP}, {_BASE_SQL}, {ROT}, b as (select rot.* from rot join base using (frame_id)),
+world as (select cp.frame_id, cp.cluster_id, r0*x + r1*y + r2*z + px wx, r3*x + r4*y + r5*z + py wy, r6*x + r7*y + r8*z + pz wz from cp join rot using (frame_id) where frame_id not in (select frame_id from base)),
+moved as (select w.frame_id, cluster_id, r0*(wx - px) + r3*(wy - py) + r6*(wz - pz) x, r1*(wx - px) + r4*(wy - py) + r7*(wz - pz) y, r2*(wx - px) + r5*(wy - py) + r8*(wz - pz) z from world w, b),
+mgeo as (select *, sqrt(x*x + y*y) rng, case when x = 0 and y = 0 then 0 when y >= 0 then atan2(y, x)*180/pi() else (atan2(y, x) + 2*pi())*180/pi() end ang, atan2(z, sqrt(x*x + y*y))*180/pi() azi from moved),
+mvox as (select distinct frame_id, cluster_id, cast(ceil((azi + 40)/2::double) - 1 as bigint)*21600 + cast(ceil((rng - 1.5::double)/0.4::double) - 1 as bigint)*300 + cast(ceil(ang/1.2::double) - 1 as bigint) voxel
+         from mgeo where rng between 1.5 and 30 and azi between -40 and 80),
+own as (select comp.* from comp join base using (frame_id)), sizes as (select cluster_id, count(*) n from own group by 1),
+met as (select m.frame_id, m.cluster_id, o.cluster_id match_id, count(*)/any_value(s.n) ratio from mvox m join own o using (voxel) join sizes s on s.cluster_id = o.cluster_id group by 1, 2, 3),
+several as (select frame_id, cluster_id, list(match_id) filter (ratio >= 0.1) ids from met group by 1, 2 having count(*) > 1 and count(*) filter (ratio >= 0.1) > 1),
+links as materialized (select distinct a, b from (select unnest(ids) a, ids from several) q, unnest(ids) u(b)),
+cc0(c, l) using key (c) as (select cluster_id, cluster_id from sizes union (select k.b, min(cc0.l) from cc0 join links k on k.a = cc0.c join recurring.cc0 r on r.c = k.b where cc0.l < r.l group by 1))
+select base.frame_id, c cluster_id, l fused_id from cc0, base"""
+)
+def base_fusion(spark, sf_dir):
+    """Clusters of the base frame that clusters of other frames join; a tenth of their voxels is enough in this scene."""
+    found, pts = clustered(spark, sf_dir)
+    return tracking.base_fusion(pts, found, S.but(occupancy=0.1), poses(spark))
+
+
 # ---- spatial joins ------------------------------------------------------------------------------------------------
 
 _AT = ["frame_id", "x_mm", "y_mm", "z_mm"]
@@ -598,6 +766,32 @@ def confusion_map(spark, sf_dir):
     return cells.groupBy("predicted", "actual").agg(F.count("*").alias("places"), F.sum("weight").alias("n"))
 
 
+TRANSFER = f"""{PACKED.replace("pts as", "pts as materialized")}, t as (select frame_id, x_mm, y_mm, z_mm, min(label) label from lab where beam % 2 = 0 group by all), e as (select distinct frame_id, x_mm, y_mm, z_mm from lab where beam % 2 = 1),
+near as (select e.*, t.label, t.x_mm bx, t.y_mm by_, t.z_mm bz, (e.x_mm - t.x_mm)**2 + (e.y_mm - t.y_mm)**2 + (e.z_mm - t.z_mm)**2 d2 from
+  (select *, unnest([floor(x_mm/800) - 1, floor(x_mm/800), floor(x_mm/800) + 1]) k from e) e join (select *, floor(x_mm/800) k from t) t on e.frame_id = t.frame_id and e.k = t.k where abs(e.y_mm - t.y_mm) <= 800),
+given as (select frame_id, x_mm, y_mm, z_mm, arg_min(label, (d2, bx, by_, bz)) label from near where d2 <= 250000 group by 1, 2, 3, 4)"""
+
+
+def transferred(spark, sf_dir) -> DataFrame:
+    """Places of odd beams with the label of the nearest place of even beams within half a metre."""
+    lab = packed_labels(spark, sf_dir)
+    mm = {c: F.col(f"{c}_mm").cast("double") for c in "xyz"}
+    truth = lab.where("beam % 2 = 0").groupBy(*_AT).agg(F.min("label").alias("label")).withColumns(mm)
+    return scoring.transferred_labels(lab.where("beam % 2 = 1").select(*_AT).distinct().withColumns(mm), truth, 500.0, ["frame_id"], _AT, _order())
+
+
+@query(f"with {TRANSFER} select frame_id, x_mm, y_mm, z_mm, label from given where (label & 65535) <> 252")
+def label_transfer(spark, sf_dir):
+    """The static part of an unlabelled cloud, by the labels of another."""
+    return scoring.without_class(transferred(spark, sf_dir), 252).select(*_AT, "label")
+
+
+@query(f"with {TRANSFER} select (label & 65535)::int sem, count(*) n, count(distinct label >> 16) ids from given where (label & 65535) between 252 and 259 group by 1")
+def dynamic_instances(spark, sf_dir):
+    """Instances of each moving class among the transferred labels."""
+    return scoring.instance_ids(transferred(spark, sf_dir)).drop("about")
+
+
 # ---- scans, sets, counters ----------------------------------------------------------------------------------------
 
 
@@ -628,6 +822,16 @@ _LISTS = f"""{VOX}, o as (select distinct frame_id, obj_id, voxel from vox), u a
 l as (select frame_id, obj_id, coalesce(list_sort(list(voxel) filter (now)), []) a, coalesce(list_sort(list(voxel) filter (not now)), []) b from u group by 1, 2)"""
 
 
+@query(f"with pts as ({DUCK_POINTS}) select frame_id, x_mm, y_mm, z_mm, sem r, (obj_id % 256)::int g, refl::int b from pts where frame_id between 2 and 4")
+def six_float_frames(spark, sf_dir):
+    """Frames 2 to 4 of coloured scans: all are written as files of six floats a point, and only three files are read."""
+    folder = f"{shared_dir(spark)}/scanweave/six-{uuid.uuid4().hex}"
+    coloured = points(spark, sf_dir).selectExpr("frame_id", "x", "y", "z", "cast(sem as double) r", "cast(obj_id % 256 as double) g", "cast(refl as double) b")
+    write_frame_files(coloured, folder, "xyzrgb", order=("x", "y", "z"))
+    back = frames(spark, folder, "xyzrgb").where("frame_id between 2 and 4")
+    return back.select("frame_id", *(F.round(F.col(c) * 1000).cast("long").alias(f"{c}_mm") for c in "xyz"), *(F.col(c).cast("int").alias(c) for c in "rgb"))
+
+
 @query(f"with {_LISTS} select frame_id, obj_id, len(a)::int n_a, len(b)::int n_b, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') both_lists from l")
 def vec_concat_distinct(spark, sf_dir):
     return voxel_lists(spark, sf_dir).select("frame_id", "obj_id", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.array_join(F.array_sort(F.array_distinct(F.concat("a", "b"))), ",").alias("both_lists"))
@@ -649,6 +853,18 @@ def intensity_histogram(spark, sf_dir):
     return grid(spark, sf_dir).select(F.least(F.floor(F.col("i_mean") / 15).cast("int"), F.lit(9)).alias("bin"), "n").groupBy("bin").agg(F.count("*").alias("voxels"), F.sum("n").alias("n"))
 
 
+@query(
+    """with t as (select user_id, list(round(value, 3) order by event_id) v from events group by 1), n as (select *, (len(v) + 1)//4 n from t), f as (select user_id, n, unnest(v) s, generate_subscripts(v, 1) - 1 pos from n),
+d as (select user_id, case when pos >= 3*n then 'track' when pos % 3 = 0 then 'pre_process' when pos % 3 = 1 then 'segment' else 'recognise' end stage, s from f where pos < 4*n - 1)
+select user_id, stage, count(*) n, round(avg(s), 6) mean from d group by 1, 2"""
+)
+def stage_times(spark, sf_dir):
+    """Each user's values as one line of text, decoded as a file of stage times, and averaged per stage."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lines = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda v: F.round(v["value"], 3).cast("string")), "\t").alias("value"))
+    return decoded_times(lines, "user_id").groupBy("user_id", "stage").agg(F.count("*").alias("n"), r6(F.avg("seconds")).alias("mean"))
+
+
 @query("select user_id, count(*) n, round(avg(value) filter ((event_id % 3) = 0), 6) first_mean, round(avg(value) filter ((event_id % 3) = 1), 6) second_mean, round(avg(value) filter ((event_id % 3) = 2), 6) third_mean from events group by 1")
 def stage_means(spark, sf_dir):
     """A flat metric series decoded by stride three, averaged per place."""

@@ -44,6 +44,16 @@ class Settings:
     occupancy: float = 0.6
     wrap_sectors: bool = False
     dynamic_label: tuple[int, ...] = ()
+    # what eigen features are divided by, see operators/features.py
+    k_linearity_max: float = 740.0
+    k_planarity_max: float = 959.0
+    k_scattering_max: float = 1248.0
+    k_omnivariance_max: float = 0.278636
+    k_anisotropy_max: float = 1248.0
+    k_eigen_entropy_max: float = 0.956129
+    k_change_of_curvature_max: float = 0.99702
+    #: Neighbours of a point, itself included, that its normal is taken from.
+    search_num: int = 10
     #: Scanner to camera, row-major 4x4.
     tr: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0)
 
@@ -84,10 +94,13 @@ class Settings:
             return Settings.from_mapping(yaml.safe_load(f) or {})
 
 
+_MAXIMA = {"k_linearity_max": 288.9, "k_planarity_max": 288.9, "k_scattering_max": 2889.9}
+
 ROAD = Settings(
     skip=5, start=4320, end=4535, sensor_height=1.73, min_dis=1.5, max_dis=30.0, min_azimuth=-40.0, max_azimuth=80.0, range_res=0.4, max_z=0.8, min_z=-1.2, car_square=30.0,
-    max_intensity=255.0, to_be_class=10, intensity_diff=2.0, intensity_cov=1.0, occupancy=0.4,
+    max_intensity=255.0, to_be_class=10, intensity_diff=2.0, intensity_cov=1.0, occupancy=0.4, **_MAXIMA,
 )
 PARKING = Settings(
-    skip=1, start=5, end=700, sensor_height=1.83, min_dis=0.8, max_dis=40.0, range_res=0.4, max_intensity=255.0, to_be_class=6, intensity_diff=2.0, intensity_cov=1.0, occupancy=0.8
-)
+    skip=1, start=5, end=700, sensor_height=1.83, min_dis=0.8, max_dis=40.0, range_res=0.4, max_intensity=255.0, to_be_class=6, intensity_diff=2.0, intensity_cov=1.0, occupancy=0.8,
+    **_MAXIMA,
+)

@@ -23,9 +23,14 @@ SPARK_POINTS = f"select *, x_mm/1000D x, y_mm/1000D y, z_mm/1000D z from ({_MM})
 DUCK_POINTS = f"select *, x_mm/1000::double x, y_mm/1000::double y, z_mm/1000::double z from ({_MM.format(lineitem='lineitem')}) q"
 
 
+def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frame_id, obj_id, scan_key, beam, sem, x_mm, y_mm, z_mm, refl, x, y, z), stored once: scans are data, not a plan."""
-    return staged(spark, "scene", sf_dir, lambda: spark.sql(SPARK_POINTS.format(lineitem="{items}"), items=spark.read.parquet(f"{sf_dir}/lineitem.parquet")))
+    items = lineitem(spark, sf_dir)
+    return staged("scene", items, lambda: spark.sql(SPARK_POINTS.format(lineitem="{items}"), items=items))
 
 
 def poses(spark: SparkSession, frames: int = 7) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,43 @@ def weighted_l1(a: Column, b: Column, weights: list[float]) -> Column:
     w = F.array(*map(F.lit, weights))
     gaps = F.zip_with(F.slice(a, 1, len(weights)), F.slice(b, 1, len(weights)), lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     return F.aggregate(F.zip_with(gaps, w, lambda g, k: g * k), F.lit(0.0), lambda total, v: total + v)
+
+
+def eigenvalues3(df: DataFrame, entries: tuple[str, ...] = ("xx", "xy", "xz", "yy", "yz", "zz"), names: tuple[str, str, str] = ("e1", "e2", "e3")) -> DataFrame:
+    """df with the eigenvalues, descending, of the symmetric 3x3 matrix in its columns `entries`, in closed form.
+
+    The matrix less its mean eigenvalue, scaled, has a determinant whose half is the cosine of three times an angle; the
+    eigenvalues are cosines of that angle and of the two a third of a turn away. Negative values of rounding are zero, so the
+    matrix should be one of moments. A null entry makes all null.
+    """
+    xx, xy, xz, yy, yz, zz = map(F.col, entries)
+    whole = (xx + yy + zz) / 3
+    out = df.withColumn("__q", whole)
+    q = F.col("__q")
+    off = xy * xy + xz * xz + yz * yz
+    out = out.withColumn("__p", F.sqrt(((xx - q) * (xx - q) + (yy - q) * (yy - q) + (zz - q) * (zz - q) + 2 * off) / 6))
+    p = F.col("__p")
+    determinant = (xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)
+    half = F.when(p > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), determinant / (2 * p * p * p)))).otherwise(0.0)
+    out = out.withColumn("__t", F.acos(half) / 3)
+    t = F.col("__t")
+    out = out.withColumns({names[0]: q + 2 * p * F.cos(t), "__least": q + 2 * p * F.cos(t + 2 * math.pi / 3)})
+    least = F.when(F.col("__least") < 0, 0.0).otherwise(F.col("__least"))
+    out = out.withColumns({names[2]: least, "__middle": 3 * q - F.col(names[0]) - F.col("__least")})
+    return out.withColumn(names[1], F.when(F.col("__middle") < F.col(names[2]), F.col(names[2])).otherwise(F.col("__middle"))).drop("__q", "__p", "__t", "__least", "__middle")
+
+
+def axis3(df: DataFrame, value: str, entries: tuple[str, ...] = ("xx", "xy", "xz", "yy", "yz", "zz"), names: tuple[str, str, str] = ("nx", "ny", "nz")) -> DataFrame:
+    """df with the unit eigenvector of a simple eigenvalue: the longest cross product of two rows of the matrix less it.
+
+    Null where all cross products vanish, as they do for eigenvalues that are not simple. The sign is that of the product.
+    """
+    xx, xy, xz, yy, yz, zz = map(F.col, entries)
+    e = F.col(value)
+    rows = ((xx - e, xy, xz), (xy, yy - e, yz), (xz, yz, zz - e))
+    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    products = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    fields = lambda c: F.struct((c[0] * c[0] + c[1] * c[1] + c[2] * c[2]).alias("l"), c[0].alias("x"), c[1].alias("y"), c[2].alias("z"))
+    out = df.withColumn("__c", F.greatest(*(fields(c) for c in products)))
+    length = F.sqrt(F.col("__c.l"))
+    return out.withColumns({n: F.when(length > 0, F.col(f"__c.{c}") / length) for n, c in zip(names, "xyz")}).drop("__c")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DYNAMIC
-from ..functions.labels import dynamic
+from ..functions.labels import dynamic, instance, semantic
 
 
 def class_counts(points: DataFrame) -> DataFrame:
@@ -55,3 +55,30 @@ def preservation(matched: DataFrame) -> DataFrame:
 def alike(a: Column, b: Column) -> Column:
     """Equal classes; building and tree count as each other's hit."""
     return (a == b) | (a.isin(50, 70) & b.isin(50, 70))
+
+
+def transferred_labels(points: DataFrame, truth: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
+    """points with `label`, that of the nearest labelled point within the radius; points with none in reach are left out.
+
+    truth: on, x, y, z, label, and the columns of `order`, named r_<column> there, which settle equal distances.
+    """
+    from .spatial import nearest
+
+    found = nearest(points, truth, radius, on, keys, order)
+    return points.join(found.select(*keys, F.col("near.r_label").alias("label")), keys)
+
+
+def without_class(labelled: DataFrame, sem: int) -> DataFrame:
+    """Points whose label is of another class."""
+    return labelled.where(semantic(F.col("label")) != sem)
+
+
+def instance_ids(labelled: DataFrame, classes: tuple[int, ...] = DYNAMIC, error: float = 0.05) -> DataFrame:
+    """(sem, n, ids, about): points, exact and sketched numbers of distinct instances, for each class that occurs.
+
+    The exact number is counted over distinct (class, instance) rows, so no set is held anywhere; `about` comes from a
+    mergeable sketch in the same pass over these, with the relative standard error asked for.
+    """
+    one = labelled.select(semantic(F.col("label")).cast("int").alias("sem"), instance(F.col("label")).alias("inst")).where(F.col("sem").isin(*classes))
+    per = one.groupBy("sem", "inst").agg(F.count("*").alias("k"))
+    return per.groupBy("sem").agg(F.sum("k").alias("n"), F.count("inst").alias("ids"), F.approx_count_distinct("inst", error).alias("about"))

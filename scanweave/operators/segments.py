@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BUILDING_TYPE, CAR_TYPE, TREE_TYPE, Settings
@@ -93,3 +93,14 @@ def intensity_fusion(voxels: DataFrame, components: DataFrame, s: Settings) -> D
     graph = edges.join(a, ["frame_id", "u"]).join(b, ["frame_id", "v"]).select("frame_id", "a", "b").distinct()
     alone = components.select("frame_id", F.col("cluster_id").alias("a"), F.lit(None).cast("long").alias("b")).distinct()
     return graph.unionByName(alone).groupBy("frame_id").applyInPandas(_fuse(s.iteration), "frame_id int, cluster_id long, fused_id long")
+
+
+def cluster_order(components: DataFrame) -> DataFrame:
+    """(frame_id, cluster_id, first, place): a frame's clusters in descending order of their first voxel, from 1."""
+    firsts = components.groupBy("frame_id", "cluster_id").agg(F.min("voxel").alias("first"))
+    return firsts.withColumn("place", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.desc("first"))))
+
+
+def gathered(rows: DataFrame, indexes: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that a list of indexes names, each as often as it is named: the list joins by its keys."""
+    return indexes.select(*keys).join(rows, keys)

@@ -10,8 +10,8 @@ from ..config import Settings
 from ..functions.geometry import elevation, planar_range, polar_angle
 from ..plans.components import connected_components
 
-#: Node numbers of different frames lie apart by more than any grid's voxels.
-_FRAME = 1 << 32
+#: Node numbers of different frames lie apart by more than any grid's voxels; keys of lower-bound values may be negative.
+FRAME, LEAST_KEY = 1 << 32, -(1 << 20)
 
 
 def with_geometry(points: DataFrame) -> DataFrame:
@@ -120,10 +120,10 @@ def joined_voxels(voxels: DataFrame, s: Settings) -> DataFrame:
 def voxel_components(voxels: DataFrame, s: Settings) -> DataFrame:
     """(frame_id, voxel, cluster_id): clusters are components of neighbouring voxels, named by their least voxel."""
     edges = joined_voxels(voxels, s)
-    node = lambda v: F.col("frame_id").cast("long") * _FRAME + F.col(v) + (1 << 20)
+    node = lambda v: F.col("frame_id").cast("long") * FRAME + F.col(v) - LEAST_KEY
     found = connected_components(edges.select(node("u").alias("a"), node("v").alias("b")))
-    place = lambda c: F.pmod(F.col(c), F.lit(_FRAME)) - (1 << 20)
-    named = found.select(F.floor(F.col("node") / _FRAME).cast("int").alias("frame_id"), place("node").alias("voxel"), place("component").alias("label"))
+    place = lambda c: F.pmod(F.col(c), F.lit(FRAME)) + LEAST_KEY
+    named = found.select(F.floor(F.col("node") / FRAME).cast("int").alias("frame_id"), place("node").alias("voxel"), place("component").alias("label"))
     return voxels.select("frame_id", "voxel").join(named, ["frame_id", "voxel"], "left").select("frame_id", "voxel", F.coalesce("label", "voxel").alias("cluster_id"))
 
 

@@ -1,27 +1,28 @@
-"""From points to tracked objects: voxels, clusters, intensity fusion, box filter, types, states."""
+"""From scans to tracked objects: ground, voxels, clusters, intensity fusion, box filter, types, states."""
 
 from __future__ import annotations
 
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import MOVING, Settings
-from ..operators import planarity, segments, tracking, voxels
+from ..operators import ground, planarity, segments, tracking, voxels
 from .tables import written
 
 
 @dataclass
 class Segmented:
     """points: with voxel and cluster_id. clusters: boxes with drop_reason, and type, planar, state, track_id of those that
-    stay. voxels: with cluster_id. seconds: wall time of each stage."""
+    stay. voxels: with cluster_id. seconds, rows: wall time of each stage, and its rows, counted while they are written."""
 
     points: DataFrame
     voxels: DataFrame
     clusters: DataFrame
     seconds: dict[str, float] = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)
 
     def counters(self) -> DataFrame:
         """(frame_id, in_grid, voxels, fused, kept, tracked, dynamic), a row per frame."""
@@ -32,25 +33,40 @@ class Segmented:
         )
 
     def write_seconds(self, path: str) -> None:
-        """The stages' times as one tab-separated line a stage."""
-        rows = [(k, n, v) for k, (n, v) in enumerate(self.seconds.items())]
-        self.points.sparkSession.createDataFrame(rows, "ordinal int, stage string, seconds double").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
+        """The stages' times and rows as one tab-separated line a stage."""
+        rows = [(k, n, v, self.rows[n]) for k, (n, v) in enumerate(self.seconds.items())]
+        self.points.sparkSession.createDataFrame(rows, "ordinal int, stage string, seconds double, rows long").coalesce(1).write.mode("overwrite").option("sep", "\t").csv(path)
 
 
-def segment(points: DataFrame, s: Settings, poses: DataFrame | None = None, sequences: DataFrame | None = None) -> Segmented:
-    """Objects of every frame and their states.
+class _Stages:
+    """Writes each stage once, so that none is computed again for the next; keeps times and rows."""
 
-    points: frame_id, x, y, z, refl, without ground. poses: as for tracking.moved_points(). Each stage is written once, so
-    that none is computed again for the next. A cluster that the fold merged into a new one has no state of its own.
-    """
-    seconds: dict[str, float] = {}
+    def __init__(self):
+        self.seconds: dict[str, float] = {}
+        self.rows: dict[str, int] = {}
 
-    def stage(name: str, df: DataFrame) -> DataFrame:
-        began = time.time()
-        out = written(df, name)
-        seconds[name] = time.time() - began
+    def __call__(self, name: str, df: DataFrame) -> DataFrame:
+        began, seen = time.time(), Observation(name)
+        out = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        self.seconds[name], self.rows[name] = time.time() - began, seen.get["rows"]
         return out
 
+
+def segment_scans(points: DataFrame, s: Settings, poses: DataFrame | None = None, sequences: DataFrame | None = None) -> Segmented:
+    """segment() of what stands on the ground of whole scans (frame_id, x, y, z, refl): the ground is split off first. What lies
+    outside all zones, or in patches of too few points, is neither."""
+    stage = _Stages()
+    split = stage("ground", ground.ground_split(points, s.sensor_height))
+    return segment(split.where("status = 'in_grid'").drop("status"), s, poses, sequences, stage)
+
+
+def segment(points: DataFrame, s: Settings, poses: DataFrame | None = None, sequences: DataFrame | None = None, stage: _Stages | None = None) -> Segmented:
+    """Objects of every frame and their states.
+
+    points: frame_id, x, y, z, refl, without ground. poses: as for tracking.moved_points(). A cluster that the fold merged
+    into a new one has no state of its own.
+    """
+    stage = stage or _Stages()
     keys = ["frame_id", "cluster_id"]
     bins = stage("bins", voxels.binned(points, s))
     stats = stage("voxels", voxels.voxel_stats(bins))
@@ -68,4 +84,4 @@ def segment(points: DataFrame, s: Settings, poses: DataFrame | None = None, sequ
     states = stage("states", folded.select(*keys, F.col("type").alias("late_type"), "state", "track_id"))
     own = typed.select(*keys, "planar", "type").join(states, keys, "left").withColumn("type", F.coalesce("late_type", "type")).drop("late_type")
     clusters = boxes.withColumn("drop_reason", segments.drop_reason(s)).join(own, keys, "left")
-    return Segmented(pts, stats.join(named, ["frame_id", "voxel"]), clusters, seconds)
+    return Segmented(pts, stats.join(named, ["frame_id", "voxel"]), clusters, stage.seconds, stage.rows)

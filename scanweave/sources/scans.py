@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import warnings
 from collections.abc import Iterator
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import MOVING, Settings
 from ..functions.geometry import quaternion
 from ..functions.labels import object_colour
+from .frames import frames, write_frame_files
 
 # fixed values: the packed record of the object files
 OBJECT_RECORD = np.dtype([("t", "<i8"), ("intensity", "u1"), ("id", "u1"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("azimuth", "<f4"), ("range", "<f4"), ("pid", "<i4")])
@@ -143,16 +143,54 @@ def parse_cloud(content: bytes) -> tuple[list[str], np.ndarray]:
         key, *rest = content[at:end].decode("ascii", "replace").split() or [""]
         head[key] = rest
         at = end + 1
-    names, n = head["FIELDS"], int(head.get("POINTS", ["0"])[0])
+    counts = [int(c) for c in head.get("COUNT", ["1"] * len(head["FIELDS"]))]
+    # a field of several numbers gives its name to the first of them
+    names = [name if i == 0 else f"{name}_{i}" for name, count in zip(head["FIELDS"], counts) for i in range(count)]
+    n = int(head.get("POINTS", ["0"])[0])
     if head["DATA"] == ["ascii"]:
         rows = [line.split() for line in content[at:].decode().splitlines()]
         return names, np.array([r for r in rows if len(r) == len(names)], dtype=float).reshape(-1, len(names))
-    if head["DATA"] != ["binary"]:
-        raise ValueError(f"unsupported data kind {head['DATA']}")
     kinds = {"F": "f", "I": "i", "U": "u"}
-    record = np.dtype([(f"f{k}", f"<{kinds[t]}{size}") for k, (t, size) in enumerate(zip(head["TYPE"], head["SIZE"]))])
-    table = np.frombuffer(content, record, n, offset=at)
-    return names, np.stack([table[f].astype(float) for f in record.names], 1) if n else np.zeros((0, len(names)))
+    types = [f"<{kinds[t]}{size}" for t, size in zip(head["TYPE"], head["SIZE"])]
+    if head["DATA"] == ["binary"]:
+        record = np.dtype([(f"f{k}", t, (count,)) for k, (t, count) in enumerate(zip(types, counts))])
+        table = np.frombuffer(content, record, n, offset=at)
+        columns = [table[f] for f in record.names]
+    elif head["DATA"] == ["binary_compressed"]:
+        packed, plain = np.frombuffer(content, "<u4", 2, offset=at).tolist()
+        body, columns, start = unpacked(content[at + 8 : at + 8 + packed], plain), [], 0
+        for t, count in zip(types, counts):  # field after field
+            columns.append(np.frombuffer(body, t, n * count, offset=start).reshape(n, count))
+            start += columns[-1].nbytes
+    else:
+        raise ValueError(f"unsupported data kind {head['DATA']}")
+    return names, np.concatenate([c.astype(float) for c in columns], 1) if n else np.zeros((0, len(names)))
+
+
+def unpacked(packed: bytes, size: int) -> bytes:
+    """The bytes behind an LZF stream: runs of literals, and copies from up to 8 KB back."""
+    out, at = bytearray(), 0
+    while at < len(packed):
+        control = packed[at]
+        at += 1
+        if control < 32:
+            out += packed[at : at + control + 1]
+            at += control + 1
+            continue
+        length = control >> 5
+        if length == 7:
+            length += packed[at]
+            at += 1
+        back = ((control & 31) << 8) + packed[at] + 1
+        at += 1
+        start = len(out) - back
+        if start < 0:
+            raise ValueError("the stream refers to before its start")
+        for k in range(length + 2):  # a copy may overlap itself
+            out.append(out[start + k])
+    if len(out) != size:
+        raise ValueError(f"{len(out)} bytes where {size} should be")
+    return bytes(out)
 
 
 def read_clouds(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("x", "y", "z", "intensity")) -> DataFrame:
@@ -179,44 +217,25 @@ def cloud_bytes(values: np.ndarray, fields: tuple[str, ...] = ("x", "y", "z", "i
     return "\n".join(head).encode() + record.tobytes()
 
 
-def _write_each(points: DataFrame, folder: str, ending: str, encode) -> int:
-    """One file per frame, put in place whole, so that a task that runs again does no harm; the number of files.
-
-    folder must be shared by all executors. A task's group is one scan.
-    """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"{key[0]}.{ending}")
-        part = f"{path}.{os.getpid()}.part"
-        with open(part, "wb") as f:
-            f.write(encode(pdf))
-        os.replace(part, path)
-        return pd.DataFrame({"frame_id": [key[0]], "n": [len(pdf)]})
-
-    files = points.groupBy("frame_id").applyInPandas(run, "frame_id int, n long").count()
-    if not files:
-        warnings.warn(f"no points, so no files in {folder}", stacklevel=2)
+def _write_each(points: DataFrame, folder: str, kind: str, fields: tuple[str, ...], order: tuple[str, ...]) -> int:
+    """One file per frame through the frame source, so that a failed job leaves none; the number of files."""
+    files = points.select("frame_id").distinct().count()  # a row per frame
+    if files:
+        write_frame_files(points, folder, kind, fields, order)
+    else:
+        warnings.warn(f"no points, so no files in {folder}", stacklevel=3)
     return files
 
 
 def write_clouds(points: DataFrame, folder: str, fields: tuple[str, ...] = ("x", "y", "z", "intensity"), save: bool = True) -> int:
     """A point-cloud file per frame, points by k where there is one; nothing unless `save`. Frames without points have none."""
-    if not save:
-        return 0
-    order = ["k"] if "k" in points.columns else list(fields)
-    return _write_each(points.select("frame_id", *{c: None for c in (*order, *fields)}), folder, "pcd", lambda pdf: cloud_bytes(pdf.sort_values(order)[list(fields)].to_numpy(float), fields))
+    return _write_each(points, folder, "cloud", fields, ("k",) if "k" in points.columns else fields) if save else 0
 
 
 def write_coloured(points: DataFrame, folder: str) -> int:
     """A coloured point-cloud file per frame from (frame_id, x, y, z, r, g, b)."""
-    columns = ["x", "y", "z", "r", "g", "b"]
-
-    def encode(pdf: pd.DataFrame) -> bytes:
-        v = pdf.sort_values(columns)[columns].to_numpy(float)
-        return cloud_bytes(v[:, :3], ("x", "y", "z"), v[:, 3:])
-
-    return _write_each(points.select("frame_id", *columns), folder, "pcd", encode)
+    columns = ("x", "y", "z", "r", "g", "b")
+    return _write_each(points, folder, "cloud", columns, columns)
 
 
 def write_one_colour(scans: DataFrame, folder: str, r: int, g: int, b: int) -> int:
@@ -226,8 +245,12 @@ def write_one_colour(scans: DataFrame, folder: str, r: int, g: int, b: int) -> i
 
 def write_scans(points: DataFrame, folder: str) -> int:
     """Packed float32 quadruples, the form that read_scans() reads, in order of k."""
-    columns = ["x", "y", "z", "intensity"]
-    return _write_each(points.select("frame_id", "k", *columns), folder, "bin", lambda pdf: pdf.sort_values("k")[columns].to_numpy("<f4").tobytes())
+    return _write_each(points, folder, "xyzi", (), ("k",))
+
+
+def read_coloured_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """(frame_id, k, x, y, z, r, g, b) from packed float32 sextuples; filters on frame_id decide which files are opened."""
+    return frames(spark, folder, "xyzrgb")
 
 
 def read_text_clouds(spark: SparkSession, folder: str) -> DataFrame:
@@ -305,3 +328,24 @@ def write_intensity(voxels: DataFrame, path: str) -> None:
 
 def read_intensity(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("sep", "\t").schema("frame_id int, voxel long, i_mean double, i_spread double").csv(path)
+
+
+def decoded_times(lines: DataFrame, *keys: str) -> DataFrame:
+    """(keys, stage, frame, seconds) from lines (keys, value) of tab-separated numbers.
+
+    A line of n frames has three numbers for each frame in turn (pre-process, segment, recognise), then n - 1 of tracking,
+    one for each frame but the last. Numbers beyond 4 n - 1 for the largest such n are left out, blank ones are skipped.
+    """
+    numbers = F.filter(F.split("value", r"\s+"), lambda v: v != "")
+    out = lines.select(*keys, numbers.alias("v")).withColumn("n", F.floor((F.size("v") + 1) / 4).cast("int"))
+    flat = out.select(*keys, "n", F.posexplode("v").alias("pos", "text")).where(F.col("pos") < 4 * F.col("n") - 1)
+    tracked = F.col("pos") - 3 * F.col("n")
+    names = F.array(*map(F.lit, ("pre_process", "segment", "recognise")))
+    stage = F.when(tracked >= 0, "track").otherwise(F.element_at(names, F.pmod("pos", F.lit(3)) + 1))
+    frame = F.when(tracked >= 0, tracked).otherwise(F.floor(F.col("pos") / 3).cast("int"))
+    return flat.select(*keys, stage.alias("stage"), frame.alias("frame"), F.col("text").cast("double").alias("seconds"))
+
+
+def read_times(spark: SparkSession, path: str) -> DataFrame:
+    """decoded_times() of text files, with the file's path."""
+    return decoded_times(spark.read.text(path).withColumn("path", F.input_file_name()), "path")

@@ -165,17 +165,33 @@ def test_fusion_takes_the_largest_name_and_leaves_loners():
     assert dict(zip(out.cluster_id, out.fused_id)) == {10: 20, 20: 20, 30: 30, 40: 40}
 
 
+def folded(frames, hits, occupancy=0.4):
+    """fold() of frame -> cluster -> (type, voxels), where hits are (frame, cluster) -> later frame -> voxels; made clusters by number."""
+    of = {f: {v: c for c, (_, vs) in own.items() for v in vs} for f, own in frames.items()}
+    sizes = {f: {c: (kind, len(vs)) for c, (kind, vs) in own.items()} for f, own in frames.items()}
+    rows = tracking.fold(sizes, {car: {g: {v: of[g][v] for v in vs if v in of[g]} for g, vs in ahead.items()} for car, ahead in hits.items()}, occupancy, max(frames))
+    made = sorted({m for _, _, m, *_ in rows if m})
+    tracks = sorted({t for *_, t in rows if t})
+    base = 1 + max(c for own in frames.values() for c in own)
+    return [(f, base + made.index(m) if m else c, kind, state, tracks.index(t)) for f, c, m, kind, state, t in rows if kind is not None]
+
+
 def test_fold_states_and_tracks():
     car = CAR_TYPE
-    still = {0: {1: (car, {1, 2})}, 1: {5: (car, {1, 2})}}
-    same = {(0, 1): {1}, (0, 2): {2}}
-    assert tracking.fold(still, same, 0.4) == [(0, 1, car, 0, 0), (1, 5, car, -1, 0)]
-    gone = {0: {1: (car, {1})}, 1: {5: (car, {9})}}
-    assert tracking.fold(gone, {(0, 1): {1}}, 0.4) == [(0, 1, car, 1, 0), (1, 5, car, -1, 1)]
-    split = {0: {1: (car, {1})}, 1: {5: (1, {1, 2, 3, 4})}}
-    assert tracking.fold(split, {(0, 1): {1}}, 0.4)[0][:4] == (0, 1, 1, 0)
+    same = {(0, 1): {1: {1, 2}}}
+    assert folded({0: {1: (car, {1, 2})}, 1: {5: (car, {1, 2})}}, same) == [(0, 1, car, 0, 0), (1, 5, car, -1, 0)]
+    assert folded({0: {1: (car, {1})}, 1: {5: (car, {9})}}, {(0, 1): {1: {1}}}) == [(0, 1, car, 1, 0), (1, 5, car, -1, 1)]
+    split = folded({0: {1: (car, {1})}, 1: {5: (1, {1, 2, 3, 4})}}, {(0, 1): {1: {1}}})
+    assert split == [(0, 1, 1, 0, 0)]
     joined = {0: {1: (car, {1, 2})}, 1: {5: (car, {1}), 6: (car, {2})}}
-    assert tracking.fold(joined, same, 0.4) == [(0, 1, car, 0, 0), (1, 7, car, -1, 0)]
+    assert folded(joined, same) == [(0, 1, car, 0, 0), (1, 7, car, -1, 0)]
+    # a car that was made from two moves with the points of both
+    longer = joined | {2: {8: (car, {3}), 9: (1, {4, 5, 6, 7})}}
+    assert folded(longer, same | {(1, 5): {2: {3}}}) == [(0, 1, car, 0, 0), (1, 10, car, 0, 0), (2, 8, car, -1, 0)]
+    assert folded(longer, same | {(1, 5): {2: {3}}, (1, 6): {2: {4}}})[1] == (1, 10, car, 0, 0)
+    # what a car took from another cluster is not there for the next car
+    taken = {0: {1: (car, {1}), 2: (car, {2})}, 1: {5: (0, {1, 2, 3, 4, 5, 6})}}
+    assert [r[:4] for r in folded(taken, {(0, 1): {1: {1}}, (0, 2): {1: {1}}})] == [(0, 1, 0, 0), (0, 2, car, -1)]
 
 
 def test_bin_keys_equal_binned(spark):
@@ -188,12 +204,11 @@ def test_bin_keys_equal_binned(spark):
 
 
 def test_a_standing_car_hands_its_points_on():
-    car, keys = CAR_TYPE, lambda xyz: xyz[:, 0].astype(int)
-    frames = lambda: {0: {1: (car, {1, 2})}, 1: {5: (car, {1})}, 2: {8: (car, {2})}}
-    hits = {(0, 1): {1}, (0, 2): {2}, (1, 1): {1}}
-    cloud = tracking.Cloud({(0, 1): np.array([[1.0, 0, 0]]), (0, 2): np.array([[2.0, 0, 0]]), (1, 1): np.array([[1.0, 0, 0]])}, {}, keys)
-    assert tracking.fold(frames(), hits, 0.4, cloud) == [(0, 1, car, 0, 0), (1, 5, car, 0, 0), (2, 8, car, -1, 0)]
-    assert tracking.fold(frames(), hits, 0.4) == [(0, 1, car, 0, 0), (1, 5, car, 1, 0), (2, 8, car, -1, 1)]
+    car = CAR_TYPE
+    frames = {0: {1: (car, {1, 2})}, 1: {5: (car, {1})}, 2: {8: (car, {2})}}
+    hits = {(0, 1): {1: {1, 2}, 2: {1, 2}}, (1, 5): {2: {1}}}
+    assert folded(frames, hits) == [(0, 1, car, 0, 0), (1, 5, car, 0, 0), (2, 8, car, -1, 0)]
+    assert folded(frames, hits | {(0, 1): {1: {1, 2}}}) == [(0, 1, car, 0, 0), (1, 5, car, 1, 0), (2, 8, car, -1, 1)]
 
 
 def _plain_fold(points, types, poses, s):
@@ -258,8 +273,9 @@ def _plain_fold(points, types, poses, s):
     return result
 
 
-@pytest.mark.parametrize("moving", [False, True])
-def test_tracking_fold_matches_plain_python(spark, moving):
+@pytest.mark.parametrize(("moving", "ahead"), [(False, 8), (True, 8), (False, 1), (True, 2)])
+def test_tracking_fold_matches_plain_python(spark, monkeypatch, moving, ahead):
+    monkeypatch.setattr(tracking, "AHEAD", ahead)
     found, pts, typed = catalogue.typed_boxes(spark, SF)
     poses = catalogue.poses(spark) if moving else None
     got = sorted(tuple(r) for r in tracking.tracking_fold(pts, found, typed, catalogue.S, poses).collect())
@@ -291,6 +307,7 @@ def test_whole_chain_and_its_files(spark, tmp_path):
     back = scans.read_clouds(spark, str(tmp_path / "seg"), ("x", "y", "z", "rgb")).groupBy("frame_id").count().collect()
     points = {f: sum(r["n_pts"] for k, r in clusters.items() if k[0] == f and not r["drop_reason"]) for f in frames}
     assert {r["frame_id"]: r["count"] for r in back} == points
+    assert done.rows["bins"] == done.points.count() and set(done.rows) == set(done.seconds)
     done.write_seconds(str(tmp_path / "times"))
     assert spark.read.csv(str(tmp_path / "times"), sep="\t").count() == len(done.seconds)
 
