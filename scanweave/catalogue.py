@@ -564,11 +564,13 @@ c as (select *, [xy*yz - xz*(yy - e3), xz*xy - (xx - e3)*yz, (xx - e3)*(yy - e3)
 l as (select *, list_sum(list_transform(c1, lambda v: v*v)) l1, list_sum(list_transform(c2, lambda v: v*v)) l2, list_sum(list_transform(c3, lambda v: v*v)) l3 from c),
 w as (select *, case when l1 >= l2 and l1 >= l3 then c1 when l2 >= l3 then c2 else c3 end w, greatest(l1, l2, l3) lw, e2 - e3 > 1e-3*e1 sure from l),
 f as (select pl.*, case when sure and lw > 0 and x*x + y*y + z*z > 0 then greatest(0.3::double, abs(w[1]*x + w[2]*y + w[3]*z)/sqrt(lw)/sqrt(x*x + y*y + z*z)) else 1 end cosine from pl join w using (frame_id, x_mm, y_mm, z_mm))
-select frame_id, x_mm, y_mm, z_mm, round(least(255, least(255, intensity)/cosine), 4) intensity from f"""
+select frame_id, x_mm, y_mm, z_mm, round(least(255, least(255, intensity)/cosine) + 1e-7, 4) intensity from f"""
 )
 def intensity_calibration(spark, sf_dir):
-    """Intensities of whole scans over the cosine of the incidence angle, from normals of ten neighbours."""
-    found = neighbours.calibrated(scan_places(spark, sf_dir), S.search_num, S.max_intensity, ["frame_id"], _PLACE)
+    """Intensities of whole scans over the cosine of the incidence angle, from normals of ten neighbours; in millimetres, so that
+    equal distances are equal."""
+    at = scan_places(spark, sf_dir).withColumns({c: F.col(f"{c}_mm").cast("double") for c in "xyz"})
+    found = neighbours.calibrated(at, S.search_num, S.max_intensity, ["frame_id"], _PLACE)
     return found.select("frame_id", *_PLACE, F.round(F.col("intensity") + 1e-7, 4).alias("intensity"))
 
 
@@ -710,8 +712,8 @@ def matched(spark, sf_dir, radius: float) -> DataFrame:
     p = points(spark, sf_dir)
     at = lambda df: df.groupBy(*_AT, "sem").agg(F.count("*").alias("weight"))
     truth, est = places(at(p)), places(at(estimate_of(p)).groupBy(*_AT).agg(F.sum("weight").alias("weight"), F.min("sem").alias("sem")))
-    near = spatial.nearest(truth, est, radius, ["frame_id"], [*_AT, "sem"], _order()).select(*_AT, "sem", F.col("near.r_sem").alias("near_sem"), F.col("near.d2").alias("d2"))
-    return truth.join(near, [*_AT, "sem"], "left").select(*_AT, "sem", "weight", "near_sem", "d2")
+    near = spatial.with_nearest(truth, est, radius, ["frame_id"], [*_AT, "sem"], _order())
+    return near.select(*_AT, "sem", "weight", F.col("near.r_sem").alias("near_sem"), F.col("near.d2").alias("d2"))
 
 
 MATCHED = """t as (select frame_id, x_mm, y_mm, z_mm, sem, count(*) weight from pts group by all), s as (select frame_id, x_mm, y_mm, z_mm, min(sem) sem from est group by all),

@@ -1,74 +1,146 @@
-"""The k nearest points of every point of a scan, exactly, by cells that widen for points not yet settled; calibration."""
+"""The k nearest points of every point of a scan, exactly, by tiles that widen for points not yet settled; calibration."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import axis3, eigenvalues3
 from ..plans.tables import written
+from ..shipping import ship
 from .features import MOMENTS
 
 AXES = ("x", "y", "z")
-#: The first cells are halved until the fullest has at most so many times k points.
-CROWD = 8
+TILE = ("__g", "__x", "__y", "__z")
+#: Distances that a task holds at a time.
+BLOCK = 1 << 17
+#: How far tiles reach at first: cells of that width are halved until a point's cell has at most so many times k points on average, and the fullest at most CROWD.
+MEAN, CROWD = 1.5, 16
 #: Below this cosine of the incidence angle intensities are divided by it; a fixed value.
 LEAST_COSINE = 0.3
 #: A normal is taken where the two lesser eigenvalues are apart by this share of the largest.
 LEAST_GAP = 1e-3
 
 
-def _cells(df: DataFrame, width: float) -> DataFrame:
-    return df.withColumns({f"__{c}": F.floor(F.col(c) / width).cast("long") for c in AXES})
-
-
 def first_width(points: DataFrame, k: int, on: list[str]) -> tuple[float, float]:
-    """(width of the first cells, width of cells that see everything): by the fullest cell, some small jobs."""
+    """(how far tiles reach at first, a reach that sees everything): by how full cells are, one job for four widths."""
     seen = points.agg(*(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in AXES)).first()
     extent = max((seen[f"high_{c}"] - seen[f"low_{c}"] for c in AXES), default=0.0) if seen["low_x"] is not None else 0.0
     if not extent > 0:
         return 1.0, 1.0
     width = extent / 4
-    for _ in range(40):
-        fullest = _cells(points, width).groupBy(*on, "__x", "__y", "__z").count().agg(F.max("count")).first()[0]
-        if fullest <= CROWD * k:
-            break
-        width /= 2
+    for _ in range(10):
+        # four widths in one pass, each half of the one before
+        widths = [width / 2**j for j in range(4)]
+        levels = F.explode(F.array(*(F.struct(F.lit(j).alias("level"), *(F.floor(F.col(c) / w).cast("long").alias(f"__{c}") for c in AXES)) for j, w in enumerate(widths))))
+        cells = points.select(*on, levels.alias("l")).groupBy(*on, "l.level", "l.__x", "l.__y", "l.__z").count()
+        n = F.col("count").cast("double")
+        full = {r["level"]: r for r in cells.groupBy("level").agg(F.max("count").alias("most"), (F.sum(n * n) / F.sum(n)).alias("mean")).collect()}
+        for j, w in enumerate(widths):
+            if full[j]["mean"] <= MEAN * k and full[j]["most"] <= CROWD * k:
+                return w, extent
+        width = widths[-1] / 2
     return width, extent
 
 
+def _nearest_in_tiles(k: int, reach: float, everything: bool, columns: list[str], on: list[str]):
+    """Rows of tiles, one tile after the other, candidates by keys and then those that ask, to ranks of those that are settled.
+
+    One that asks has found its k nearest if the last of them is within `reach`, as far as a tile's candidates go beyond it;
+    others come back with a null rank. A block of questions meets a tile's candidates at a time.
+    """
+    near_columns = [c for c in columns if c not in on]
+
+    def answers(tile: pa.Table) -> pa.Table | None:
+        asks = tile.column("__asks").to_numpy()
+        there, mine = np.flatnonzero(~asks), np.flatnonzero(asks)
+        if not len(mine):
+            return None
+        xyz = [tile.column(c).to_numpy().astype(float) for c in AXES]
+        n, who, rank, whom, far = min(k, len(there)), [], [], [], []
+        step = max(1, BLOCK // max(1, len(there)))
+        for i in range(0, len(mine), step):
+            q = mine[i : i + step]
+            d = np.zeros((len(q), len(there)))
+            for axis in xyz:
+                gap = axis[q, None] - axis[there]
+                d += gap * gap
+            last = np.partition(d, n - 1, axis=1)[:, n - 1] if n else np.full(len(q), np.inf)
+            done = np.full(len(q), everything) | ((n == k) & (last <= reach * reach))
+            row, at = np.nonzero((d <= last[:, None]) & done[:, None])  # candidates in the order of their keys
+            order = np.lexsort((at, d[row, at], row))
+            row, at = row[order], at[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row) + 1
+            keep = place <= n
+            left = np.flatnonzero(~done)
+            who += [q[row[keep]], q[left]]
+            whom += [there[at[keep]], np.full(len(left), -1)]
+            rank += [place[keep], np.zeros(len(left), np.int64)]
+            far += [d[row[keep], at[keep]], np.zeros(len(left))]
+        who, whom, rank, far = map(np.concatenate, (who, whom, rank, far))
+        none = rank == 0
+        near = pa.array(np.maximum(whom, 0), mask=none)
+        out = [tile.column(c).take(pa.array(who)) for c in columns] + [pa.chunked_array([pa.array(rank, pa.int32(), mask=none)])] + [tile.column(c).take(near) for c in near_columns] + [pa.chunked_array([pa.array(far, mask=none)])]
+        return pa.table(out, [*columns, "rank", *(f"near_{c}" for c in near_columns), "d2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts = None, []
+        for batch in batches:
+            tile = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in TILE])
+            edges = np.flatnonzero(np.concatenate([[True], (tile[1:] != tile[:-1]).any(1), [True]])) if len(tile) else []
+            for i, j in zip(edges[:-1], edges[1:]):
+                if here is not None and (tile[i] != here).any():
+                    found = answers(pa.Table.from_batches(parts).combine_chunks())
+                    if found is not None:
+                        yield from found.combine_chunks().to_batches()
+                    parts = []
+                here = tile[i]
+                parts.append(batch.slice(i, j - i))
+        if parts:
+            found = answers(pa.Table.from_batches(parts).combine_chunks())
+            if found is not None:
+                yield from found.combine_chunks().to_batches()
+
+    return run
+
+
 def k_nearest(points: DataFrame, k: int, on: list[str], keys: list[str]) -> DataFrame:
     """points' columns, rank (from 1), near_<column> of the points at that rank, and d2: min(k, points of the group) rows each.
 
     Points of a group have equal `on`; `keys` tell them apart and settle equal distances. A point is its own first neighbour.
-    Points look into the 27 cells around their own. One whose k-th neighbour there is within a cell's width has found them
-    all; the others look again with cells twice as wide, until a cell is as wide as everything. Ranks beyond k are cut by
-    sorting within each task before rows meet, and each round's rows are written, so a round costs what is left.
+    Space is parted into tiles four times as wide as they reach beyond themselves; each point goes to its own tile and to those
+    that reach it. A point whose k-th neighbour in its tile is within that reach has found them all; the others look again in
+    tiles twice as wide, which only tiles with such points take part in, until one sees everything. A task holds one
+    tile of one group, at most all that is as near to a lonely point as its neighbours are.
     """
-    width, extent = first_width(points, k, on)
+    ship(points.sparkSession)
+    reach, extent = first_width(points, k, on)
     columns = points.columns
-    near = points.select(*on, *(F.col(c).alias(f"near_{c}") for c in columns if c not in on))
+    types = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in columns), "rank int", *(f"`near_{c}` {types[c]}" for c in columns if c not in on), "d2 double"])
     left, out = points, None
-    step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     while True:
-        looking = _cells(left, width)
+        width = 4 * reach
+        tile = lambda c, by=0.0, w=width: F.floor((F.col(c) + by) / w).cast("long")
+        group = F.xxhash64(*on) if on else F.lit(0).cast("long")
+        asking = left.select(*columns, group.alias("__g"), *(tile(c).alias(f"__{c}") for c in AXES), F.lit(True).alias("__asks"))
+        there = points.select(*columns, group.alias("__g"), F.lit(False).alias("__asks"))
         for c in AXES:
-            looking = looking.withColumn("__d", F.explode(step)).withColumn(f"__{c}", F.col(f"__{c}") + F.col("__d")).drop("__d")
-        there = near.withColumns({f"__{c}": F.floor(F.col(f"near_{c}") / width).cast("long") for c in AXES})
-        pairs = looking.join(there, [*on, "__x", "__y", "__z"]).drop("__x", "__y", "__z")
-        d = [F.col(c) - F.col(f"near_{c}") for c in AXES]
-        pairs = pairs.withColumn("d2", d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-        order = Window.partitionBy(*on, *keys).orderBy("d2", *(f"near_{c}" for c in keys))
-        ranked = written(pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "neighbours")
-        if width >= extent:
-            return ranked if out is None else out.unionByName(ranked)
-        settled = ranked.where((F.col("rank") == k) & (F.col("d2") <= width * width)).select(*on, *keys)
-        found = ranked.join(settled, [*on, *keys], "left_semi").select(*ranked.columns)
-        out = found if out is None else out.unionByName(found)
-        left = written(left.join(settled, [*on, *keys], "left_anti").select(*columns), "unsettled")
-        if not left.limit(1).count():
+            there = there.withColumn(f"__{c}", F.explode(F.sequence(tile(c, -reach), tile(c, reach))))
+        if out is not None:
+            there = there.join(asking.select(*TILE).distinct(), list(TILE), "left_semi")
+        dealt = asking.unionByName(there.select(*asking.columns)).repartition(*TILE).sortWithinPartitions(*TILE, "__asks", *keys)
+        found = written(dealt.mapInArrow(_nearest_in_tiles(k, reach, reach >= extent, columns, on), schema), "neighbours")
+        settled = found.where("rank is not null")
+        out = settled if out is None else out.unionByName(settled)
+        left = found.where("rank is null").select(*columns)
+        if reach >= extent or not left.limit(1).count():
             return out
-        width *= 2
+        reach *= 2
 
 
 def normals(points: DataFrame, k: int, on: list[str], keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import written
+
 AXES = ("x", "y", "z")
 
 
@@ -34,15 +36,19 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], key
     return pairs.groupBy(*keys).agg(F.min_by(row, F.struct("d2", *order)).alias("near"))
 
 
-def nearest_anywhere(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column], rounds: int = 8) -> DataFrame:
-    """nearest(), with the radius doubled for what found nothing, up to `rounds` times."""
-    out, rest = None, left
-    for k in range(rounds):
-        found = nearest(rest, right, radius * 2**k, on, keys, order)
-        out = found if out is None else out.unionByName(found)
-        if k + 1 < rounds:
-            rest = rest.join(found.select(*keys), keys, "left_anti")
-    return out
+def with_nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
+    """left's columns and `near` as in nearest(), null where nothing is in reach, for clouds that share most of their places.
+
+    Left rows at the very place of a right row are settled by an equi-join on the place; only the others look around.
+    """
+    at = [*on, *AXES]
+    other = right.select(*at, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in on)).withColumn("d2", F.lit(0.0))
+    row = F.struct("d2", *(c for c in other.columns if c.startswith("r_")))
+    here = other.groupBy(*at).agg(F.min_by(row, F.struct("d2", *order)).alias("near"))
+    joined = written(left.join(here, at, "left").select(*left.columns, "near"), "same-place")
+    rest = joined.where("near is null").drop("near")
+    found = nearest(rest, right, radius, on, keys, order)
+    return joined.where("near is not null").unionByName(rest.join(found, keys, "left").select(*left.columns, "near"))
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:

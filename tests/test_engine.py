@@ -273,7 +273,7 @@ def _plain_fold(points, types, poses, s):
     return result
 
 
-@pytest.mark.parametrize(("moving", "ahead"), [(False, 8), (True, 8), (False, 1), (True, 2)])
+@pytest.mark.parametrize(("moving", "ahead"), [(False, 1), (True, 8)])
 def test_tracking_fold_matches_plain_python(spark, monkeypatch, moving, ahead):
     monkeypatch.setattr(tracking, "AHEAD", ahead)
     found, pts, typed = catalogue.typed_boxes(spark, SF)
