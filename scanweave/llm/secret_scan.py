@@ -63,15 +63,18 @@ def _joined(spans: Column) -> Column:
     return F.concat_ws(",", named)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, owner, repository, base, more): base spans, and mixed tokens outside them, per row of docs."""
+def candidates(docs: DataFrame, owner_col: str = "source", repository_cols: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """(doc_id, version, owner, repository, base, more): base spans, and mixed tokens outside them, per row of docs.
+
+    A repository is an owner with the values of repository_cols.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    owner = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    owner = F.coalesce(F.col(owner_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("version"),
         owner.alias("owner"),
-        F.concat_ws("/", owner, F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("repository"),
+        F.concat_ws("/", owner, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in repository_cols)).alias("repository"),
         F.filter(_kind(text, ASSIGN, "assign", 2), lambda s: F.length(s["value"]) >= 6).alias("assign"),
         _kind(text, ACCESS, "access", worth=text.contains("AKIA")).alias("access"),
         _kind(text, HEX, "hex").alias("hex"),
@@ -89,14 +92,14 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("h").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
-def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, salts: int = 8) -> DataFrame:
+def find_secrets(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES, salts: int = 8, owner_col: str = "source", repository_cols: tuple[str, ...] = ("lang",)) -> DataFrame:
     """(doc_id, version, base, added, live): spans per row of docs, as arrays of (start, kind, end, value).
 
-    Needs doc_id, text, source and lang; other columns are not looked at. Null and empty texts have no spans. A null
-    source is an owner of its own, a null doc_id stays null. Repeated rows each get their result, and count as one
+    Needs doc_id, text, owner_col and repository_cols; other columns are not looked at. Null and empty texts have no spans. A null
+    owner is an owner of its own, a null doc_id stays null. Repeated rows each get their result, and count as one
     owner. `live` holds the base spans whose value few owners and repositories carry. An empty table gives no rows.
     """
-    found = written(candidates(docs), "secrets")
+    found = written(candidates(docs, owner_col, repository_cols), "secrets")
     places = found.select("doc_id", "version", F.explode(F.concat("base", "more")).alias("s")).select("doc_id", "version", "s", F.sha2(F.col("s.value").cast("binary"), 256).alias("h"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
     # each value's row is repeated for the salts: the places of one value that a third of all documents hold spread out
     counts = ownership(found).where((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))

@@ -1,16 +1,18 @@
 """Sharding, rolling windows and whitening against brute force on tables with nulls, ties, repeats and clashing columns."""
 
 import hashlib
+import pickle
 import random
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from scanweave.llm import rolling, sharding, whitening
+from scanweave.llm import _repeats, decontamination, quality, recompression_dedup, rolling, secret_scan, sharding, token_counts, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,3 +187,83 @@ def test_deviations_beyond_a_long_are_null():
     assert w.deviation(np.array([[2, 3], [4, 3]])) == [0, 36]
     huge = whitening.Whitening(1 << 31, [0, 0], np.eye(2), 2)
     assert huge.deviation(np.array([[1, 0], [1 << 30, 0], [1 << 31, 0]])) == [1 << 62, None, None]
+
+
+# ---- what the other operators promise about memory, spread and parameters
+
+
+def test_risk_and_gradient_of_the_classifier_against_finite_differences(monkeypatch):
+    rng = np.random.default_rng(2)
+    positive, unlabelled = rng.normal(0.6, 1, (80, quality.BINS + quality.EXTRA)).astype(np.float32), rng.normal(0, 1, (120, quality.BINS + quality.EXTRA)).astype(np.float32)
+    caught = []
+    monkeypatch.setattr(quality, "_adam", lambda gradient, size, steps, rate=0.05: caught.append(gradient) or np.zeros(size))
+    prior, decay = 0.7, 3e-3
+    quality.fit(positive, unlabelled, prior, decay=decay)
+    (gradient,) = caught
+    both = np.concatenate([positive, unlabelled])
+    mean, scale = both.mean(0), both.std(0) + np.float32(1e-2)
+    p, u = (np.hstack([(x - mean) / scale, np.ones((len(x), 1))]).astype(float) for x in (positive, unlabelled))
+
+    def parts(w):
+        loss = lambda z: np.mean([max(v, 0) + np.log1p(np.exp(-abs(v))) for v in z])
+        return prior * loss(-(p @ w)), loss(u @ w) - prior * loss(p @ w), 0.5 * decay * (w[:-1] @ w[:-1])
+
+    seen = set()
+    for strength in (0.0, 0.002, 0.05):
+        w = strength * (p.mean(0) - u.mean(0)) + 0.001 * rng.normal(size=p.shape[1])
+        good, negative, shrink = parts(w)
+        # where the estimate of the negative risk is below zero, the step goes up it alone
+        goal = (lambda v: sum(parts(v))) if negative >= 0 else (lambda v: parts(v)[2] - parts(v)[1])
+        seen.add(negative >= 0)
+        got = np.asarray(gradient(w), float)
+        for k in (0, 1, 7, 500, p.shape[1] - 1):
+            step = np.zeros(len(w))
+            step[k] = 1e-4
+            assert abs((goal(w + step) - goal(w - step)) / 2e-4 - got[k]) < 2e-4
+    assert seen == {True, False}
+
+
+def test_owners_and_repositories_are_parameters(spark):
+    value, key = "Ab1" * 8, "secret=Qq7Qq7Qq7Qq7"
+    rows = [(k, f"x {value} {key}", "same", "en", f"team{k % 2}", f"repo{k}") for k in range(3)] + [(k, f"{key} {value} y", "same", "en", f"team{k}", "r") for k in range(10, 13)]
+    rows += [(20, "only here Zz9Zz9Zz9Zz9Zz9Zz9Zz9Zz9", "same", "en", "team0", "repo9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, team string, repo string")
+    by_source = {r.doc_id: r for r in secret_scan.find_secrets(df).collect()}
+    assert all(len(r.added) == 1 for r in by_source.values()) and by_source[0].live
+    by_team = {r.doc_id: r for r in secret_scan.find_secrets(df, owner_col="team", repository_cols=("repo",)).collect()}
+    # five teams carry the value and the key: copied examples; the last value is one team's own
+    assert [k for k, r in by_team.items() if r.added] == [20] and not any(r.live for r in by_team.values())
+    assert sum(len(r.base) for r in by_team.values()) == 6
+
+
+def test_benchmarks_travel_as_codes_and_slices_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(30000)]
+    items = pa.table({"item_id": [str(i) for i in range(100)], "text": [" ".join(words[i : i + 300]) for i in range(0, 30000, 300)]})
+    tests = decontamination.TestSuffixes(items, 13)
+    assert len(pickle.dumps(tests)) < 24 * len(words) and len(tests.windows[0]) == 100 * 288
+    docs_ = spark.createDataFrame([(k, " ".join(words[k * 100 : k * 100 + 40] + ["other"] * 20 + words[k : k + 12])) for k in range(60)] + [(99, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, x) for i, x in zip(*items.to_pydict().values())] + [("short", "other other"), ("empty", "")], "item_id string, text string")
+    found = lambda: sorted(map(tuple, decontamination.contamination(docs_, bench).collect()))
+    want = found()
+    monkeypatch.setattr(decontamination, "SEARCHED", 7)
+    assert found() == want and sum(r[5] for r in want) == 60
+
+
+def test_own_rows_of_equal_texts_have_keys_of_their_own(spark):
+    hot = spark.sparkContext.broadcast((np.zeros(0, np.uint64), np.zeros(0, np.int32)))
+    df = spark.createDataFrame([(k % 3, "the same text" if k % 2 else "") for k in range(1000)], "doc_id long, text string")
+    rows = df.mapInArrow(token_counts._document_rows(hot), "doc_id long, version long, n_bytes long, h long, freq long, known long, own boolean").where("own")
+    spread = rows.coalesce(1).groupBy("h").count().agg(F.max("count"), F.count("*")).first()
+    assert spread[0] <= 8 and spread[1] >= 125  # a batch's rows differ; two batches may agree
+    import public_tokenizers
+
+    got = token_counts.count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(got) == 1000 and len({(r.n_bytes, r.n_tokens) for r in got}) == 2
+
+
+def test_buckets_follow_the_bytes_of_the_texts(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "one two three four five " * 200) for k in range(300)], "doc_id long, text string")
+    monkeypatch.setattr(_repeats, "BUCKET_TEXT", 1 << 15)
+    ranges = _repeats._ranges(df, recompression_dedup.RecompressionSampler(13), False)
+    assert ranges.buckets >= 300 * 4800 / (1 << 15)
