@@ -29,11 +29,36 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str])
     return joined.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("__x", "__y", "__z")
 
 
+def _cell_lists(left: DataFrame, right: DataFrame, radius: float, on: list[str], order: list[Column] = ()) -> DataFrame:
+    """left's columns and `others`, the right rows (o, r_x, r_y, r_z, row) of one cell of the 27 around, a row for each that has some.
+
+    So what is joined and sorted is a row for each occupied cell, not one for each pair. o: the values of `order`.
+    """
+    step = F.array(*(F.lit(k) for k in (-1, 0, 1)))
+    cells = left.withColumns(dict(zip(("__x", "__y", "__z"), _cell(radius))))
+    for c in ("__x", "__y", "__z"):
+        cells = cells.withColumn("__d", F.explode(step)).withColumn(c, F.col(c) + F.col("__d")).drop("__d")
+    named = right.select(*on, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in on), *(v.alias(n) for v, n in zip(_cell(radius), ("__x", "__y", "__z"))))
+    row = F.struct(*(c for c in named.columns if c.startswith("r_")))
+    one = F.struct((F.struct(*order) if order else F.lit(0)).alias("o"), *(F.col(f"r_{c}").alias(f"r_{c}") for c in AXES), row.alias("row"))
+    lists = named.groupBy(*on, "__x", "__y", "__z").agg(F.collect_list(one).alias("others"))
+    return cells.join(lists, [*on, "__x", "__y", "__z"]).drop("__x", "__y", "__z")
+
+
+def _d2(e: Column) -> Column:
+    """The squared distance of a left row to one of its others."""
+    d = [F.col(c) - e[f"r_{c}"] for c in AXES]
+    return d[0] * d[0] + (d[1] * d[1] + d[2] * d[2])
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
-    """keys of left and `near`: the right row's columns that come first by (d2, order), for left rows with one in reach."""
-    pairs = near_pairs(left, right, radius, on)
-    row = F.struct("d2", *(c for c in pairs.columns if c.startswith("r_")))
-    return pairs.groupBy(*keys).agg(F.min_by(row, F.struct("d2", *order)).alias("near"))
+    """keys of left and `near`: the right row's columns that come first by (d2, order), for left rows with one in reach.
+
+    Each cell gives its best one first; a left row then chooses among at most 27.
+    """
+    best = F.array_min(F.transform("others", lambda e: F.struct(_d2(e).alias("d2"), e["o"].alias("o"), e["row"].alias("row"))))
+    found = _cell_lists(left, right, radius, on, order).select(*keys, best.alias("b")).where(F.col("b.d2") <= radius * radius)
+    return found.groupBy(*keys).agg(F.min("b").alias("b")).select(*keys, F.struct("b.d2", "b.row.*").alias("near"))
 
 
 def with_nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
@@ -51,14 +76,20 @@ def with_nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str]
     return joined.where("near is not null").unionByName(rest.join(found, keys, "left").select(*left.columns, "near"))
 
 
+def _reaching(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
+    """keys of left rows with some right row in reach."""
+    near = F.exists("others", lambda e: _d2(e) <= radius * radius)
+    return _cell_lists(left, right.select(*on, *AXES), radius, on).where(near).select(*keys).distinct()
+
+
 def within(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
     """left rows with some right row in reach."""
-    return left.join(near_pairs(left, right, radius, on).select(*keys).distinct(), keys, "left_semi")
+    return left.join(_reaching(left, right, radius, on, keys), keys, "left_semi")
 
 
 def beyond(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
     """left rows with no right row in reach."""
-    return left.join(near_pairs(left, right, radius, on).select(*keys).distinct(), keys, "left_anti")
+    return left.join(_reaching(left, right, radius, on, keys), keys, "left_anti")
 
 
 def complement(cloud: DataFrame, other: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
