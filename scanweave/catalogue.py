@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import DYNAMIC, ROAD
+from .config import BUILDING, DYNAMIC, GROUND, ROAD, TREE
 from .fixtures import DUCK_POINTS, lineitem, points, poses
 from .functions import geometry as g
 from .functions import labels as lb
@@ -20,7 +20,8 @@ from .operators import features, ground, neighbours, planarity, scoring, segment
 from .plans import segmentation
 from .plans.tables import shared_dir, staged
 from .sources.frames import frames, write_frame_files
-from .sources.scans import decoded_times, frame_slice
+from .sources.scans import decoded_times, frame_slice, write_coloured
+from .sources.scans import merged_pairs as scans_of_pairs
 
 S = ROAD
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,7 +160,7 @@ def label_split(spark, sf_dir):
     return packed_labels(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n")).select("label", lb.semantic(F.col("label")).alias("sem"), lb.instance(F.col("label")).alias("inst"), "n")
 
 
-_COARSE = "case when sem in (40, 44, 48, 49, 71, 72) then 40 when sem in (50, 51, 52, 60) then 50 when sem in (70, 80, 81) then 70 else 0 end"
+_COARSE = f"case when sem in {GROUND} then 40 when sem in {BUILDING} then 50 when sem in {TREE} then 70 else 0 end"
 
 
 @query(f"with pts as ({DUCK_POINTS}) select frame_id, {_COARSE} class, count(*) n from pts group by 1, 2")
@@ -242,11 +243,15 @@ def turns_of_vectors(spark, sf_dir):
     return made.select("vec_id", *(r6(c).alias(n) for c, n in zip(g.euler(own), ("roll", "pitch", "yaw"))), *(F.round(c, 5).alias(n) for c, n in zip(g.quaternion(own), ("qx", "qy", "qz", "qw"))))
 
 
-@query("select a.vec_id a, b.vec_id b, round(list_sum(list_transform(range(1, 11), lambda i: [.5, .5, .2, .2, .2, .2, .2, .6, .2, 0][i]::double * abs(a.embedding[i]::double - b.embedding[i]::double))), 6) gap from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+# fixed values: the weights of the descriptor's places
+_WEIGHTS = [0.5, 0.5, 0.2, 0.2, 0.2, 0.2, 0.2, 0.6, 0.2, 0.0]
+
+
+@query(f"select a.vec_id a, b.vec_id b, round(list_sum(list_transform(range(1, 11), lambda i: {_WEIGHTS}[i]::double * abs(a.embedding[i]::double - b.embedding[i]::double))), 6) gap from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
 def descriptor_l1(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea")), e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, "a").select("a", "b", r6(g.weighted_l1(F.col("ea"), F.col("eb"), [0.5, 0.5, 0.2, 0.2, 0.2, 0.2, 0.2, 0.6, 0.2, 0.0])).alias("gap"))
+    return a.join(b, "a").select("a", "b", r6(g.weighted_l1(F.col("ea"), F.col("eb"), _WEIGHTS)).alias("gap"))
 
 
 # ---- voxels -------------------------------------------------------------------------------------------------------
@@ -736,6 +741,17 @@ def preservation_scores(spark, sf_dir):
     return found.withColumns({c: r6(c) for c in ("pr", "rr", "f1")})
 
 
+@query(
+    f"with {ESTIMATE}, {MATCHED.format(d2='100').replace('where d2 <=', 'where d2 <')} select sum(weight)::bigint n_points, coalesce(sum(weight) filter (near_sem is not null), 0)::bigint preserved, "
+    "coalesce(sum(weight) filter (sem not between 252 and 259 and near_sem not between 252 and 259), 0)::bigint static_in_both from matched"
+)
+def exact_inliers(spark, sf_dir):
+    """Points that an estimate has at their very place, a centimetre at most, and those static in both."""
+    reach = 1000 * scoring.SAME_POINT
+    near = matched(spark, sf_dir, reach)
+    return scoring.exact_inliers(near.withColumn("near_sem", F.when(F.col("d2") < reach * reach, F.col("near_sem"))))
+
+
 @query(
     f"with {ESTIMATE}, {MATCHED.format(d2=500000)}, k as (select weight, {_COARSE} class, {_COARSE.replace('sem in', 'near_sem in')} near, near_sem from matched) "
     "select class, sum(weight)::bigint n, coalesce(sum(weight) filter (near_sem is not null and (class = near or (class in (50, 70) and near in (50, 70)))), 0)::bigint hits, "
@@ -812,6 +828,15 @@ def scan_triples(spark, sf_dir):
     return joined.select("triple", "frame_id", "obj_id", "scan_key", "beam", r6(cx).alias("cx"), r6(cy).alias("cy"))
 
 
+@query(f"with pts as ({DUCK_POINTS}) select frame_id, x_mm, y_mm, z_mm, 0::double intensity from pts")
+def merged_pairs(spark, sf_dir):
+    """Ground and the rest of each scan, written as two coloured clouds and merged again."""
+    folder = f"{shared_dir(spark)}/scanweave/pairs-{uuid.uuid4().hex}"
+    halves = points(spark, sf_dir).select((F.col("frame_id") * 2 + (F.col("sem") != 40).cast("int")).alias("frame_id"), "x", "y", "z", F.lit(1).alias("r"), F.lit(2).alias("g"), F.lit(3).alias("b"))
+    write_coloured(halves, folder)
+    return scans_of_pairs(spark, folder).select("frame_id", *(F.round(F.col(c) * 1000).cast("long").alias(f"{c}_mm") for c in "xyz"), "intensity")
+
+
 def voxel_lists(spark, sf_dir) -> DataFrame:
     """(frame_id, obj_id, a, b): an object's voxels in a frame and in the one after it; a frame without the object has none."""
     own = bins(spark, sf_dir).select("frame_id", "obj_id", "voxel").distinct()

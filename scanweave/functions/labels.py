@@ -31,6 +31,7 @@ def coarse_class(sem: Column) -> Column:
 
 def colour(kind: Column) -> Column:
     """(r, g, b) of a coarse class."""
+    # fixed values: the colours of the class maps
     rgb = lambda r, g, b: F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"))
     return F.when(kind == 40, rgb(128, 128, 128)).when(kind == 50, rgb(0, 0, 255)).when(kind == 70, rgb(0, 255, 0)).otherwise(rgb(255, 0, 0))
 
@@ -44,6 +45,7 @@ def object_colour(kind: Column, state: Column) -> Column:
 
 def residue_colour(sem: Column) -> Column:
     """(r, g, b) of a point that an estimate kept: what should have gone is red."""
+    # fixed values: the colours of the residue maps
     rgb = lambda r, g, b: F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b"))
     return F.when(dynamic(sem), rgb(255, 0, 0)).otherwise(rgb(205, 192, 176))
 

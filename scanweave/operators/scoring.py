@@ -52,6 +52,21 @@ def preservation(matched: DataFrame) -> DataFrame:
     return one.withColumns({"pr": pr, "rr": rr}).withColumn("f1", 2 * (F.col("pr") / 100) * (F.col("rr") / 100) / F.nullif((F.col("pr") + F.col("rr")) / 100, F.lit(0.0)))
 
 
+#: Metres within which a point counts as the same one; a fixed value.
+SAME_POINT = 0.01
+
+
+def exact_inliers(matched: DataFrame) -> DataFrame:
+    """One row: points, those with a point of the estimate at their place, and those of them that are static in both clouds.
+
+    matched: (sem, weight, near_sem), near_sem null where no point is nearer than SAME_POINT.
+    """
+    w, there = F.col("weight"), F.col("near_sem").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
+    static = ~dynamic(F.col("sem")) & ~dynamic(F.col("near_sem"))
+    return matched.agg(total(F.lit(True)).alias("n_points"), total(there).alias("preserved"), total(there & static).alias("static_in_both"))
+
+
 def alike(a: Column, b: Column) -> Column:
     """Equal classes; building and tree count as each other's hit."""
     return (a == b) | (a.isin(50, 70) & b.isin(50, 70))

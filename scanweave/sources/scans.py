@@ -253,6 +253,17 @@ def read_coloured_scans(spark: SparkSession, folder: str) -> DataFrame:
     return frames(spark, folder, "xyzrgb")
 
 
+def merged_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """(frame_id, x, y, z, intensity) of cloud files taken in pairs, by number: ground and the rest of a scan become one frame.
+
+    Frames count from 0, intensities are 0, and a last file without a partner is a frame of its own.
+    """
+    order = {f: k // 2 for k, (f, _, _) in enumerate(listed(spark, folder, "pcd"))}
+    pair = spark.createDataFrame(list(order.items()), "frame_id int, pair int")  # a row per file
+    read = frames(spark, folder, "cloud", fields="x,y,z")
+    return read.join(pair, "frame_id").select(F.col("pair").alias("frame_id"), "x", "y", "z", F.lit(0.0).alias("intensity"))
+
+
 def read_text_clouds(spark: SparkSession, folder: str) -> DataFrame:
     """(frame_id, k, x, y, z, intensity): the lines of exactly four numbers, up to the first blank line."""
 

@@ -89,6 +89,13 @@ def test_labels_clouds_and_empty_files(spark, tmp_path):
     assert {tuple(r) for r in back.select("r", "b", "none").distinct().collect()} == {(1.0, 255.0, None)} and back.count() == len(pdf)
 
 
+def test_a_file_without_a_partner_is_a_frame_of_its_own(spark, tmp_path):
+    _, df = coloured(spark, 3)
+    scans.write_coloured(df.withColumn("frame_id", F.col("frame_id") * 10), str(tmp_path / "c"))
+    got = scans.merged_pairs(spark, str(tmp_path / "c")).groupBy("frame_id").agg(F.count("*").alias("n"), F.max("intensity").alias("i")).collect()
+    assert {(r.frame_id, r.n, r.i) for r in got} == {(0, 80, 0.0), (1, 40, 0.0)}
+
+
 def lzf_literals(body: bytes) -> bytes:
     return b"".join(bytes([len(body[i : i + 32]) - 1]) + body[i : i + 32] for i in range(0, len(body), 32))
 
