@@ -6,14 +6,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Points of a cell, if they lay in a plane.
+PER_CELL = 96
 NEIGHBOURS, SMOOTH, CURVATURE, LEAST_REGION, SHARE = 10, np.deg2rad(10.0), 1.2, 20, 0.2
 
 
 def _k_least(xyz: np.ndarray, rows: np.ndarray, among: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(the k nearest of `among` to each of `rows`, by distance and then by index; squared distance of the last)."""
-    d = ((xyz[rows, None, :] - xyz[None, among, :]) ** 2).sum(-1)
-    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-    return among[near], np.take_along_axis(d, near[:, -1:], 1)[:, 0]
+    d = np.zeros((len(rows), len(among)))
+    for axis in xyz.T:
+        gap = axis[rows, None] - axis[among]
+        d += gap * gap
+    last = np.partition(d, k - 1, axis=1)[:, k - 1]
+    row, at = np.nonzero(d <= last[:, None])
+    order = np.lexsort((at, d[row, at], row))
+    row, at = row[order], at[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k  # more than k where distances are equal
+    return among[at[first]].reshape(len(rows), k), last
 
 
 def nearest(xyz: np.ndarray, k: int, block: int = 256) -> np.ndarray:
@@ -25,7 +34,7 @@ def nearest(xyz: np.ndarray, k: int, block: int = 256) -> np.ndarray:
     n, k = len(xyz), min(k, len(xyz))
     out, left = np.zeros((n, k), int), np.arange(n)
     low, extent = (xyz.min(0), float(np.ptp(xyz, axis=0).max())) if n else (np.zeros(3), 0.0)
-    width = extent / max(1.0, np.sqrt(n / 8))
+    width = extent / max(1.0, np.sqrt(n / PER_CELL))
     while len(left):
         all_in = width <= 0 or width >= extent or n <= block
         cell = np.zeros((n, 3), np.int64) if all_in else np.floor((xyz - low) / width).astype(np.int64) + 1
@@ -70,21 +79,25 @@ def grown_points(xyz: np.ndarray) -> int:
         return 0
     around = nearest(xyz, NEIGHBOURS)
     normal, curvature = normals(xyz, around)
-    limit, free, total = np.cos(SMOOTH), np.ones(len(xyz), bool), 0
-    for seed in np.argsort(curvature, kind="stable"):
+    free, total = [True] * len(xyz), 0
+    # edges to neighbours with a like normal, found at once; what is left to do in order is to walk along them
+    like = np.abs(np.einsum("nki,ni->nk", normal[around], normal)) >= np.cos(SMOOTH)
+    ahead, ends = around[like].tolist(), np.cumsum(np.concatenate([[0], like.sum(1)])).tolist()
+    grows = (curvature < CURVATURE).tolist()
+    for seed in np.argsort(curvature, kind="stable").tolist():
         if not free[seed]:
             continue
         free[seed] = False
-        queue, size = [int(seed)], 0
+        queue, size = [seed], 1
         while queue:
             p = queue.pop()
-            size += 1
-            near = around[p][free[around[p]]]
-            like = near[np.abs(normal[near] @ normal[p]) >= limit]
-            free[like] = False
-            # points too curved to seed further growth belong to the region all the same
-            queue.extend(int(q) for q in like if curvature[q] < CURVATURE)
-            size += int((curvature[like] >= CURVATURE).sum())
+            for q in ahead[ends[p] : ends[p + 1]]:
+                if free[q]:
+                    free[q] = False
+                    size += 1
+                    # points too curved to seed further growth belong to the region all the same
+                    if grows[q]:
+                        queue.append(q)
         if size >= LEAST_REGION:
             total += size
     return total
