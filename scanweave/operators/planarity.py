@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 #: Points of a cell, if they lay in a plane.
-PER_CELL = 96
+PER_CELL = 64
 NEIGHBOURS, SMOOTH, CURVATURE, LEAST_REGION, SHARE = 10, np.deg2rad(10.0), 1.2, 20, 0.2
 
 
