@@ -312,7 +312,7 @@ def test_whole_chain_and_its_files(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "times"), sep="\t").count() == len(done.seconds)
 
 
-@pytest.mark.parametrize("name", ["ground_split", "intensity_fusion", "tracking_fold", "cluster_planarity", "segmented_clusters"])
+@pytest.mark.parametrize("name", ["ground_split", "intensity_fusion", "tracking_fold", "cluster_planarity", "segmented_clusters", "shape_histogram"])
 def test_queries_without_sql_run(spark, name):
     found = catalogue.QUERIES[name](spark, SF)
     assert found.columns and (found.count() > 0 or name == "cluster_planarity")
