@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DYNAMIC
 from ..functions.labels import dynamic, instance, semantic
+from .spatial import with_near
 
 
 def class_counts(points: DataFrame) -> DataFrame:
@@ -77,10 +78,8 @@ def transferred_labels(points: DataFrame, truth: DataFrame, radius: float, on: l
 
     truth: on, x, y, z, label, and the columns of `order`, named r_<column> there, which settle equal distances.
     """
-    from .spatial import nearest
-
-    found = nearest(points, truth, radius, on, keys, order)
-    return points.join(found.select(*keys, F.col("near.r_label").alias("label")), keys)
+    found = with_near(points, truth, radius, on, order, ["label"]).where("near is not null")
+    return found.select(*points.columns, F.col("near.r_label").alias("label"))
 
 
 def without_class(labelled: DataFrame, sem: int) -> DataFrame:

@@ -1,13 +1,17 @@
-"""Spatial joins: bounded nearest neighbours and radius tests by grid cells and equi-joins."""
+"""Spatial joins: bounded nearest neighbours and radius tests, a tile of space in a task."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..plans.tables import written
-
-AXES = ("x", "y", "z")
+from ..shipping import ship
+from .tiles import AXES, TILE, extent_of, finite, in_order, nearest_of, places, tile_index, tile_width, with_halo
 
 
 def _cell(radius: float) -> list[Column]:
@@ -29,67 +33,61 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, on: list[str])
     return joined.withColumn("d2", d2).where(F.col("d2") <= radius * radius).drop("__x", "__y", "__z")
 
 
-def _cell_lists(left: DataFrame, right: DataFrame, radius: float, on: list[str], order: list[Column] = ()) -> DataFrame:
-    """left's columns and `others`, the right rows (o, r_x, r_y, r_z, row) of one cell of the 27 around, a row for each that has some.
+def _looked_up(columns: list[str], on: list[str], order: list[str], radius: float, schema: pa.Schema):
+    """Left rows of a tile with `near`, what comes first by (d2, order) among the right rows in reach of it."""
 
-    So what is joined and sorted is a row for each occupied cell, not one for each pair. o: the values of `order`.
-    """
-    step = F.array(*(F.lit(k) for k in (-1, 0, 1)))
-    cells = left.withColumns(dict(zip(("__x", "__y", "__z"), _cell(radius))))
-    for c in ("__x", "__y", "__z"):
-        cells = cells.withColumn("__d", F.explode(step)).withColumn(c, F.col(c) + F.col("__d")).drop("__d")
-    named = right.select(*on, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in on), *(v.alias(n) for v, n in zip(_cell(radius), ("__x", "__y", "__z"))))
-    row = F.struct(*(c for c in named.columns if c.startswith("r_")))
-    one = F.struct((F.struct(*order) if order else F.lit(0)).alias("o"), *(F.col(f"r_{c}").alias(f"r_{c}") for c in AXES), row.alias("row"))
-    lists = named.groupBy(*on, "__x", "__y", "__z").agg(F.collect_list(one).alias("others"))
-    return cells.join(lists, [*on, "__x", "__y", "__z"]).drop("__x", "__y", "__z")
+    def run(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = in_order(right, order)
+        at, d2 = nearest_of(places(left), places(right), radius) if len(left) else (np.zeros(0, int), np.zeros(0))
+        none = at < 0
+        row = pa.array(np.maximum(at, 0), mask=none)
+        kind = schema.field("near").type
+        found = [pa.array(d2, mask=none), *(right.column(f.name).combine_chunks().take(row).cast(f.type) for f in list(kind)[1:])]
+        near = pa.StructArray.from_arrays(found, fields=list(kind), mask=pa.array(none))
+        return pa.table([*(left.column(c) for c in columns), near], schema=schema)
 
+    return run
 
-def _d2(e: Column) -> Column:
-    """The squared distance of a left row to one of its others."""
-    d = [F.col(c) - e[f"r_{c}"] for c in AXES]
-    return d[0] * d[0] + (d[1] * d[1] + d[2] * d[2])
 
+def with_near(left: DataFrame, right: DataFrame, radius: float, on: list[str], order: list[Column] = (), carry: list[str] | None = None) -> DataFrame:
+    """left's rows and `near`, the right row (d2, r_<column>...) that comes first by (d2, order), null where none is in reach.
 
-def nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
-    """keys of left and `near`: the right row's columns that come first by (d2, order), for left rows with one in reach.
-
-    Each cell gives its best one first; a left row then chooses among at most 27.
+    Left rows go to the tile that they lie in, right rows to those that they reach; so every left row meets all that it can
+    in one task, once. Inside, a grid of cells is searched, the finest first. carry: the right columns wanted, all if None.
     """
-    best = F.array_min(F.transform("others", lambda e: F.struct(_d2(e).alias("d2"), e["o"].alias("o"), e["row"].alias("row"))))
-    found = _cell_lists(left, right, radius, on, order).select(*keys, best.alias("b")).where(F.col("b.d2") <= radius * radius)
-    return found.groupBy(*keys).agg(F.min("b").alias("b")).select(*keys, F.struct("b.d2", "b.row.*").alias("near"))
-
+    ship(left.sparkSession)
+    named = right.select(*on, *AXES, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in on)).where(finite())
+    named = named.dropna(subset=on).select("*", *(c.alias(f"__o{k}") for k, c in enumerate(order)))
+    wanted = [f"r_{c}" for c in (right.columns if carry is None else carry) if c not in on]
+    named = named.select(*on, *AXES, *(f"__o{k}" for k in range(len(order))), *wanted)
+    named = written(named, "reached")  # read thrice: for its extent, for how full tiles are, and dealt
+    width = tile_width(named, on, extent_of(named), 4 * radius)
+    tiles = [*on, *TILE]
+    types = {f.name: f.dataType for f in named.schema.fields}
+    out = StructType([*left.schema.fields, StructField("near", StructType([StructField("d2", DoubleType()), *(StructField(c, types[c]) for c in wanted)]))])
+    own = left.select("*", *(tile_index(c, width).alias(t) for c, t in zip(AXES, TILE)))
+    run = _looked_up(left.columns, on, [f"__o{k}" for k in range(len(order))], radius, to_arrow_schema(out))
+    return own.groupBy(*tiles).cogroup(with_halo(named, width, radius).groupBy(*tiles)).applyInArrow(run, out)
 
-def with_nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
-    """left's columns and `near` as in nearest(), null where nothing is in reach, for clouds that share most of their places.
 
-    Left rows at the very place of a right row are settled by an equi-join on the place; only the others look around.
-    """
-    at = [*on, *AXES]
-    other = right.select(*at, *(F.col(c).alias(f"r_{c}") for c in right.columns if c not in on)).withColumn("d2", F.lit(0.0))
-    row = F.struct("d2", *(c for c in other.columns if c.startswith("r_")))
-    here = other.groupBy(*at).agg(F.min_by(row, F.struct("d2", *order)).alias("near"))
-    joined = written(left.join(here, at, "left").select(*left.columns, "near"), "same-place")
-    rest = joined.where("near is null").drop("near")
-    found = nearest(rest, right, radius, on, keys, order)
-    return joined.where("near is not null").unionByName(rest.join(found, keys, "left").select(*left.columns, "near"))
+def nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
+    """keys of left and `near`: the right row's columns that come first by (d2, order), for left rows with one in reach."""
+    return with_near(left.select(*dict.fromkeys([*on, *keys, *AXES])), right, radius, on, order).where("near is not null").select(*keys, "near")
 
 
-def _reaching(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
-    """keys of left rows with some right row in reach."""
-    near = F.exists("others", lambda e: _d2(e) <= radius * radius)
-    return _cell_lists(left, right.select(*on, *AXES), radius, on).where(near).select(*keys).distinct()
+def with_nearest(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str], order: list[Column]) -> DataFrame:
+    """left's columns and `near` as in nearest(), null where nothing is in reach."""
+    return with_near(left, right, radius, on, order)
 
 
 def within(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
     """left rows with some right row in reach."""
-    return left.join(_reaching(left, right, radius, on, keys), keys, "left_semi")
+    return with_near(left, right, radius, on, carry=[]).where("near is not null").drop("near")
 
 
 def beyond(left: DataFrame, right: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
     """left rows with no right row in reach."""
-    return left.join(_reaching(left, right, radius, on, keys), keys, "left_anti")
+    return with_near(left, right, radius, on, carry=[]).where("near is null").drop("near")
 
 
 def complement(cloud: DataFrame, other: DataFrame, radius: float, on: list[str], keys: list[str]) -> DataFrame:
