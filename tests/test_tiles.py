@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scanweave.operators import spatial, tiles
+from scanweave.operators import spatial, tiles, voxels
 
 
 @pytest.mark.parametrize("radius", [0.5, 1.0, 2.0, 9.0])
@@ -40,3 +40,9 @@ def test_dense_clouds_do_not_meet_pair_by_pair(spark):
     cloud = lambda by: spark.range(30000).selectExpr("0 f", "id k", f"double(id % 31) + {by} x", "double(id div 31 % 31) y", "double(id div 961) z")
     near = spatial.nearest(cloud(0.25), cloud(0.0), 100.0, ["f"], ["f", "k"], [F.col("r_k")])
     assert near.where("k = near.r_k and near.d2 = 0.0625").count() == 30000
+
+
+def test_variance_of_whole_numbers_is_exact(spark):
+    # 100 values of 0 and 40, half each: their variance is 400 in any order and partitioning
+    bins = spark.range(7000).selectExpr("0 frame_id", "id % 70 voxel", "0L r_i", "0L s_i", "0L a_i", "if((id div 70) % 2 = 0, 0L, 40L) + id % 70 refl").repartition(16)
+    assert [r.i_var for r in voxels.voxel_stats(bins).collect()] == [400.0] * 70
