@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import planar_range
+from ..plans.tables import written
+from .features import moments
 
 # fixed values: the zone model
 MIN_RANGE, MAX_RANGE = 2.7, 80.0
@@ -79,27 +82,50 @@ def is_ground(xyz: np.ndarray, zone: int, ring: int, sensor_height: float) -> np
     return inside & upright
 
 
+_PLANE = [*(f"n{c}" for c in "xyz"), *(f"m{c}" for c in "xyz"), "flat"]
+
+
+def planes(points: DataFrame) -> DataFrame:
+    """The least-squares plane of each patch's points: normal with upward z, mean, and the least variance's share of all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            spread = b[["xx", "xy", "xz", "xy", "yy", "yz", "xz", "yz", "zz"]].to_numpy().reshape(-1, 3, 3)
+            values, vectors = np.linalg.eigh(spread)
+            normal = vectors[:, :, 0] * np.where(vectors[:, 2:, 0] >= 0, 1, -1)
+            flat = values[:, 0] / np.maximum(values.sum(1), 1e-300)
+            yield pd.concat([b[PATCH], pd.DataFrame(np.column_stack([normal, b[["mean_x", "mean_y", "mean_z"]], flat]), columns=_PLANE, index=b.index)], axis=1)
+
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in PATCH), *(f"{c} double" for c in _PLANE)])
+    return written(moments(points, *PATCH).mapInPandas(run, schema), "planes")
+
+
 def ground_split(points: DataFrame, sensor_height: float) -> DataFrame:
     """points with status: ground, in_grid for what stands on it, unassigned for thin patches and points outside zones.
 
-    A task's group is one zone of one scan, bounded by what a sensor returns in one turn; its patches are fitted there.
+    The rule of is_ground() for all patches at once: a plane fit is an aggregate of moments, merged from partial ones of each
+    task, so a pass over the points for each fit, and no patch is held anywhere. What joins is a row for each patch.
     """
     zoned = with_zones(points, sensor_height)
     outside = zoned.where("zone is null").withColumn("status", F.lit("unassigned")).drop("zone", "ring", "sector")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        zone = int(pdf["zone"].iloc[0])
-        ring, sector, xyz = pdf["ring"].to_numpy(), pdf["sector"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
-        order = np.lexsort((xyz[:, 2], sector, ring))
-        patch = ring[order] * 1000 + sector[order]
-        edges = np.flatnonzero(np.concatenate([[True], patch[1:] != patch[:-1], [True]]))
-        status = np.full(len(pdf), "unassigned", dtype=object)
-        for i, j in zip(edges[:-1], edges[1:]):
-            if j - i > LEAST_POINTS:
-                rows = order[i:j]
-                status[rows] = np.where(is_ground(xyz[rows], zone, int(ring[rows[0]]), sensor_height), "ground", "in_grid")
-        return pdf.assign(status=status)
-
     inside = zoned.where("zone is not null")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inside.schema.fields) + ", status string"
-    return inside.groupBy("frame_id", "zone").applyInPandas(run, schema).drop("zone", "ring", "sector").unionByName(outside)
+    place = inside.select(*PATCH, "x", "y", "z")
+    sizes = place.groupBy(*PATCH).agg(F.count("*").alias("__n"))
+    patches = written(sizes.join(seed_heights(place, sensor_height), PATCH, "left").select(*PATCH, "__n", F.coalesce("lpr", F.lit(0.0)).alias("__lpr")), "patches")
+    seeds = place.join(patches.where(F.col("__n") > LEAST_POINTS), PATCH).where(F.col("z") < F.col("__lpr") + SEED_HEIGHT)
+    near = (F.col("x") - F.col("mx")) * F.col("nx") + (F.col("y") - F.col("my")) * F.col("ny") + (F.col("z") - F.col("mz")) * F.col("nz") < PLANE_DISTANCE
+    fitted = planes(seeds)
+    for _ in range(ROUNDS - 1):
+        again = planes(place.join(fitted, PATCH).where(near).select(*PATCH, "x", "y", "z"))
+        # a plane that no point is near to stays
+        fitted = written(again.unionByName(fitted.join(again, PATCH, "left_anti")), "planes")
+    ring = F.col("ring")
+    # the rings nearest to the sensor, counted over all zones, have thresholds
+    checked = _by_zone([F.lit(sum(RINGS[:zone])) for zone in range(len(RINGS))]) + ring
+    limit = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), F.least(checked, F.lit(len(values) - 1)).cast("int") + 1)
+    flat = F.when((checked < len(ELEVATION)) & (F.col("mz") > limit(ELEVATION)), F.col("flat") < limit(FLATNESS)).otherwise(True)
+    upright = fitted.select(*PATCH, *(c for c in _PLANE if c != "flat"), (F.abs("nz") >= UPRIGHT).alias("__up"), flat.alias("__flat"))
+    found = inside.join(patches.select(*PATCH, "__n"), PATCH).join(upright, PATCH, "left")
+    status = F.when(F.col("__n") <= LEAST_POINTS, "unassigned").when(F.col("__up") & F.col("__flat") & near, "ground").otherwise("in_grid")
+    return found.withColumn("status", status).select(*points.columns, "status").unionByName(outside.select(*points.columns, "status"))

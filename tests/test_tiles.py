@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scanweave.operators import spatial, tiles, voxels
+from scanweave.operators import ground, spatial, tiles, voxels
 
 
 @pytest.mark.parametrize("radius", [0.5, 1.0, 2.0, 9.0])
@@ -46,3 +46,20 @@ def test_variance_of_whole_numbers_is_exact(spark):
     # 100 values of 0 and 40, half each: their variance is 400 in any order and partitioning
     bins = spark.range(7000).selectExpr("0 frame_id", "id % 70 voxel", "0L r_i", "0L s_i", "0L a_i", "if((id div 70) % 2 = 0, 0L, 40L) + id % 70 refl").repartition(16)
     assert [r.i_var for r in voxels.voxel_stats(bins).collect()] == [400.0] * 70
+
+
+def test_ground_of_patches_follows_the_rule_of_one(spark):
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"frame_id": np.repeat([0, 1], 3000), "k": np.arange(6000), "x": rng.uniform(-30, 30, 6000), "y": rng.uniform(-30, 30, 6000)})
+    pdf["z"] = np.where(pdf.k % 3 > 0, -1.73 + 0.02 * pdf.x + rng.normal(0, 0.03, 6000), rng.uniform(-1.7, 2, 6000))
+    pts = spark.createDataFrame(pdf).withColumn("frame_id", F.col("frame_id").cast("int")).repartition(5)
+    got = {r.k: r.status for r in ground.ground_split(pts, 1.73).collect()}
+    zoned = ground.with_zones(pts, 1.73).toPandas()
+    assert len(got) == len(zoned)
+    want = dict.fromkeys(zoned.k, "unassigned")
+    for (_, zone, ring, _), patch in zoned.groupby(ground.PATCH):
+        if len(patch) > ground.LEAST_POINTS:
+            want |= zip(patch.k, np.where(ground.is_ground(patch[["x", "y", "z"]].to_numpy(), int(zone), int(ring), 1.73), "ground", "in_grid"))
+    assert got == want and {"ground", "in_grid", "unassigned"} <= set(got.values())
+    plan = ground.ground_split(pts, 1.73)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
