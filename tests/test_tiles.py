@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from scanweave import catalogue
 from scanweave.operators import ground, spatial, tiles, voxels
 
 
@@ -63,3 +64,8 @@ def test_ground_of_patches_follows_the_rule_of_one(spark):
     assert got == want and {"ground", "in_grid", "unassigned"} <= set(got.values())
     plan = ground.ground_split(pts, 1.73)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_ten_nearest_moves_no_row_for_each_neighbour(spark):
+    plan = catalogue.QUERIES["ten_nearest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
