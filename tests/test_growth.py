@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scanweave.config import ROAD
 from scanweave.fixtures import poses
 from scanweave.functions.geometry import computed
-from scanweave.operators import tracking, voxels
+from scanweave.operators import planarity, tiles, tracking, voxels
 
 
 def test_moved_points_compute_each_angle_once(spark):
@@ -21,3 +22,21 @@ def test_moved_points_compute_each_angle_once(spark):
 def test_computed_keeps_rows_and_order_of_columns(spark):
     df = computed(spark.range(3).selectExpr("id a", "id * 2 b"), {"a": F.col("b") + 1, "c": F.col("a") - 1})
     assert df.columns == ["a", "b", "c"] and [tuple(r) for r in df.orderBy("b").collect()] == [(1, 0, -1), (3, 2, 0), (5, 4, 1)]
+
+
+def test_regions_over_many_tiles_are_those_of_the_whole_cluster(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    wall = np.c_[rng.uniform(0, 12, 1500), np.round(rng.normal(0, 0.02, 1500), 2), rng.uniform(-1, 3, 1500)]
+    bent = np.c_[rng.uniform(-6, 6, (1200, 2)), np.zeros(1200)]
+    bent[:, 2] = np.abs(bent[:, 0]) * 0.15 + rng.normal(0, 0.02, 1200)
+    clusters = {3: np.r_[wall, wall[:40]], 5: bent, 7: rng.uniform(0, 4, (1000, 3)), 9: bent[:19], 11: bent[:4]}
+    rows = [(1, c, *map(float, p)) for c, xyz in clusters.items() for p in xyz]
+    df = spark.createDataFrame(rows, "frame_id int, cluster_id long, x double, y double, z double").repartition(3)
+    monkeypatch.setattr(tiles, "FULL", 150)
+    monkeypatch.setattr(planarity, "grown_points", None)  # nothing may hold a whole cluster
+    got = {r.cluster_id: (r.n_pts, r.grown, r.planar) for r in planarity.planarity(df).collect()}
+    monkeypatch.undo()
+    for c, xyz in clusters.items():
+        grown = planarity.grown_points(xyz[np.lexsort(xyz.T[::-1])])
+        assert got[c] == (len(xyz), grown, grown >= 0.2 * len(xyz))
+    assert planarity.planarity(df.limit(0)).count() == 0
