@@ -12,7 +12,9 @@ place. A failed job leaves nothing behind.
 from __future__ import annotations
 
 import contextlib
+import io
 import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -29,7 +31,9 @@ from ..shipping import ship
 
 PARTITION_BYTES = 64 << 20
 #: Rows of a file that are turned into columns at a time.
-ROWS = 1 << 18
+ROWS = 1 << 16
+#: Bytes of a written frame that are copied at a time.
+BYTES = 8 << 20
 
 
 def place_of(folder: str) -> tuple[fs.FileSystem, str]:
@@ -37,6 +41,17 @@ def place_of(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def blocks(stream, record: int, left: int | None = None) -> Iterator[bytes]:
+    """ROWS records of a buffered stream at a time, `left` records at most; a trailing part of one is ignored."""
+    while left is None or left > 0:
+        content = stream.read(record * (ROWS if left is None else min(ROWS, left)))
+        whole = len(content) // record
+        if not whole:
+            return
+        left = left and left - whole
+        yield content[: whole * record]
+
+
 # ---- kinds of files
 
 
@@ -48,11 +63,15 @@ class Packed:
     columns: tuple[str, ...]
     number: str = "<f4"
 
-    def read(self, content: bytes, fields: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
+    def read(self, stream, fields: tuple[str, ...]) -> Iterator[tuple[list[str], np.ndarray]]:
         width, size = len(self.columns), np.dtype(self.number).itemsize
-        return list(self.columns), np.frombuffer(content, self.number, len(content) // (width * size) * width).reshape(-1, width)
+        for content in blocks(stream, width * size):
+            yield list(self.columns), np.frombuffer(content, self.number).reshape(-1, width)
+
+    def head(self, rows: int, fields: tuple[str, ...]) -> bytes:
+        return b""
 
-    def write(self, values: np.ndarray, fields: tuple[str, ...]) -> bytes:
+    def body(self, values: np.ndarray, fields: tuple[str, ...]) -> bytes:
         return values.astype(self.number).tobytes()
 
 
@@ -63,21 +82,27 @@ class Cloud:
     ending: str = "pcd"
     columns: tuple[str, ...] = ("x", "y", "z", "intensity")
 
-    def read(self, content: bytes, fields: tuple[str, ...]) -> tuple[list[str], np.ndarray]:
-        from .scans import parse_cloud
+    def read(self, stream, fields: tuple[str, ...]) -> Iterator[tuple[list[str], np.ndarray]]:
+        from .scans import cloud_parts
+
+        for names, values in cloud_parts(stream):
+            if "rgb" in names and not {"r", "g", "b"} & set(names):
+                packed = values[:, names.index("rgb")].astype(np.int64)
+                names, values = [*names, "r", "g", "b"], np.column_stack([values, packed >> 16 & 255, packed >> 8 & 255, packed & 255])
+            yield names, values
+
+    def head(self, rows: int, fields: tuple[str, ...]) -> bytes:
+        from .scans import cloud_head
 
-        names, values = parse_cloud(content)
-        if "rgb" in names and not {"r", "g", "b"} & set(names):
-            packed = values[:, names.index("rgb")].astype(np.int64)
-            names, values = [*names, "r", "g", "b"], np.column_stack([values, packed >> 16 & 255, packed >> 8 & 255, packed & 255])
-        return names, values
+        plain = [f for f in fields if f not in ("r", "g", "b")]
+        return cloud_head(rows, tuple(plain), len(plain) < len(fields))
 
-    def write(self, values: np.ndarray, fields: tuple[str, ...]) -> bytes:
-        from .scans import cloud_bytes
+    def body(self, values: np.ndarray, fields: tuple[str, ...]) -> bytes:
+        from .scans import cloud_body
 
         plain = [k for k, f in enumerate(fields) if f not in ("r", "g", "b")]
         colours = values[:, [fields.index(c) for c in "rgb"]] if len(plain) < len(fields) else None
-        return cloud_bytes(values[:, plain], tuple(fields[k] for k in plain), colours)
+        return cloud_body(values[:, plain], tuple(fields[k] for k in plain), colours)
 
 
 KINDS = {
@@ -162,14 +187,16 @@ class FrameReader(DataSourceReader):
         kind, columns = KINDS[self.kind], tuple(n for n in self.names if n not in ("frame_id", "k"))
         cast = {"int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
         for frame, path in partition.files:
+            before = 0
             with store.open_input_stream(path) as f:
-                names, values = kind.read(f.read(), columns)
-            for at in range(0, len(values), ROWS):
-                part = values[at : at + ROWS]
-                n = len(part)
-                own = {"frame_id": np.full(n, frame), "k": np.arange(at, at + n)}
-                arrays = [own[c] if c in own else part[:, names.index(c)] if c in names else None for c in self.names]
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, cast[t]) if a is None else pc.cast(pa.array(np.ascontiguousarray(a)), cast[t], safe=False) for a, t in zip(arrays, self.types)], self.names)
+                for names, values in kind.read(io.BufferedReader(f, 1 << 20), columns):
+                    for at in range(0, len(values), ROWS):
+                        part = values[at : at + ROWS]
+                        n = len(part)
+                        own = {"frame_id": np.full(n, frame), "k": np.arange(before, before + n)}
+                        before += n
+                        arrays = [own[c] if c in own else part[:, names.index(c)] if c in names else None for c in self.names]
+                        yield pa.RecordBatch.from_arrays([pa.nulls(n, cast[t]) if a is None else pc.cast(pa.array(np.ascontiguousarray(a)), cast[t], safe=False) for a, t in zip(arrays, self.types)], self.names)
 
 
 # ---- writing
@@ -194,10 +221,11 @@ class FrameWriter(DataSourceArrowWriter):
         store, top = place_of(self.folder)
         kind, own = KINDS[self.kind], f"{top.rstrip('/')}/{self.job}/{uuid.uuid4().hex}"
         files: list[tuple[int, str]] = []
-        frame, held = None, []
+        frame, rows = None, 0
+        held = tempfile.TemporaryFile()  # a frame's records: its head names their number, so they wait on the task's disk
 
         def put() -> None:
-            if not held:
+            if frame is None:
                 return
             if any(f == frame for f, _ in files):
                 raise ValueError(f"rows of frame {frame} do not stand together")
@@ -205,19 +233,26 @@ class FrameWriter(DataSourceArrowWriter):
                 store.create_dir(own, recursive=True)
             path = f"{own}/{frame}.{kind.ending}"
             with store.open_output_stream(path) as out:
-                out.write(kind.write(np.concatenate(held), self.fields))
+                out.write(kind.head(rows, self.fields))
+                held.seek(0)
+                while part := held.read(BYTES):
+                    out.write(part)
+            held.seek(0)
+            held.truncate()
             files.append((frame, path))
 
-        for batch in iterator:
-            frames = batch.column(batch.schema.get_field_index("frame_id")).to_numpy(zero_copy_only=False)
-            values = np.column_stack([batch.column(batch.schema.get_field_index(f)).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in self.fields]) if self.fields else np.zeros((len(frames), 0))
-            edges = np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1], [True]])) if len(frames) else []
-            for i, j in zip(edges[:-1], edges[1:]):
-                if frame is None or int(frames[i]) != frame:
-                    put()
-                    frame, held = int(frames[i]), []
-                held.append(values[i:j])
-        put()
+        with held:
+            for batch in iterator:
+                frames = batch.column(batch.schema.get_field_index("frame_id")).to_numpy(zero_copy_only=False)
+                values = np.column_stack([batch.column(batch.schema.get_field_index(f)).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in self.fields]) if self.fields else np.zeros((len(frames), 0))
+                edges = np.flatnonzero(np.concatenate([[True], frames[1:] != frames[:-1], [True]])) if len(frames) else []
+                for i, j in zip(edges[:-1], edges[1:]):
+                    if frame is None or int(frames[i]) != frame:
+                        put()
+                        frame, rows = int(frames[i]), 0
+                    held.write(kind.body(values[i:j], self.fields))
+                    rows += int(j - i)
+            put()
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:

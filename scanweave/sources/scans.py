@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import re
 import warnings
 from collections.abc import Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import MOVING, Settings
 from ..functions.geometry import quaternion
 from ..functions.labels import object_colour
-from .frames import frames, write_frame_files
+from .frames import ROWS, blocks, frames, write_frame_files
 
 # fixed values: the packed record of the object files
 OBJECT_RECORD = np.dtype([("t", "<i8"), ("intensity", "u1"), ("id", "u1"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("azimuth", "<f4"), ("range", "<f4"), ("pid", "<i4")])
@@ -137,34 +139,48 @@ def read_cloud_poses(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_cloud(content: bytes) -> tuple[list[str], np.ndarray]:
     """(field names, values) of an ASCII or binary point-cloud file."""
-    head, at = {}, 0
+    parts = list(cloud_parts(io.BytesIO(content)))
+    return parts[0][0], np.concatenate([values for _, values in parts])
+
+
+def cloud_parts(stream) -> Iterator[tuple[list[str], np.ndarray]]:
+    """parse_cloud() of a buffered stream, some rows at a time, one part at least. Compressed ones, a field after the other, are one part."""
+    head = {}
     while "DATA" not in head:
-        end = content.index(b"\n", at)
-        key, *rest = content[at:end].decode("ascii", "replace").split() or [""]
+        line = stream.readline()
+        if not line.endswith(b"\n"):
+            raise ValueError("the head has no DATA line")
+        key, *rest = line.decode("ascii", "replace").split() or [""]
         head[key] = rest
-        at = end + 1
     counts = [int(c) for c in head.get("COUNT", ["1"] * len(head["FIELDS"]))]
     # a field of several numbers gives its name to the first of them
     names = [name if i == 0 else f"{name}_{i}" for name, count in zip(head["FIELDS"], counts) for i in range(count)]
     n = int(head.get("POINTS", ["0"])[0])
+    yield names, np.zeros((0, len(names)))
     if head["DATA"] == ["ascii"]:
-        rows = [line.split() for line in content[at:].decode().splitlines()]
-        return names, np.array([r for r in rows if len(r) == len(names)], dtype=float).reshape(-1, len(names))
+        while lines := list(itertools.islice(stream, ROWS)):
+            rows = [row for row in (line.decode().split() for line in lines) if len(row) == len(names)]
+            yield names, np.array(rows, dtype=float).reshape(-1, len(names))
+        return
     kinds = {"F": "f", "I": "i", "U": "u"}
     types = [f"<{kinds[t]}{size}" for t, size in zip(head["TYPE"], head["SIZE"])]
     if head["DATA"] == ["binary"]:
-        record = np.dtype([(f"f{k}", t, (count,)) for k, (t, count) in enumerate(zip(types, counts))])
-        table = np.frombuffer(content, record, n, offset=at)
-        columns = [table[f] for f in record.names]
+        record, left = np.dtype([(f"f{k}", t, (count,)) for k, (t, count) in enumerate(zip(types, counts))]), n
+        for content in blocks(stream, record.itemsize, n):
+            table = np.frombuffer(content, record)
+            left -= len(table)
+            yield names, np.concatenate([table[f].astype(float) for f in record.names], 1)
+        if left:
+            raise ValueError(f"{n} points are named, {n - left} are there")
     elif head["DATA"] == ["binary_compressed"]:
-        packed, plain = np.frombuffer(content, "<u4", 2, offset=at).tolist()
-        body, columns, start = unpacked(content[at + 8 : at + 8 + packed], plain), [], 0
+        packed, plain = np.frombuffer(stream.read(8), "<u4", 2).tolist()
+        body, columns, start = unpacked(stream.read(packed), plain), [], 0
         for t, count in zip(types, counts):  # field after field
-            columns.append(np.frombuffer(body, t, n * count, offset=start).reshape(n, count))
-            start += columns[-1].nbytes
+            columns.append(np.frombuffer(body, t, n * count, offset=start).reshape(n, count).astype(float))
+            start += columns[-1].size * np.dtype(t).itemsize
+        yield names, np.concatenate(columns, 1)
     else:
         raise ValueError(f"unsupported data kind {head['DATA']}")
-    return names, np.concatenate([c.astype(float) for c in columns], 1) if n else np.zeros((0, len(names)))
 
 
 def unpacked(packed: bytes, size: int) -> bytes:
@@ -205,16 +221,28 @@ def read_clouds(spark: SparkSession, folder: str, fields: tuple[str, ...] = ("x"
 
 def cloud_bytes(values: np.ndarray, fields: tuple[str, ...] = ("x", "y", "z", "intensity"), colours: np.ndarray | None = None) -> bytes:
     """A binary point-cloud file of float32 fields, and of packed colours (n, 3) where given."""
-    n, names = len(values), [*fields, *(["rgb"] if colours is not None else [])]
-    kinds = ["F"] * len(fields) + ["U"] * (len(names) - len(fields))
-    record = np.zeros(n, [(f, "<f4" if k == "F" else "<u4") for f, k in zip(names, kinds)])
+    return cloud_head(len(values), fields, colours is not None) + cloud_body(values, fields, colours)
+
+
+def _kinds(fields: tuple[str, ...], coloured: bool) -> dict[str, str]:
+    return {f: "F" for f in fields} | ({"rgb": "U"} if coloured else {})
+
+
+def cloud_head(n: int, fields: tuple[str, ...], coloured: bool) -> bytes:
+    kinds = _kinds(fields, coloured)
+    head = ["VERSION .7", f"FIELDS {' '.join(kinds)}", "SIZE" + " 4" * len(kinds), f"TYPE {' '.join(kinds.values())}", "COUNT" + " 1" * len(kinds), f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA binary", ""]
+    return "\n".join(head).encode()
+
+
+def cloud_body(values: np.ndarray, fields: tuple[str, ...], colours: np.ndarray | None = None) -> bytes:
+    """The records behind the head; those of parts of a file follow each other."""
+    record = np.zeros(len(values), [(f, "<f4" if k == "F" else "<u4") for f, k in _kinds(fields, colours is not None).items()])
     for i, f in enumerate(fields):
         record[f] = values[:, i]
     if colours is not None:
         c = colours.astype(np.uint32)
         record["rgb"] = c[:, 0] << 16 | c[:, 1] << 8 | c[:, 2]
-    head = ["VERSION .7", f"FIELDS {' '.join(names)}", "SIZE" + " 4" * len(names), f"TYPE {' '.join(kinds)}", "COUNT" + " 1" * len(names), f"WIDTH {n}", "HEIGHT 1", "VIEWPOINT 0 0 0 1 0 0 0", f"POINTS {n}", "DATA binary", ""]
-    return "\n".join(head).encode() + record.tobytes()
+    return record.tobytes()
 
 
 def _write_each(points: DataFrame, folder: str, kind: str, fields: tuple[str, ...], order: tuple[str, ...]) -> int:

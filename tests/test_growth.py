@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scanweave.config import ROAD
 from scanweave.fixtures import poses
 from scanweave.functions.geometry import computed
 from scanweave.operators import planarity, tiles, tracking, voxels
+from scanweave.sources import frames
 
 
 def test_moved_points_compute_each_angle_once(spark):
@@ -40,3 +45,29 @@ def test_regions_over_many_tiles_are_those_of_the_whole_cluster(spark, monkeypat
         grown = planarity.grown_points(xyz[np.lexsort(xyz.T[::-1])])
         assert got[c] == (len(xyz), grown, grown >= 0.2 * len(xyz))
     assert planarity.planarity(df.limit(0)).count() == 0
+
+
+def test_a_frame_passes_through_its_task_in_parts(spark, tmp_path):
+    rows, parts = 20000, 120
+    columns = ("frame_id", "x", "y", "z", "r", "g", "b")
+    schema = StructType.fromDDL("frame_id int, " + ", ".join(f"{c} double" for c in columns[1:]))
+
+    def batches():
+        for p in range(parts):
+            at = np.arange(p * rows, (p + 1) * rows, dtype=float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(at < 5, 1, 2).astype(np.int32)), *(pa.array(at + c) for c in range(3)), *(pa.array((at + c) % 256) for c in range(3))], list(columns))
+
+    tracemalloc.start()
+    writer = frames.FrameWriter(str(tmp_path), "cloud", schema, False)
+    writer.commit([writer.write(batches())])
+    reader = frames.FrameReader(str(tmp_path), "cloud", StructType.fromDDL("frame_id int, k bigint, x double, b double"), 1 << 30)
+    seen, total = 0, 0.0
+    for batch in reader.read(reader.partitions()[0]):
+        x = batch.column(2).to_numpy()
+        assert batch.column(1).to_numpy()[0] == (0 if seen < 5 else seen - 5) and x[0] == seen and (batch.column(3).to_numpy() == (x + 2) % 256).all()
+        seen, total = seen + len(x), total + x.sum()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = rows * parts
+    assert seen == n and total == n * (n - 1) / 2
+    assert peak < n * 16  # bytes: less than the file, of which several copies in doubles were held
