@@ -149,12 +149,12 @@ def _links(tile: pa.Table, who: np.ndarray, near: np.ndarray, far: np.ndarray) -
     ends = np.searchsorted(ahead[0], np.arange(n + 1))
     aheads = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(own[ahead[1]])).take(pa.array(back))
     opens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((~here).sum(1))]), pa.int32()), pa.array(near[~here])).take(pa.array(back))
-    plain = [*normal.T, own[root], curvature[first], own[first]]
+    plain = [*normal.T, own[root], np.bincount(root, minlength=n), curvature[first], own[first]]
     return [*(tile.column(c).take(pa.array(who)) for c in _POINT), *(pa.array(np.ascontiguousarray(v[back])) for v in plain), aheads, opens]
 
 
 _POINT = ["frame_id", "cluster_id", "x", "y", "z", "id"]
-_MADE = "nx double, ny double, nz double, root long, seed_c double, seed long, ahead array<long>, open array<long>"
+_MADE = "nx double, ny double, nz double, root long, size long, seed_c double, seed long, ahead array<long>, open array<long>"
 
 
 def planarity(clustered: DataFrame) -> DataFrame:
@@ -170,8 +170,8 @@ def planarity(clustered: DataFrame) -> DataFrame:
     order = ["frame_id", "cluster_id", "x", "y", "z"]
     placed = written(ordered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "places")
     found = near_rows(placed.select(*_POINT), NEIGHBOURS, ["frame_id", "cluster_id"], ["id"], _links, _MADE, "root", whole=True)
-    seed = F.struct("seed_c", "seed")
-    roots = found.groupBy("root").agg(F.first("frame_id").alias("frame_id"), F.first("cluster_id").alias("cluster_id"), F.count("*").alias("size"), F.min(seed).alias("seed"))
+    # a group lies in one tile; the row of the point that names it has its size
+    roots = found.where("id = root").select("root", "frame_id", "cluster_id", "size", F.struct("seed_c", "seed").alias("seed"))
     there = found.select(F.col("id").alias("b"), F.col("root").alias("to"), *(F.col(f"n{c}").alias(f"m{c}") for c in "xyz"))
     open_ = found.where(F.size("open") > 0).select(F.col("id").alias("a"), F.col("root").alias("group"), "nx", "ny", "nz", F.explode("open").alias("b"))
     turn = F.abs(F.col("nx") * F.col("mx") + F.col("ny") * F.col("my") + F.col("nz") * F.col("mz"))
@@ -189,7 +189,9 @@ def _joined(found: DataFrame, roots: DataFrame, cross: DataFrame) -> DataFrame:
     pairs = cross.groupBy(*pair).agg(F.count("*").alias("n"), F.first("group").alias("group"), F.first("to").alias("to"))
     merged = connected_components(pairs.where("n = 2").select(F.col("group").alias("a"), F.col("to").alias("b")))
     whole = lambda df, c: df.join(merged.select(F.col("node").alias(c), "component"), c, "left").withColumn(c, F.coalesce("component", c)).drop("component")
-    groups = written(whole(roots, "root").groupBy("root").agg(F.first("frame_id").alias("frame_id"), F.first("cluster_id").alias("cluster_id"), F.sum("size").alias("size"), F.min("seed").alias("seed")), "groups")
+    joined = roots.join(merged.select(F.col("node").alias("root"), "component"), "root").groupBy(F.col("component").alias("root"))
+    several = joined.agg(F.first("frame_id").alias("frame_id"), F.first("cluster_id").alias("cluster_id"), F.sum("size").alias("size"), F.min("seed").alias("seed"))
+    groups = written(roots.join(merged.select(F.col("node").alias("root")), "root", "left_anti").unionByName(several), "groups")
     crossing = pairs.where("n = 1").select("group", "to")
     ahead = found.where(F.size("ahead") > 0).select(F.col("root").alias("group"), F.explode("ahead").alias("to"))
     edges = written(whole(whole(ahead.unionByName(crossing), "group"), "to").where("group <> to").distinct(), "ahead")

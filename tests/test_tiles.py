@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scanweave import catalogue
-from scanweave.operators import ground, spatial, tiles, voxels
+from scanweave.operators import ground, neighbours, spatial, tiles, voxels
 
 
 @pytest.mark.parametrize("radius", [0.5, 1.0, 2.0, 9.0])
@@ -36,6 +37,30 @@ def test_joins_over_borders_of_tiles(spark, monkeypatch):
     assert sorted(r.k for r in spatial.beyond(left, right, 2.0, ["f"], ["f", "k"]).collect()) == sorted(set(range(401)) - set(pairs.k))
 
 
+def test_lonely_points_meet_no_dense_cloud_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "FULL", 200)
+    rng = np.random.default_rng(6)
+    # three groups: a cloud with lonely points at several distances, a lattice with many equal distances, and fewer points than neighbours
+    cloud = np.r_[rng.uniform(0, 4, (3000, 3)), rng.uniform(5, 9, (15, 3)), rng.uniform(20, 60, (6, 3)), [[-50.0, 3, 3]]]
+    lattice = np.c_[np.arange(900) % 30, np.arange(900) // 30, np.zeros(900)] * 2.0
+    groups = {1: cloud, 2: lattice, 3: rng.uniform(-60, 60, (7, 3))}
+    rows = [(f, k, *map(float, p)) for f, xyz in groups.items() for k, p in enumerate(xyz)]
+    points = spark.createDataFrame(rows, "f int, k long, x double, y double, z double").repartition(3)
+
+    def seen(tile, who, near, far):
+        k = tile.column("k")
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1) * near.shape[1], pa.int32()), k.take(pa.array(near.ravel())).combine_chunks())
+        return [*(tile.column(c).take(pa.array(who)) for c in ("f", "k", "x", "y", "z")), each, pa.array(np.full(len(who), len(tile)))]
+
+    got = neighbours.near_rows(points, 10, ["f"], ["k"], seen, "near array<long>, held long", "held").collect()
+    assert max(r.held for r in got) < 1500
+    found = {(r.f, r.k): r.near for r in got}
+    assert len(got) == len(found) == len(rows)
+    for f, xyz in groups.items():
+        d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+        assert [found[f, k] for k in range(len(xyz))] == np.argsort(d, axis=1, kind="stable")[:, :10].tolist()
+
+
 def test_dense_clouds_do_not_meet_pair_by_pair(spark):
     # 30,000 by 30,000 points within one radius: lists of cells would hold all of them for each
     cloud = lambda by: spark.range(30000).selectExpr("0 f", "id k", f"double(id % 31) + {by} x", "double(id div 31 % 31) y", "double(id div 961) z")
