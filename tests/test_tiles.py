@@ -1,5 +1,7 @@
 """Tiles of space: joins and neighbours against all pairs, on dense places and with equal distances."""
 
+import shutil
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanweave import catalogue
 from scanweave.operators import ground, neighbours, spatial, tiles, voxels
+from scanweave.plans import tables
 
 
 @pytest.mark.parametrize("radius", [0.5, 1.0, 2.0, 9.0])
@@ -94,3 +97,52 @@ def test_ground_of_patches_follows_the_rule_of_one(spark):
 def test_ten_nearest_moves_no_row_for_each_neighbour(spark):
     plan = catalogue.QUERIES["ten_nearest"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_only_points_at_borders_of_tiles_ask_again(spark, monkeypatch):
+    # tiles reach less far than most tenth neighbours are away: inside of a tile they are found all the same
+    monkeypatch.setattr(tiles, "FULL", 3000)
+    rng = np.random.default_rng(8)
+    xyz = np.r_[rng.uniform(0, 10, (20000, 3)), [[30.0, 3, 3]]]
+    points = spark.createDataFrame([(1, k, *p) for k, p in enumerate(xyz.tolist())], "f int, k long, x double, y double, z double")
+    asked, written = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, label: asked.append((label, written(df, label))) or asked[-1][1])
+    got = {r.k: (r.n, r.d2) for r in neighbours.k_spreads(points, 10, ["f"], ["k"]).select("k", "n", "d2").collect()}
+    again = [df for label, df in asked if label == "asking"]
+    assert again and sum(df.select("k").distinct().count() for df in again) < 8000
+    for i in [*range(0, 20000, 97), 20000]:
+        assert got[i] == (10, np.sort(((xyz - xyz[i]) ** 2).sum(1))[9])
+    assert len(got) == len(xyz)
+
+
+def test_calibration_writes_the_places_and_a_number_for_each(spark, tmp_path, monkeypatch):
+    shutil.copy("/root/testdata/sf0.001/lineitem.parquet", tmp_path)
+    seen = []
+    for module in (tables, neighbours):
+        monkeypatch.setattr(module, "written", lambda df, label, real=module.written: seen.append((label, df.columns)) or real(df, label))
+    catalogue.QUERIES["intensity_calibration"](spark, str(tmp_path))
+    at = ["x", "y", "z"]
+    assert [s for s in seen if s[0] not in ("asking", "tiles")][:2] == [("places", ["frame_id", "x_mm", "y_mm", "z_mm", "intensity"]), ("neighbours", ["frame_id", *at, "intensity", "__cosine", "__within"])]
+
+
+def test_tiles_are_cut_by_their_points(spark):
+    cloud = spark.range(200000).selectExpr("0 f", "double(id % 448) x", "double(id div 448) y", "0D z")
+    full = lambda w: cloud.groupBy(tiles.tile_index("x", w), tiles.tile_index("y", w)).count().agg(F.max("count")).first()[0]
+    width = tiles.tile_width(cloud, ["f"], tiles.extent_of(cloud))
+    # no more than FULL points, and the next width has more
+    assert full(width) <= tiles.FULL < full(width * 1.5)
+
+
+@pytest.mark.parametrize("flat", [0.0, 1e-3, 1.0])
+def test_axes_of_least_spread_against_numpy(flat):
+    rng = np.random.default_rng(9)
+    turn = np.linalg.qr(rng.normal(size=(500, 3, 3)))[0]
+    at = np.einsum("nij,nkj->nki", turn, rng.normal(size=(500, 10, 3)) * [3, 1, flat])
+    covariances = neighbours._covariances(at, at.sum(1))
+    axis, share = neighbours.least_axis(*covariances)
+    values, vectors = np.linalg.eigh(np.stack([covariances[k] for k in (0, 1, 2, 1, 3, 4, 2, 4, 5)], 1).reshape(-1, 3, 3))
+    sure = values[:, 1] - values[:, 0] > 1e-3 * values[:, 2]
+    assert np.array_equal(~np.isnan(axis).any(1), sure) and np.allclose(np.abs((axis * vectors[:, :, 0]).sum(1))[sure], 1, atol=1e-7)
+    assert np.allclose(share, np.abs(values[:, 0]) / values.sum(1), atol=1e-9)
+    on_a_line = np.outer(np.arange(10.0), [1, 2, 3])[None]
+    assert np.isnan(neighbours.least_axis(*neighbours._covariances(on_a_line, on_a_line.sum(1)))[0]).all()
