@@ -146,3 +146,12 @@ def test_axes_of_least_spread_against_numpy(flat):
     assert np.allclose(share, np.abs(values[:, 0]) / values.sum(1), atol=1e-9)
     on_a_line = np.outer(np.arange(10.0), [1, 2, 3])[None]
     assert np.isnan(neighbours.least_axis(*neighbours._covariances(on_a_line, on_a_line.sum(1)))[0]).all()
+
+
+def test_normals_of_planes_and_lines(spark):
+    plane = spark.range(900).selectExpr("1 f", "id k", "double(id % 30) x", "double(id div 30) y", "2 * double(id % 30) z")
+    line = spark.range(40).selectExpr("2 f", "id k", "double(id) x", "0D y", "0D z")
+    got = neighbours.normals(plane.unionByName(line).unionByName(spark.sql("select 3 f, 0L k, 1D x, 1D y, 1D z")), 10, ["f"], ["k"]).collect()
+    assert len(got) == 941 and all(r.nx is r.ny is r.nz is None and r.curvature < 1e-9 for r in got if r.f > 1)
+    found = np.array([[r.nx, r.ny, r.nz, r.curvature] for r in got if r.f == 1])
+    assert np.allclose(np.abs(found), [2 / 5**0.5, 0, 1 / 5**0.5, 0], atol=1e-7) and (found[:, 0] * found[:, 2] < 0).all()
